@@ -3,7 +3,7 @@
 The merge ranks become one literal: a perfect hash table from (left id, right id) to the merged id. ``fold_words`` encodes
 distinct words with Spark's higher-order functions: a fold over each word's byte ids that applies the pair of the lowest
 rank, leftmost first, until none is left. The fold costs about 0.25 ms a word, so it is run once over the frequent words;
-``encode`` looks words up in that bounded table and folds the rare remainder where it meets it, with the same rule.
+``encode`` looks words up in that bounded table and folds the rare remainder where it meets it, with the same rule and rank map over whole batches of words.
 ``decode`` concatenates the binary pieces of the ids.
 
 Defined results: null text is the empty text; an empty text has no ids; a word of any length is encoded exactly (long
@@ -14,14 +14,15 @@ output's name, in which case the output replaces them.
 import base64
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from riskloom.llm.common import in_share, sample_share
 
 SLOTS, GROUPS, NONE = 1 << 17, 1 << 16, 1_000_000
 #: Words in the table that the higher-order functions build, documents that propose them, cached words of a worker.
-HOT_WORDS, HOT_DOCUMENTS, CACHED = 40_000, 10_000, 300_000
+HOT_WORDS, HOT_DOCUMENTS, CACHED = 20_000, 10_000, 800_000
 
 
 def pattern() -> str:
@@ -113,38 +114,94 @@ def hot_words(docs: DataFrame, id_col: str, text_col: str, path: str) -> dict[st
     return {row.word: tuple(row.ids) for row in folded.collect()}
 
 
-class Words(dict):
-    """Ids of words: the frequent ones given, others folded when first met and kept up to a bound."""
-
-    def __init__(self, table: dict[bytes, int], hot: dict[str, tuple[int, ...]]):
-        super().__init__(hot)
-        self.table, self.hot = table, hot
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > len(self.hot) + CACHED:
-            self.clear()
-            self.update(self.hot)
-        raw = word.encode()
-        whole = self.table.get(raw)
-        ids = (whole,) if whole is not None else self.short(raw) if len(raw) <= 64 else self.long(raw)
-        if len(raw) <= 64:
-            self[word] = ids
-        return ids
-
-    def short(self, raw: bytes) -> tuple[int, ...]:
-        table, parts = self.table, [raw[i : i + 1] for i in range(len(raw))]
-        got = [table.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
-        while got and (best := min(got)) < NONE:
-            i = got.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del got[i]
-            if i:
-                got[i - 1] = table.get(parts[i - 1] + parts[i], NONE)
-            if i < len(got):
-                got[i] = table.get(parts[i] + parts[i + 1], NONE)
-        return tuple(table[x] for x in parts)
-
-    def long(self, raw: bytes) -> tuple[int, ...]:
+class Words:
+    """Ids of words in one flat array: the frequent words given, others folded when first met and kept up to a bound."""
+
+    def __init__(self, path: str, hot: dict[str, tuple[int, ...]]):
+        self.table, self.hot = ranks(path), hot
+        literal = json.loads(rank_literal(path))
+        self.slots, self.shifts, self.bytes = (np.array(literal[k], np.int64) for k in "sdb")
+        self.reset()
+
+    def reset(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.ends = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.add(list(self.hot), [np.array(x, np.int32) for x in self.hot.values()])
+
+    def add(self, words: list[str], ids: list[np.ndarray]) -> None:
+        if not words:
+            return
+        n, ends = len(self.at), np.cumsum([len(x) for x in ids]) + self.ends[len(self.at)]
+        while len(self.flat) < ends[-1]:
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.ends) <= n + len(words):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.ends[n] : ends[-1]] = np.concatenate(ids)
+        self.ends[n + 1 : n + 1 + len(words)] = ends
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of pairs by the same hash table as the literal; ids below 0 have none."""
+        got = self.slots[(a * 7919 + b * 104729 + self.shifts[(a * 31337 + b) & (GROUPS - 1)]) & (SLOTS - 1)]
+        return np.where((a >= 0) & (b >= 0) & (got >> 16 == a * 65536 + b), got & 65535, NONE)
+
+    def folded(self, raws: list[bytes]) -> list[np.ndarray]:
+        """The fold of ranked merges over many short words at once: a round merges the best pair of every word."""
+        sizes = np.array([len(x) for x in raws])
+        wide = int(sizes.max())
+        parts = np.full((len(raws), wide + 1), -1, np.int64)
+        parts[np.arange(wide + 1) < sizes[:, None]] = self.bytes[np.frombuffer(b"".join(raws), np.uint8)]
+        left, live, column = self.rank(parts[:, :-1], parts[:, 1:]), np.arange(len(raws)), np.arange(wide + 1)
+        while len(live):
+            best = left[live].argmin(1)
+            rank = left[live, best]
+            live, best, rank = (x[rank < NONE] for x in (live, best, rank))
+            if not len(live):
+                break
+            after = np.minimum(column + (column > best[:, None]), wide)
+            now = np.take_along_axis(parts[live], after, 1)
+            now[:, -1] = -1
+            now[np.arange(len(live)), best] = rank
+            got = np.take_along_axis(left[live], np.minimum(column[:-1] + (column[:-1] > best[:, None]), wide - 1), 1)
+            got[:, -1] = NONE
+            row = np.arange(len(live))
+            got[row, best] = self.rank(now[row, best], now[row, best + 1])
+            prior = np.maximum(best - 1, 0)
+            got[row, prior] = np.where(best > 0, self.rank(now[row, prior], now[row, prior + 1]), got[row, prior])
+            parts[live], left[live] = now, got
+        return [x[x >= 0].astype(np.int32) for x in parts]
+
+    def learn(self, words: set[str]) -> None:
+        by_size: dict[int, list[str]] = {}
+        for word in words:
+            by_size.setdefault(min(len(word.encode()) // 8, 9), []).append(word)
+        for size, own in by_size.items():
+            raws = [x.encode() for x in own]
+            if size == 9:  # of 72 bytes or more
+                self.add(own, [np.array(self.long(x), np.int32) for x in raws])
+            else:
+                for i in range(0, len(own), 20_000):
+                    self.add(own[i : i + 20_000], [np.array([self.table[raw]], np.int32) if raw in self.table else x for raw, x in zip(raws[i : i + 20_000], self.folded(raws[i : i + 20_000]))])
+
+    def encode(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts in one array, and where each text ends."""
+        if len(self.at) > len(self.hot) + CACHED:
+            self.reset()
+        flat = list(chain.from_iterable(words))
+        found = list(map(self.at.get, flat))
+        if None in found:
+            self.learn({x for x, at in zip(flat, found) if at is None})
+            found = list(map(self.at.__getitem__, flat))
+        which = np.array(found, np.int64)
+        begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(begin - stop[:-1], size) + np.arange(stop[-1])]
+        return ids, stop[np.cumsum([0, *map(len, words)])]
+
+    def long(self, raw: bytes) -> list[int]:
+        """The same merges by a heap, for a word of any length."""
+        if raw in self.table:
+            return [self.table[raw]]
         table, n = self.table, len(raw)
         end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1" * n)
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := table.get(raw[i : i + 2])) is not None]
@@ -161,49 +218,69 @@ class Words(dict):
                     heapq.heappush(heap, (r, i, end[stop]))
             if (p := before[i]) >= 0 and (r := table.get(raw[p:stop])) is not None:
                 heapq.heappush(heap, (r, p, stop))
-        return tuple(table[raw[i : end[i]]] for i in range(n) if alive[i])
+        return [table[raw[i : end[i]]] for i in range(n) if alive[i]]
+
+
+#: The words that a Python worker knows; kept from task to task of one query.
+_KEPT: dict[str, Words] = {}
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """One row per document: its id column and ``ids``, the tokens of its whole text without special tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((ranks(path), hot_words(docs, id_col, text_col, path)))
-    split = pattern()
+    """One row per document: its id column, ``ids``, the tokens of its whole text without special tokens, and ``ids_le``,
+    the ids as little-endian unsigned 32-bit integers."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot_words(docs, id_col, text_col, path))
+    split, key = pattern(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, find = Words(*sent.value), regex.compile(split).findall
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = Words(path, sent.value)
+        known, find = _KEPT[key], regex.compile(split).findall
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, find(text or ""))), dtype=np.int32) for text in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(ids))], names=[id_col, "ids"])
+            for part in in_parts(batch, 1):
+                ids, ends = known.encode([find(text or "") for text in part.column(1).to_pylist()])
+                packed = [ids[i:j].astype("<u4").tobytes() for i, j in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), ids), pa.array(packed, pa.binary())], names=[id_col, "ids", "ids_le"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, ids_le binary")
+
 
+def in_parts(batch: pa.RecordBatch, column: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes in one column; at least a row each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // most
+    for own in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1):
+        if len(own):
+            yield batch.slice(int(own[0]), len(own))
 
-def piece_literal(path: str) -> str:
-    """SQL text: the pieces as hexadecimal, by id."""
-    pieces = {rank: piece.hex() for piece, rank in ranks(path).items()}
-    return "split('" + ",".join(pieces.get(i, "") for i in range(max(pieces) + 1)) + "', ',')"
 
+def decode(encoded: DataFrame, ids_col: str, path: str, out_col: str = "decoded") -> DataFrame:
+    """Adds the concatenated binary pieces of an array of ids."""
+    kept = [c for c in encoded.columns if c != out_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks(path)
+        pieces = [b""] * (max(table.values()) + 1)
+        for piece, rank in table.items():
+            pieces[rank] = piece
+        for batch in batches:
+            texts = [None if ids is None else b"".join([pieces[i] for i in ids.tolist() if 0 <= i < len(pieces)]) for ids in map(_array, batch.column(ids_col))]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(texts, pa.binary())], names=[*kept, out_col])
 
-def decode_expression(ids: str, path: str) -> str:
-    """SQL text: the concatenated binary pieces of an array of ids."""
-    return _let(piece_literal(path), "v", f"unhex(array_join(transform({ids}, i -> coalesce(get(v, i), '')), ''))")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(kept).schema)
+    return encoded.select(kept).mapInArrow(run, f"{schema}, `{out_col}` binary")
 
 
-def little_endian_expression(ids: str, size: int) -> str:
-    """SQL text: ids below ``size`` (at most 65,536) as unsigned 32-bit integers, low byte first."""
-    words = "split('" + ",".join(i.to_bytes(4, "little").hex() for i in range(size)) + "', ',')"
-    return _let(words, "v", f"unhex(array_join(transform({ids}, i -> v[i]), ''))")
+def _array(value: pa.ListScalar) -> np.ndarray | None:
+    return value.values.to_numpy(zero_copy_only=False) if value.is_valid else None
 
 
 def digest(encoded: DataFrame, id_col: str, path: str) -> DataFrame:
     """Per document the number of ids, the SHA-256 of the ids and of the bytes they decode to."""
-    return encoded.select(
+    return decode(encoded, "ids", path).select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.expr(little_endian_expression("ids", len(ranks(path)))), 256).alias("ids_sha256"),
-        F.sha2(F.expr(decode_expression("ids", path)), 256).alias("decoded_sha256"),
+        F.sha2("ids_le", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
