@@ -22,16 +22,15 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_share, sample_share
+from riskloom.llm.common import in_parts, in_share, sample_share
 
 SLOTS, GROUPS, NONE = 1 << 17, 1 << 16, 1_000_000
 #: Words in the table that the higher-order functions build, documents that propose them, cached words of a worker.
-HOT_WORDS, HOT_DOCUMENTS, CACHED = 20_000, 10_000, 800_000
+HOT_WORDS, HOT_DOCUMENTS, CACHED = 20_000, 10_000, 250_000
 
 
 def pattern() -> str:
@@ -237,7 +236,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
             _KEPT[key] = Words(path, sent.value)
         known, find = _KEPT[key], regex.compile(split).findall
         for batch in batches:
-            for part in in_parts(batch, 1):
+            for part in in_parts(batch, 1, 3_000_000):
                 ids, ends = known.encode([find(text or "") for text in part.column(1).to_pylist()])
                 packed = [ids[i:j].astype("<u4").tobytes() for i, j in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), ids), pa.array(packed, pa.binary())], names=[id_col, "ids", "ids_le"])
@@ -246,15 +245,6 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, ids_le binary")
 
 
-def in_parts(batch: pa.RecordBatch, column: int, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about so many bytes in one column; at least a row each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // most
-    for own in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1):
-        if len(own):
-            yield batch.slice(int(own[0]), len(own))
-
-
 def decode(encoded: DataFrame, ids_col: str, path: str, out_col: str = "decoded") -> DataFrame:
     """Adds the concatenated binary pieces of an array of ids."""
     kept = [c for c in encoded.columns if c != out_col]

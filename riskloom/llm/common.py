@@ -2,7 +2,11 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +37,17 @@ def sample_share(count: int, bound: int) -> float:
 def in_share(id_col: str, share: float, salt: int = 17) -> Column:
     """A repeatable sample: rows whose id hashes into the lowest share of the hash range."""
     return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20))
+
+
+def in_parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes in one string or binary column; a row each at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // most
+    for own in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1):
+        if len(own):
+            yield batch.slice(int(own[0]), len(own))
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    """SQL type text of a column."""
+    return df.schema[column].dataType.simpleString()

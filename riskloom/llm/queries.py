@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe
+from riskloom.llm import bpe, langid, media
+from riskloom.llm.common import fold_of
 from riskloom.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -14,5 +15,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", RANKS), "doc_id", RANKS)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model that never saw a fifth of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold_of("doc_id") != 0), "doc_id", "text", "lang")
+    return langid.predict(docs.withColumn("held_out", fold_of("doc_id") == 0), "text", model, ["doc_id", "held_out"])
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as an image, read back and hashed."""
+    return media.media_features(media.text_images(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op4_media": op4_media}
 ORACLES: dict[str, str] = {}
