@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, langid, media
+from riskloom.llm import bpe, decontaminate, langid, media
 from riskloom.llm.common import fold_of
 from riskloom.sources.tables import table
 
@@ -27,5 +27,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.text_images(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op4_media": op4_media}
-ORACLES: dict[str, str] = {}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document."""
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return decontaminate.digest(found, "doc_id")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op4_media": op4_media, "op6_decontamination": op6_decontamination}
+ORACLES = {"op6_decontamination": decontaminate.ORACLE}
