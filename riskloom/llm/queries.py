@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, decontaminate, langid, media
+from riskloom.llm import bpe, decontaminate, langid, media, pii
 from riskloom.llm.common import fold_of
 from riskloom.sources.tables import table
 
@@ -33,5 +33,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found, "doc_id")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op4_media": op4_media, "op6_decontamination": op6_decontamination}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op4_media": op4_media, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii}
 ORACLES = {"op6_decontamination": decontaminate.ORACLE}
