@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import bpe, decontaminate, langid, media, pii
+from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pii
 from riskloom.llm.common import fold_of
 from riskloom.sources.tables import table
 
@@ -38,5 +38,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op4_media": op4_media, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii}
-ORACLES = {"op6_decontamination": decontaminate.ORACLE}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose four-word shingles agree to 0.85 or more."""
+    return jaccard_join.group(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op4_media": op4_media, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op10_jaccard_join": op10_jaccard_join}
+ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
