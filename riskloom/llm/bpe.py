@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, in_share, sample_share
+from riskloom.llm.common import in_parts, in_share, kind_of, sample_share
 
 SLOTS, GROUPS, NONE = 1 << 17, 1 << 16, 1_000_000
 #: Words in the table that the higher-order functions build, documents that propose them, cached words of a worker.
@@ -179,8 +179,8 @@ class Words:
             if size == 9:  # of 72 bytes or more
                 self.add(own, [np.array(self.long(x), np.int32) for x in raws])
             else:
-                for i in range(0, len(own), 20_000):
-                    self.add(own[i : i + 20_000], [np.array([self.table[raw]], np.int32) if raw in self.table else x for raw, x in zip(raws[i : i + 20_000], self.folded(raws[i : i + 20_000]))])
+                for i in range(0, len(own), 8_000):
+                    self.add(own[i : i + 8_000], [np.array([self.table[raw]], np.int32) if raw in self.table else x for raw, x in zip(raws[i : i + 8_000], self.folded(raws[i : i + 8_000]))])
 
     def encode(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many texts in one array, and where each text ends."""
@@ -224,9 +224,9 @@ class Words:
 _KEPT: dict[str, Words] = {}
 
 
-def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+def encode(docs: DataFrame, id_col: str, text_col: str, path: str, decoded_col: str | None = None) -> DataFrame:
     """One row per document: its id column, ``ids``, the tokens of its whole text without special tokens, and ``ids_le``,
-    the ids as little-endian unsigned 32-bit integers."""
+    the ids as little-endian unsigned 32-bit integers. With ``decoded_col`` the same pass decodes what it has encoded."""
     sent = docs.sparkSession.sparkContext.broadcast(hot_words(docs, id_col, text_col, path))
     split, key = pattern(), uuid.uuid4().hex
 
@@ -234,15 +234,34 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
         if key not in _KEPT:
             _KEPT.clear()
             _KEPT[key] = Words(path, sent.value)
-        known, find = _KEPT[key], regex.compile(split).findall
+        known, find, pieces = _KEPT[key], regex.compile(split).findall, None
         for batch in batches:
-            for part in in_parts(batch, 1, 3_000_000):
+            for part in in_parts(batch, 1, 1_500_000):
                 ids, ends = known.encode([find(text or "") for text in part.column(1).to_pylist()])
                 packed = [ids[i:j].astype("<u4").tobytes() for i, j in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), ids), pa.array(packed, pa.binary())], names=[id_col, "ids", "ids_le"])
+                columns = [part.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), ids), pa.array(packed, pa.binary())]
+                if decoded_col:
+                    pieces = pieces or piece_list(path)
+                    columns.append(pa.array([joined(pieces, np.frombuffer(x, "<u4")) for x in packed], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, ids_le binary")
+    names = [id_col, "ids", "ids_le", *([decoded_col] if decoded_col else [])]
+    schema = f"`{id_col}` {kind_of(docs, id_col)}, ids array<int>, ids_le binary" + (f", `{decoded_col}` binary" if decoded_col else "")
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def piece_list(path: str) -> list[bytes]:
+    """The binary pieces by id."""
+    table = ranks(path)
+    pieces = [b""] * (max(table.values()) + 1)
+    for piece, rank in table.items():
+        pieces[rank] = piece
+    return pieces
+
+
+def joined(pieces: list[bytes], ids: np.ndarray) -> bytes:
+    """The concatenated pieces; ids outside the table have none."""
+    return b"".join([pieces[i] for i in ids.tolist() if 0 <= i < len(pieces)])
 
 
 def decode(encoded: DataFrame, ids_col: str, path: str, out_col: str = "decoded") -> DataFrame:
@@ -250,25 +269,18 @@ def decode(encoded: DataFrame, ids_col: str, path: str, out_col: str = "decoded"
     kept = [c for c in encoded.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks(path)
-        pieces = [b""] * (max(table.values()) + 1)
-        for piece, rank in table.items():
-            pieces[rank] = piece
+        pieces = piece_list(path)
         for batch in batches:
-            texts = [None if ids is None else b"".join([pieces[i] for i in ids.tolist() if 0 <= i < len(pieces)]) for ids in map(_array, batch.column(ids_col))]
+            texts = [joined(pieces, x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(texts, pa.binary())], names=[*kept, out_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(kept).schema)
+    schema = ", ".join(f"`{c}` {kind_of(encoded, c)}" for c in kept)
     return encoded.select(kept).mapInArrow(run, f"{schema}, `{out_col}` binary")
 
 
-def _array(value: pa.ListScalar) -> np.ndarray | None:
-    return value.values.to_numpy(zero_copy_only=False) if value.is_valid else None
-
-
-def digest(encoded: DataFrame, id_col: str, path: str) -> DataFrame:
-    """Per document the number of ids, the SHA-256 of the ids and of the bytes they decode to."""
-    return decode(encoded, "ids", path).select(
+def digest(encoded: DataFrame, id_col: str) -> DataFrame:
+    """Of rows with ``ids``, ``ids_le`` and ``decoded``: per document the number of ids, the SHA-256 of the ids and of the bytes they decode to."""
+    return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"),

@@ -12,7 +12,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the encoded and decoded text of every document."""
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", RANKS), "doc_id", RANKS)
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", RANKS, "decoded"), "doc_id")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
