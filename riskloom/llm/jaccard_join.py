@@ -8,7 +8,8 @@ runs between class representatives. Two sets with a and b members are similar wh
 * Heavy sets, and the light ones near the boundary, scan inverted lists of their rarest members: sets that are similar meet
   in the first n - ceil(0.85 n) + 1 members under one order of all members. Members that are frequent in a bounded sample
   come last in that order; the order changes the cost, never the result.
-* The boundary is the largest size whose subsets cost less than scanning its lists, at the list length of the sample.
+* The boundary is the largest size whose subsets cost less than scanning its lists: a list costs one, and each set that is
+  met there, as often as in the sample, costs as much as ``VERIFY`` lists.
 
 Both give lists (key, set). Copies in their thousands must not be paired with each other, so a list first pairs its sets
 with a pivot, verified links merge groups, and lists whose sets are in one group are done. The rest pairs only sets of
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import in_parts, in_share, kind_of, sample_share, written
 from riskloom.llm.graph import components
 
-WORDS, PERCENT, SAMPLE, FREQUENT, LIGHTEST, LIGHT_MOST, STARS = 4, 85, 10_000, 8, 6, 26, 2
+WORDS, PERCENT, SAMPLE, FREQUENT, LIGHTEST, LIGHT_MOST, VERIFY, STARS = 4, 85, 10_000, 8, 6, 20, 20, 2
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -93,7 +94,7 @@ def boundary(list_length: float) -> int:
     """The largest light size: listing its subsets costs less than scanning lists of this length."""
     light = LIGHTEST
     for a in range(LIGHTEST + 1, LIGHT_MOST + 1):
-        if sum(comb(a, c) for c in subset_sizes(a, a)) > (a - at_least(a) + 1) * (1 + list_length):
+        if sum(comb(a, c) for c in subset_sizes(a, a)) > (a - at_least(a) + 1) * (1 + VERIFY * list_length):
             break
         light = a
     return light
@@ -105,7 +106,7 @@ def keys(members: np.ndarray, light: int, frequent: dict[int, int]) -> np.ndarra
     if 0 < n <= light:
         for c in subset_sizes(n, light):
             sums = [members[list(kept)].sum(dtype=np.uint64) for kept in combinations(range(n), c)]
-            out.append(mixed(np.array(sums, np.uint64) + np.uint64(c) * _ODD[1]))
+            out.append(mixed(np.array(sums, np.uint64) + np.array([c], np.uint64) * _ODD[1]))
     if n >= at_least(light + 1):
         counts = np.array([frequent.get(x, 0) for x in members.tolist()]) if frequent else np.zeros(n, int)
         out.append(members[np.lexsort((members, counts))[: n - at_least(n) + 1]])
@@ -122,9 +123,10 @@ def _frequent(docs: DataFrame, text_col: str, share: float) -> tuple[dict[int, i
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler.shingles(x) for x in part.column(0).to_pylist()] or [np.zeros(0, np.uint64)]).view(np.int64))], names=["member"])
 
     counted = docs.select(text_col).distinct().mapInArrow(run, "member bigint").groupBy("member").count()
-    counted = written(counted.where("count > 1"), "members")
-    squares = counted.where(f"count < {FREQUENT}").agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1)), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    found = {row[0] % 2**64: row[1] for row in counted.where(f"count >= {FREQUENT}").collect()}
+    counted = written(counted.groupBy("count", F.when(F.col("count") >= FREQUENT, F.col("member")).alias("member")).agg(F.count("*").alias("times")), "members")
+    rare, all_ = F.when(F.col("member").isNull(), F.col("count") * (F.col("count") - 1) * F.col("times")), F.col("count") * F.col("times")
+    squares = counted.agg(F.coalesce(F.sum(rare), F.lit(0)), F.coalesce(F.sum(all_), F.lit(0))).first()
+    found = {row[0] % 2**64: row[1] for row in counted.where("member is not null").select("member", "count").collect()}
     return found, squares[0] / max(squares[1], 1) / share
 
 
