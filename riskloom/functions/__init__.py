@@ -1 +1 @@
-
+"""Column builders: projections, scalar functions, conditions and expressions."""
