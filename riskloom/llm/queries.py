@@ -2,8 +2,9 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pii
+from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pages, pii
 from riskloom.llm.common import fold_of
 from riskloom.sources.tables import table
 
@@ -43,5 +44,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.group(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op4_media": op4_media, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op10_jaccard_join": op10_jaccard_join}
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html").withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op3_page_text": op3_page_text, "op4_media": op4_media, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op10_jaccard_join": op10_jaccard_join}
 ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
