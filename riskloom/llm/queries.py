@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pages, pii
+from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pages, pii, sharding, toxicity
 from riskloom.llm.common import fold_of
 from riskloom.sources.tables import table
 
@@ -49,5 +49,18 @@ def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"), "page_id", "url", "html").withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op3_page_text": op3_page_text, "op4_media": op4_media, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op10_jaccard_join": op10_jaccard_join}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, "doc_id", "text", toxicity.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document lies after its arrival and one compaction, and the hash of its text as read from there."""
+    docs = table(spark, sf_dir, "documents")
+    held = sharding.shard(docs, "doc_id")
+    return held.select("doc_id", F.element_at(F.split("shard", "/data/"), -1).alias("shard"), "version", "tier", "shard_rows", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op3_page_text": op3_page_text, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op10_jaccard_join": op10_jaccard_join}
 ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
