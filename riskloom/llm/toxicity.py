@@ -1,7 +1,7 @@
 """Toxicity as a severity grade, by cumulative-link ordinal regression on sparse text features.
 
-Grades: 0 for documents labelled clean; toxic ones are 1 or 2 as their share of marked words lies below or above the
-median of the toxic ones, where marked words are those that toxic documents use far more often. One weight vector serves both
+Grades: 0 for documents labelled clean; toxic ones are 1, or 2 where they have more marked words than the
+median toxic one, where marked words are those that toxic documents use far more often. One weight vector serves both
 thresholds: P(grade > k) = sigmoid(w x - t_k), t_0 < t_1. Features are hashed words and word beginnings, each
 counted once; those that do not mark toxicity have no weight. The output is the expected severity, the sum of both tails.
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import in_parts, in_share, kind_of, sample_share
 
-BOUND, ROUNDS, RATE, DECAY, STRENGTH, LEAST, MARK = 12_000, 200, 0.5, 1e-3, 6.0, 8, 3.0
+BOUND, ROUNDS, RATE, DECAY, STRENGTH, LEAST, MARK = 12_000, 1_000, 0.5, 1e-4, 6.0, 8, 12.0
 #: Everything below the letters of ASCII, and its other signs, separates words.
 _FOLD = {i: " " for i in range(128) if not chr(i).isalnum()}
 
@@ -56,7 +56,7 @@ class Ordinal:
         flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
         self.cuts = np.array([1.0, 2.0])
         gather, past = np.zeros_like(self.weights), np.zeros(2)
-        weight = np.where(grades > 0, 0.5 / max((grades > 0).sum(), 1), 0.5 / max((grades == 0).sum(), 1))
+        weight = np.where(grades > 0, 3.0, 1.0) / len(rows)
         for _ in range(ROUNDS):
             up = self.tails(rows)
             lower, upper = np.column_stack([np.ones(len(rows)), up])[np.arange(len(rows)), grades], np.column_stack([up, np.zeros(len(rows))])[np.arange(len(rows)), grades]
@@ -103,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         return model
     model = Ordinal(marked_words(rows, toxic))
     places = [model.places(x) for x in rows]
-    density = np.array([len(x) / max(len(y), 1) for x, y in zip(places, rows)])
-    grades = np.where(toxic == 1, 1 + (density > np.median(density[toxic == 1])), 0)
+    marked = np.array([len(x) for x in places])
+    grades = np.where(toxic == 1, 1 + (marked > np.median(marked[toxic == 1])), 0)
     model.train(places, grades)
     return model
 
