@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pages, pii, sharding, toxicity
+from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pages, pii, sharding, suffix_tree, toxicity
 from riskloom.llm.common import fold_of
 from riskloom.sources.tables import table
 
@@ -62,5 +62,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", F.element_at(F.split("shard", "/data/"), -1).alias("shard"), "version", "tier", "shard_rows", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op3_page_text": op3_page_text, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op10_jaccard_join": op10_jaccard_join}
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a suffix tree that never saw a fifth of them."""
+    docs = table(spark, sf_dir, "documents")
+    told = suffix_tree.score(docs, "doc_id", "text", suffix_tree.fit(docs.where(fold_of("doc_id") != 1), "text"))
+    return told.select("doc_id", (fold_of("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op3_page_text": op3_page_text, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_suffix_tree": op9_suffix_tree, "op10_jaccard_join": op10_jaccard_join}
 ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
