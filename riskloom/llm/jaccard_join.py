@@ -55,7 +55,7 @@ class Shingler:
             self.known.clear()
         got = list(map(self.known.get, words))
         if None in got:
-            for word in set(words) - self.known.keys():
+            for word in (w for w in set(words) if w not in self.known):
                 self.known[word] = xxhash.xxh3_64_intdigest(word)
             got = list(map(self.known.__getitem__, words))
         return np.array(got, np.uint64)
