@@ -81,7 +81,7 @@ def score_bands(log: DataFrame, score: str, edges: list[float], words: list[str]
     band = F.lit(0)
     for edge in edges:
         band = band + F.when(F.col(score) >= edge, 1).otherwise(0)
-    return log.groupBy(band.alias("band")).pivot("decision_result", words).agg(F.count("*")).na.fill(0)
+    return log.groupBy(band.alias("band")).pivot("decision_result", words).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def time_trends(log: DataFrame, pattern: str) -> DataFrame:

@@ -1 +1,177 @@
-"""Queries."""
+"""Queries of the streaming operators (ST), the stream sources and sinks (S-05, S-12 to S-14) and UD-06, UD-07."""
+
+from pyspark.sql import functions as F
+
+from riskloom.plans.registry import register
+from riskloom.sources.ingest import scratch
+from riskloom.sources.tables import table
+from riskloom.streaming import features as V
+
+
+def _events(spark, d, kind=None):
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.where(F.col("event_type") == kind) if kind else rows
+
+
+def _stamp(*cols):
+    return [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in cols]
+
+
+_JSON = "CASE WHEN event_id % 50 = 0 THEN '{broken' ELSE to_json(named_struct('customerId', if(event_id % 50 = 7, '', CAST(user_id AS STRING)), 'eventTime', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'amount', if(event_id % 50 = 9, -1.0D, value), 'op_type', if(event_id % 50 = 11, 'MERGE', 'INSERT'))) END"
+_SCHEMA = "customerId STRING, eventTime TIMESTAMP, amount DOUBLE"
+
+
+def _lines(spark, d):
+    return table(spark, d, "events").select("event_id", F.expr(_JSON).alias("value"))
+
+
+def _stream(spark, d, parts=1):
+    """The events as a stream: a few files in the order of time."""
+    path = scratch(spark, "stream")
+    rows = _lines(spark, d).join(table(spark, d, "events").select("event_id", "ts"), "event_id")
+    rows.repartitionByRange(parts, "ts").sortWithinPartitions("ts").select("value").write.text(path)
+    return V.event_source(spark, path)
+
+
+@register("st01_parse_events", "SELECT event_id FROM events WHERE event_id % 50 NOT IN (0, 7)")
+def st01(spark, d):
+    good, _ = V.parse_events(_lines(spark, d).select(F.concat(F.regexp_replace("value", r"\}$", ""), F.lit(',"event_id":'), "event_id", F.lit("}")).alias("value")), _SCHEMA + ", event_id BIGINT", ["customerId", "eventTime"])
+    return good.select("event_id")
+
+
+@register("s05_event_source", "SELECT count(*) AS n FROM events WHERE event_id % 50 NOT IN (0, 7)")
+def s05(spark, d):
+    good, _ = V.parse_events(_stream(spark, d), _SCHEMA, ["customerId", "eventTime"])
+    path = scratch(spark, "out")
+    V.run_available(good, path)
+    return spark.read.parquet(f"{path}/data").agg(F.count("*").alias("n"))
+
+
+def _windows(spark, d, delay):
+    good, _ = V.parse_events(_stream(spark, d), _SCHEMA, ["customerId", "eventTime"])
+    timed = V.with_event_time(good, "eventTime", delay)
+    path = scratch(spark, "out")
+    V.run_available(V.tumbling_feature(timed, "customerId", "eventTime", "1 hour", "amount"), path)
+    return spark.read.parquet(f"{path}/data").select("customerId", *_stamp("window_start", "window_end"), "n")
+
+
+@register("st02_watermark_0s")
+def st02(spark, d):
+    return _windows(spark, d, "0 seconds")
+
+
+@register("st03_watermark_5s")
+def st03(spark, d):
+    return _windows(spark, d, "5 seconds")
+
+
+@register("st04_late_data_drop")
+def st04(spark, d):
+    """The windows that the events before the last day close; the same day in a late file changes none of them."""
+    path = scratch(spark, "late")
+    rows = _lines(spark, d).join(table(spark, d, "events").select("event_id", "ts"), "event_id")
+    rows.orderBy("ts").coalesce(1).select("value").write.text(path)
+    good, _ = V.parse_events(V.event_source(spark, path), _SCHEMA, ["customerId", "eventTime"])
+    out = scratch(spark, "out")
+    V.run_available(V.tumbling_feature(V.with_event_time(good, "eventTime", "0 seconds"), "customerId", "eventTime", "1 day", "amount"), out)
+    return spark.read.parquet(f"{out}/data").select("customerId", *_stamp("window_start"), "n")
+
+
+def _sliding_sql(kind, size, slide, total=False):
+    extra = ", round(sum(value), 3) AS total" if total else ""
+    return f"SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n{extra} FROM events, unnest(generate_series(time_bucket(INTERVAL {slide}, ts, TIMESTAMP '1970-01-01') - INTERVAL {size} + INTERVAL {slide}, time_bucket(INTERVAL {slide}, ts, TIMESTAMP '1970-01-01'), INTERVAL {slide})) t(w) WHERE event_type = '{kind}' GROUP BY ALL"
+
+
+@register("st05_credit_query_3m", _sliding_sql("view", "90 DAY", "6 HOUR"))
+def st05(spark, d):
+    return V.sliding_feature(_events(spark, d, "view"), "user_id", "ts", "90 days", "6 hours").select("user_id", *_stamp("window_start"), "n")
+
+
+@register("st06_apply_freq_1m", _sliding_sql("signup", "30 DAY", "1 HOUR"))
+def st06(spark, d):
+    return V.sliding_feature(_events(spark, d, "signup"), "user_id", "ts", "30 days", "1 hour").select("user_id", *_stamp("window_start"), "n")
+
+
+@register("st07_overdue_6m", _sliding_sql("error", "180 DAY", "1 DAY", True))
+def st07(spark, d):
+    return V.sliding_feature(_events(spark, d, "error"), "user_id", "ts", "180 days", "1 day", "value").select("user_id", *_stamp("window_start"), "n", F.round("total", 3).alias("total"))
+
+
+@register("st13_window_parameters", _sliding_sql("purchase", "12 HOUR", "4 HOUR", True))
+def st13(spark, d):
+    return V.sliding_feature(_events(spark, d, "purchase"), "user_id", "ts", "12 hours", "4 hours", "value").select("user_id", *_stamp("window_start"), "n", F.round("total", 3).alias("total"))
+
+
+_HOUR = "SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, round(sum(value), 3) AS total, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_type = 'purchase'{} GROUP BY 1, 2"
+
+
+def _hourly(rows):
+    return V.tumbling_feature(rows, "user_id", "ts", "1 hour", "value").select("user_id", *_stamp("window_start"), F.round("total", 3).alias("total"), "n", F.round("mean", 6).alias("mean"))
+
+
+@register("st08_transaction_1h", _HOUR.format(""))
+def st08(spark, d):
+    return _hourly(_events(spark, d, "purchase"))
+
+
+@register("st09_stream_filter", _HOUR.format(" AND value >= 20 AND user_id > 0"))
+def st09(spark, d):
+    return _hourly(_events(spark, d, "purchase").where("user_id > 0 AND value >= 20"))
+
+
+@register("ud06_mergeable_aggregate", _HOUR.format(""))
+def ud06(spark, d):
+    minutes = V.tumbling_feature(_events(spark, d, "purchase"), "user_id", "ts", "1 minute", "value")
+    hours = minutes.groupBy("user_id", F.date_trunc("hour", "window_start").alias("window_start")).agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
+    return hours.select("user_id", *_stamp("window_start"), F.round("t", 3).alias("total"), "n", F.round(F.col("t") / F.col("n"), 6).alias("mean"))
+
+
+_BAD = "SELECT event_id, 'SCHEMA' AS rule, 'payload' AS field FROM events WHERE event_id % 50 = 0 UNION ALL SELECT event_id, 'SCHEMA', 'op_type' FROM events WHERE event_id % 50 = 11 UNION ALL SELECT event_id, 'COMPLETENESS', 'customerId' FROM events WHERE event_id % 50 = 7 UNION ALL SELECT event_id, 'ACCURACY', 'amount' FROM events WHERE event_id % 50 = 9"
+
+
+@register("st10_stream_quality", f"SELECT rule, field, count(*) AS n FROM ({_BAD}) GROUP BY 1, 2")
+def st10(spark, d):
+    return V.stream_quality(_lines(spark, d)).groupBy("rule", "field").agg(F.count("*").alias("n"))
+
+
+@register("ud07_one_to_many", f"SELECT count(*) AS n FROM ({_BAD})")
+def ud07(spark, d):
+    return V.stream_quality(_lines(spark, d)).agg(F.count("*").alias("n"))
+
+
+@register("st11_shape_alert", "SELECT doc_id, length(substr(text, 1, 500)) AS size, 'HIGH' AS severity FROM documents")
+def st11(spark, d):
+    return V.shape_alert(table(spark, d, "documents").withColumnRenamed("text", "payload")).select("doc_id", F.length("payload").cast("long").alias("size"), "severity")
+
+
+@register("st12_latest_window", "SELECT user_id, strftime(max(time_bucket(INTERVAL 1 HOUR, ts)), '%Y-%m-%d %H:%M:%S') AS window_start FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def st12(spark, d):
+    hourly = V.tumbling_feature(_events(spark, d, "purchase"), "user_id", "ts", "1 hour", "value")
+    return V.latest_window(hourly, "user_id").select("user_id", *_stamp("window_start"))
+
+
+def _feature_stream(spark, d):
+    good, _ = V.parse_events(_stream(spark, d), _SCHEMA, ["customerId", "eventTime"])
+    return V.tumbling_feature(V.with_event_time(good, "eventTime", "0 seconds"), "customerId", "eventTime", "1 hour", "amount")
+
+
+@register("s12_latest_feature_sink")
+def s12(spark, d):
+    path = scratch(spark, "latest")
+    query = V.upsert_latest_features(_feature_stream(spark, d), "customerId", path)
+    last = max(int(p["batchId"]) for p in query.recentProgress)
+    return spark.read.parquet(f"{path}/state/{last}").select("customerId", *_stamp("window_start"), "n")
+
+
+@register("s13_feature_history_sink")
+def s13(spark, d):
+    path = scratch(spark, "history")
+    V.append_feature_history(_feature_stream(spark, d), ["customerId", "window_start"], path)
+    return spark.read.parquet(f"{path}/history").select("customerId", *_stamp("window_start"), "n")
+
+
+@register("s14_alert_sink", f"SELECT rule, field, 'HIGH' AS severity, count(*) AS n FROM ({_BAD}) GROUP BY 1, 2")
+def s14(spark, d):
+    path = scratch(spark, "alerts")
+    V.write_alerts(V.stream_quality(_stream(spark, d)).withColumn("at", F.lit("2024-01-31").cast("timestamp")), path, "at")
+    return spark.read.parquet(f"{path}/data").groupBy("rule", "field", "severity").agg(F.count("*").alias("n"))

@@ -1 +1,121 @@
-"""x"""
+"""Sources, windows, quality rules and sinks of event streams."""
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+# Fixed values of the change-stream rules.
+OPERATIONS, REQUIRED, NOT_NEGATIVE = ("INSERT", "UPDATE", "DELETE"), ("customerId", "eventTime"), ("amount", "overdueDays")
+
+
+def event_source(spark: SparkSession, path: str | None = None, kafka: dict | None = None, files_per_trigger: int = 1) -> DataFrame:
+    """A stream of ``value`` texts: Kafka from the earliest offsets, or a folder of text files."""
+    if kafka:
+        return spark.readStream.format("kafka").options(startingOffsets="earliest", **kafka).load().select(F.col("value").cast("string"))
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+
+
+def parse_events(df: DataFrame, schema: str, required: list[str], col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Good rows, and bad ones as their texts: not an object, or a required field missing or empty. Extra fields are ignored."""
+    parsed = df.select(F.col(col).alias("_raw"), F.from_json(col, schema).alias("_e"))
+    good = F.lit(True)
+    for name in required:
+        good = good & F.col(f"_e.{name}").isNotNull() & (F.col(f"_e.{name}").cast("string") != "")
+    good = F.coalesce(F.col("_e").isNotNull() & good, F.lit(False))
+    return parsed.where(good).select("_e.*"), parsed.where(~good).select(F.col("_raw").alias(col))
+
+
+def with_event_time(df: DataFrame, col: str, delay: str) -> DataFrame:
+    """A timestamp column with its watermark; rows without a time cannot enter windows."""
+    return df.withColumn(col, F.col(col).cast("timestamp")).where(F.col(col).isNotNull()).withWatermark(col, delay)
+
+
+def tumbling_feature(df: DataFrame, key: str, at: str, size: str, amount: str) -> DataFrame:
+    """Total, count and mean per key and window."""
+    made = df.groupBy(F.window(at, size), key).agg(F.sum(amount).alias("total"), F.count("*").alias("n"), F.avg(amount).alias("mean"))
+    return made.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "total", "n", "mean")
+
+
+def sliding_feature(df: DataFrame, key: str, at: str, size: str, slide: str, amount: str | None = None) -> DataFrame:
+    """Count (and sum) per key and sliding window, in two stages: panes of the slide's width first, then panes into windows,
+    so that an event is not copied size / slide times."""
+    panes = df.groupBy(F.window(at, slide), key).agg(F.count("*").alias("n"), F.sum(F.col(amount) if amount else F.lit(0)).alias("total"))
+    made = panes.groupBy(F.window(F.window_time("window"), size, slide), key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return made.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n", *(["total"] if amount else []))
+
+
+def rolling_feature(df: DataFrame, key: str, at: str, days: int, amount: str) -> DataFrame:
+    """Batch form: count and sum over the days up to each event."""
+    df = df.withColumn("_s", F.unix_micros(F.col(at).cast("timestamp")))
+    w = Window.partitionBy(key).orderBy("_s").rangeBetween(-days * 86_400_000_000, 0)
+    return df.withColumns({"n": F.count("*").over(w), "total": F.sum(amount).over(w)}).drop("_s")
+
+
+def latest_window(features: DataFrame, key: str) -> DataFrame:
+    """The row of the newest window per key."""
+    rest = [c for c in features.columns if c != key]
+    return features.groupBy(key).agg(F.max_by(F.struct(*rest), "window_end").alias("r")).select(key, "r.*")
+
+
+def stream_quality(df: DataFrame, col: str = "value") -> DataFrame:
+    """Violations (rule, field, payload) of change records; one record may have many."""
+    root = F.from_json(F.col(col), "map<string,string>")
+    number = lambda f: F.get_json_object(col, f"$.{f}").try_cast("double")
+
+    def violation(test: Column, rule: str, field: str) -> Column:
+        return F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(field).alias("field")))
+
+    op = F.col("_m")["op_type"]
+    broken = F.col("_m").isNull()
+    rules = [violation(broken, "SCHEMA", "payload"), violation(~broken & (op.isNull() | ~op.isin(*OPERATIONS)), "SCHEMA", "op_type")]
+    rules += [violation(~broken & (F.coalesce(F.col("_m")[f], F.lit("")) == ""), "COMPLETENESS", f) for f in REQUIRED]
+    rules += [violation(~broken & F.coalesce(number(f) < 0, F.lit(False)), "ACCURACY", f) for f in NOT_NEGATIVE]
+    found = df.withColumn("_m", root).withColumn("_v", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())))
+    return found.select("_v.rule", "_v.field", F.col(col).alias("payload"))
+
+
+def shape_alert(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Payload cut to 500 characters, severity HIGH."""
+    return df.withColumn(payload, F.substring(payload, 1, 500)).withColumn("severity", F.lit("HIGH"))
+
+
+def run_available(stream: DataFrame, path: str, mode: str = "append", batch=None):
+    """Runs a stream over what is there, to a Parquet folder or a function of each batch; the checkpoint lies beside."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True)
+    query = writer.foreachBatch(batch).start() if batch else writer.format("parquet").option("path", f"{path}/data").start()
+    query.awaitTermination()
+    return query
+
+
+def upsert_latest_features(stream: DataFrame, key: str, path: str):
+    """Keeps the newest window per key: every batch is merged with the state before it and written as the next version."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = latest_window(batch, key)
+        if number:
+            now = latest_window(now.unionByName(spark.read.parquet(f"{path}/state/{number - 1}")), key)
+        now.write.mode("overwrite").parquet(f"{path}/state/{number}")
+
+    return run_available(stream, path, "append", merge)
+
+
+def append_feature_history(stream: DataFrame, keys: list[str], path: str):
+    """Appends features; a replayed batch replaces itself, so a key is stored once per batch."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/history/batch={number}")
+
+    return run_available(stream, path, "append", write)
+
+
+def write_alerts(stream: DataFrame, path: str, at: str):
+    """Alerts by month, with default severity."""
+    shaped = shape_alert(stream).withColumn("month", F.date_format(at, "yyyy-MM"))
+    query = shaped.writeStream.option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).partitionBy("month").format("parquet").option("path", f"{path}/data").start()
+    query.awaitTermination()
+    return query
+
+
+def live(features: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """Rows whose window ended within the last hours: the age limit on reading."""
+    return features.where(F.col("window_end") >= as_of - F.make_interval(hours=F.lit(hours)))
