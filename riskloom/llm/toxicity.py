@@ -18,9 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, in_share, kind_of, sample_share
+from riskloom.llm.common import in_parts, in_share, kind_of, sample_share, written
 
-BOUND, ROUNDS, RATE, DECAY, STRENGTH, LEAST, MARK = 12_000, 1_000, 0.5, 1e-4, 6.0, 8, 12.0
+BOUND, ROUNDS, RATE, DECAY, STRENGTH, LEAST, MARK = 8_000, 1_000, 0.5, 1e-4, 6.0, 8, 12.0
 #: Everything below the letters of ASCII, and its other signs, separates words.
 _FOLD = {i: " " for i in range(128) if not chr(i).isalnum()}
 
@@ -72,15 +72,16 @@ class Ordinal:
             self.cuts[1] = max(self.cuts[1], self.cuts[0] + 0.1)
 
 
-def marked_words(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The features that toxic documents have ``MARK`` times as often, by more than ``STRENGTH`` standard errors; sorted."""
-    words, which = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(toxic, [len(x) for x in rows])
-    n = np.array([(toxic == k).sum() for k in (0, 1)])
-    counts = np.array([np.bincount(which[owner == k], minlength=len(words)) for k in (0, 1)])
-    share, pooled = counts / n[:, None], counts.sum(0) / n.sum()
-    z = (share[1] - share[0]) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n).sum())
-    return words[(z > STRENGTH) & (counts.sum(0) >= LEAST) & (share[1] > MARK * share[0])]
+def marked_words(sample: DataFrame) -> np.ndarray:
+    """The features that toxic documents have ``MARK`` times as often, by more than ``STRENGTH`` standard errors; sorted.
+
+    sample: toxic, words. Only the marks reach the driver; there are at most sample words / LEAST of them."""
+    n0, n1 = sample.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    counts = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
+    toxic, clean, pooled = F.col("k") / n1, (F.col("n") - F.col("k")) / n0, F.col("n") / (n0 + n1)
+    z = (toxic - clean) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n0 + 1 / n1))
+    marks = counts.where((F.col("n") >= LEAST) & (toxic > MARK * clean) & (z > STRENGTH)).select("word").toArrow()
+    return np.sort(marks.column("word").to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, bound: int = BOUND) -> Ordinal:
@@ -90,19 +91,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     model = Ordinal()
     if len(share) < 2:
         return model
+    # the sample has about ``bound`` ids at any size of the tables, so it can be sent to all tasks
     chosen = known.where(F.when(F.col("_toxic") == 1, in_share(id_col, share[1], 41)).otherwise(in_share(id_col, share[0], 41)))
-    sample = docs.select(id_col, text_col).join(chosen, id_col).dropDuplicates([text_col, "_toxic"])
+    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([text_col, "_toxic"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["toxic", "words"])
 
-    got = sample.select(F.col("_toxic").cast("int"), text_col).mapInArrow(run, "toxic int, words array<bigint>").toArrow()
-    rows, toxic = [x.values.to_numpy(zero_copy_only=False) for x in got.column("words")], got.column("toxic").to_numpy()
-    if len(set(toxic.tolist())) < 2:
+    held = written(sample.select(F.col("_toxic").cast("int"), text_col).mapInArrow(run, "toxic int, words array<bigint>"), "toxic")
+    if held.select("toxic").distinct().count() < 2:
         return model
-    model = Ordinal(marked_words(rows, toxic))
-    places = [model.places(x) for x in rows]
+    model = Ordinal(marked_words(held))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [sent.value.places(x.values.to_numpy(zero_copy_only=False)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int64()))], names=["toxic", "places"])
+
+    got = held.mapInArrow(place, "toxic int, places array<bigint>").toArrow()
+    rows = sorted((t, x) for t, x in zip(got.column("toxic").to_pylist(), got.column("places").to_pylist()))
+    toxic, places = np.array([t for t, _ in rows]), [np.array(x, np.int64) for _, x in rows]
     marked = np.array([len(x) for x in places])
     grades = np.where(toxic == 1, 1 + (marked > np.median(marked[toxic == 1])), 0)
     model.train(places, grades)
