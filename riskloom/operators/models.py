@@ -91,13 +91,13 @@ def cumulative_rates(df: DataFrame, y: str, p: str, descending: bool = True) ->
     run = bucketed_running(counts, "p", ["ones", "zeros"], descending)
     totals = counts.agg(F.sum("ones").alias("_1"), F.sum("zeros").alias("_0"))
     both = run.join(F.broadcast(totals), F.lit(True))
-    return both.select("p", "n", "ones", "zeros", ((F.col("ones_before") + F.col("ones")) / F.col("_1")).alias("tpr"), ((F.col("zeros_before") + F.col("zeros")) / F.col("_0")).alias("fpr"))
+    return both.select("p", "n", "ones", "zeros", F.try_divide(F.col("ones_before") + F.col("ones"), F.col("_1")).alias("tpr"), F.try_divide(F.col("zeros_before") + F.col("zeros"), F.col("_0")).alias("fpr"))
 
 
 def ks(df: DataFrame, y: str, p: str) -> DataFrame:
     """Largest gap between the cumulative shares over ascending scores, and the lowest score that has it; (0, 0.5) for one class."""
     rates = cumulative_rates(df, y, p, descending=False).withColumn("gap", F.round(F.abs(F.col("tpr") - F.col("fpr")), 12))
-    best = rates.agg(F.max_by("gap", F.struct("gap", -F.col("p"))).alias("ks"), F.max_by("p", F.struct("gap", -F.col("p"))).alias("threshold"))
+    best = rates.where(F.col("gap").isNotNull()).agg(F.max_by("gap", F.struct("gap", -F.col("p"))).alias("ks"), F.max_by("p", F.struct("gap", -F.col("p"))).alias("threshold"))
     return best.select(F.coalesce("ks", F.lit(0.0)).alias("ks"), F.when(F.col("ks").isNull(), 0.5).otherwise(F.col("threshold")).alias("threshold"))
 
 
@@ -105,7 +105,7 @@ def auc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Share of (one, zero) pairs in the right order, ties half; and Gini."""
     counts = df.groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(F.col(y).cast("long")).alias("ones"), F.count_if(F.col(y) == 0).alias("zeros"))
     run = bucketed_running(counts, "p", ["zeros"], descending=False)
-    wins = F.sum(F.col("ones") * (F.col("zeros_before") + F.col("zeros") / 2)) / (F.sum("ones") * F.sum("zeros"))
+    wins = F.try_divide(F.sum(F.col("ones") * (F.col("zeros_before") + F.col("zeros") / 2)), F.sum("ones") * F.sum("zeros"))
     return run.agg(wins.alias("auc")).withColumn("gini", 2 * F.col("auc") - 1)
 
 
