@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import in_parts, in_share, kind_of, sample_share, written
 from riskloom.llm.graph import components
 
-WORDS, PERCENT, SAMPLE, FREQUENT, LIGHTEST, LIGHT_MOST, VERIFY, STARS = 4, 85, 10_000, 8, 6, 20, 20, 2
+WORDS, PERCENT, SAMPLE, FREQUENT, LIGHTEST, LIGHT_MOST, VERIFY, STARS, SENT = 4, 85, 10_000, 8, 6, 20, 20, 2, 1_000_000
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -165,6 +165,12 @@ def unpack(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def only(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of the given sets. A short list of ids (counted) goes to the rows; a long one meets them in a shuffle."""
+    reps = written(reps, "reps")
+    return rows.join(F.broadcast(reps) if reps.count() <= SENT else reps, "rep", "left_semi")
+
+
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose stored sets are similar. sets: rep, n, packed."""
     one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("packed").alias("left")), "a")
@@ -199,10 +205,9 @@ def join(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     sets = written(sets_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumnRenamed(id_col, "id"), "sets")
     classes = written(sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
     members = sets.where("n > 0").select("id", "n", "f1", "f2").join(classes.drop("n"), ["f1", "f2"]).select("id", "n", "rep")
-    own = sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
-    lists = own.select(F.explode("keys").alias("key"), "rep", "n")
+    own = only(sets.select(F.col("id").alias("rep"), "n", "keys"), classes.select("rep"))
+    lists = own.select(F.explode("keys").alias("key"), "rep", F.col("n").cast("int").alias("n"))
     lists = written(lists.withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1").drop("many"), "lists")
-    own = written(own.select("rep", "n", "packed").join(lists.select("rep").distinct(), "rep", "left_semi"), "own")
     found, groups = [], None
     for star in range(STARS + 1):
         now = _grouped(lists, groups)
@@ -217,7 +222,9 @@ def join(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
         for tested, _ in found:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        found.append((pairs, written(links(pairs, own), "links")))
+        named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        stored = only(sets.select(F.col("id").alias("rep"), "n", "packed"), named)
+        found.append((pairs, written(links(pairs, stored), "links")))
         linked = found[0][1]
         for _, more in found[1:]:
             linked = linked.union(more)
