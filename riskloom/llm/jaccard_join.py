@@ -13,7 +13,8 @@ runs between class representatives. Two sets with a and b members are similar wh
 
 Both give lists (key, set). Copies in their thousands must not be paired with each other, so a list first pairs its sets
 with a pivot, verified links merge groups, and lists whose sets are in one group are done. The rest pairs only sets of
-different groups. Every candidate is verified on the stored sets; no list, candidate or partner is dropped or capped.
+different groups. Every candidate meets an exact upper bound
+from 64 counts per set first, and is then verified on the stored sets; no list, candidate or partner is dropped or capped.
 
 Defined results: no words or null text gives the empty set, which links with nothing; fewer than four words make one shingle;
 null ids stay rows of their own; repeated rows of an id count once as a set; ids with different texts are not supported.
@@ -145,15 +146,22 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array(np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)),
                     pa.array(np.array([np.bitwise_xor.reduce(mixed(x + _ODD[2])) if len(x) else 0 for x in sets], np.uint64).view(np.int64)),
+                    pa.array([sketch(x) for x in sets], pa.binary()),
                     pa.array([pack(x) for x in sets], pa.binary()),
                     pa.array([keys(x, light, frequent).view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_col, "n", "f1", "f2", "packed", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_col, "n", "f1", "f2", "sketch", "packed", "keys"])
 
-    schema = f"`{id_col}` {kind_of(docs, id_col)}, n bigint, f1 bigint, f2 bigint, packed binary, keys array<bigint>"
+    schema = f"`{id_col}` {kind_of(docs, id_col)}, n bigint, f1 bigint, f2 bigint, sketch binary, packed binary, keys array<bigint>"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """Members in each of 64 ranges of the hash; a count too large for 16 bits gives no bound, so then all are the largest."""
+    counts = np.bincount((members >> np.uint64(58)).astype(np.int64), minlength=64)
+    return np.where(counts.max() > 65535, 65535, counts).astype("<u2").tobytes()
+
+
 def pack(members: np.ndarray) -> bytes:
     """The upper 40 bits of each member, which keep their order."""
     return np.ascontiguousarray((members >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -165,6 +173,21 @@ def unpack(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow enough shared members: range by range, no more than the smaller count. sets: rep, n, sketch."""
+    one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1")), "a")
+    two = one.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "b").select("a", "b", "n1", "n2", "s1", "s2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, 64).astype(np.int64) for c in (batch.column(4), batch.column(5)))
+            most = np.minimum(x, y).sum(1)
+            least = -(-PERCENT * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // (100 + PERCENT))
+            yield batch.select(["a", "b"]).filter(pa.array(most >= least))
+
+    return two.mapInArrow(run, f"a {kind_of(pairs, 'a')}, b {kind_of(pairs, 'b')}")
+
+
 def only(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """Rows of the given sets. A short list of ids (counted) goes to the rows; a long one meets them in a shuffle."""
     reps = written(reps, "reps")
@@ -223,8 +246,10 @@ def join(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        stored = only(sets.select(F.col("id").alias("rep"), "n", "packed"), named)
-        found.append((pairs, written(links(pairs, stored), "links")))
+        sketches = only(sets.select(F.col("id").alias("rep"), "n", "sketch"), named)
+        likely = written(possible(pairs, sketches), "likely")
+        stored = only(sets.select(F.col("id").alias("rep"), "n", "packed"), likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        found.append((pairs, written(links(likely, stored), "links")))
         linked = found[0][1]
         for _, more in found[1:]:
             linked = linked.union(more)
