@@ -25,12 +25,20 @@ def _lines(spark, d):
     return table(spark, d, "events").select("event_id", F.expr(_JSON).alias("value"))
 
 
-def _stream(spark, d, parts=1):
-    """The events as a stream: a few files in the order of time."""
+def _stream(spark, d):
+    """The events as a stream of text files, read in one batch."""
     path = scratch(spark, "stream")
-    rows = _lines(spark, d).join(table(spark, d, "events").select("event_id", "ts"), "event_id")
-    rows.repartitionByRange(parts, "ts").sortWithinPartitions("ts").select("value").write.text(path)
-    return V.event_source(spark, path)
+    _lines(spark, d).select("value").write.text(path)
+    return V.event_source(spark, path, files_per_trigger=1_000_000)
+
+
+def _closed(size, delay):
+    """SQL: windows of the good records that the watermark has passed."""
+    good = "SELECT CAST(user_id AS VARCHAR) AS c, date_trunc('second', ts) AS t FROM events WHERE event_id % 50 NOT IN (0, 7)"
+    return f"WITH g AS ({good}), w AS (SELECT c AS customerId, time_bucket(INTERVAL {size}, t, TIMESTAMP '1970-01-01') AS s, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT * FROM w WHERE s + INTERVAL {size} <= (SELECT max(t) FROM g) - INTERVAL {delay} SECOND)"
+
+
+_START, _END = "strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start", "strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end"
 
 
 @register("st01_parse_events", "SELECT event_id FROM events WHERE event_id % 50 NOT IN (0, 7)")
@@ -55,25 +63,31 @@ def _windows(spark, d, delay):
     return spark.read.parquet(f"{path}/data").select("customerId", *_stamp("window_start", "window_end"), "n")
 
 
-@register("st02_watermark_0s")
+@register("st02_watermark_0s", _closed("1 HOUR", 0) + f" SELECT customerId, {_START}, {_END}, n FROM k")
 def st02(spark, d):
     return _windows(spark, d, "0 seconds")
 
 
-@register("st03_watermark_5s")
+@register("st03_watermark_5s", _closed("1 HOUR", 5) + f" SELECT customerId, {_START}, {_END}, n FROM k")
 def st03(spark, d):
     return _windows(spark, d, "5 seconds")
 
 
-@register("st04_late_data_drop")
+@register("st04_late_data_drop", _closed("1 DAY", 0) + f" SELECT customerId, {_START}, n FROM k")
 def st04(spark, d):
-    """The windows that the events before the last day close; the same day in a late file changes none of them."""
-    path = scratch(spark, "late")
-    rows = _lines(spark, d).join(table(spark, d, "events").select("event_id", "ts"), "event_id")
-    rows.orderBy("ts").coalesce(1).select("value").write.text(path)
-    good, _ = V.parse_events(V.event_source(spark, path), _SCHEMA, ["customerId", "eventTime"])
-    out = scratch(spark, "out")
-    V.run_available(V.tumbling_feature(V.with_event_time(good, "eventTime", "0 seconds"), "customerId", "eventTime", "1 day", "amount"), out)
+    """Daily windows of all events; a later file repeats the events of the first days and changes no closed window."""
+    path, out = scratch(spark, "late"), scratch(spark, "out")
+
+    def run():
+        good, _ = V.parse_events(V.event_source(spark, path, files_per_trigger=1_000_000), _SCHEMA, ["customerId", "eventTime"])
+        V.run_available(V.tumbling_feature(V.with_event_time(good, "eventTime", "0 seconds"), "customerId", "eventTime", "1 day", "amount"), out)
+
+    lines = _lines(spark, d)
+    lines.select("value").write.text(path)
+    run()
+    early = table(spark, d, "events").where("ts < timestamp_ntz'2024-01-05'").select("event_id")
+    lines.join(early, "event_id", "left_semi").select("value").write.mode("append").text(path)
+    run()
     return spark.read.parquet(f"{out}/data").select("customerId", *_stamp("window_start"), "n")
 
 
@@ -155,7 +169,7 @@ def _feature_stream(spark, d):
     return V.tumbling_feature(V.with_event_time(good, "eventTime", "0 seconds"), "customerId", "eventTime", "1 hour", "amount")
 
 
-@register("s12_latest_feature_sink")
+@register("s12_latest_feature_sink", _closed("1 HOUR", 0) + f", l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY customerId ORDER BY s DESC) = 1) SELECT customerId, {_START}, n FROM l")
 def s12(spark, d):
     path = scratch(spark, "latest")
     query = V.upsert_latest_features(_feature_stream(spark, d), "customerId", path)
@@ -163,7 +177,7 @@ def s12(spark, d):
     return spark.read.parquet(f"{path}/state/{last}").select("customerId", *_stamp("window_start"), "n")
 
 
-@register("s13_feature_history_sink")
+@register("s13_feature_history_sink", _closed("1 HOUR", 0) + f" SELECT customerId, {_START}, n FROM k")
 def s13(spark, d):
     path = scratch(spark, "history")
     V.append_feature_history(_feature_stream(spark, d), ["customerId", "window_start"], path)
