@@ -11,8 +11,8 @@ runs between class representatives. Two sets with a and b members are similar wh
 * The boundary is the largest size whose subsets cost less than scanning its lists: a list costs one, and each set that is
   met there, as often as in the sample, costs as much as ``VERIFY`` lists.
 
-Both give lists (key, set). Copies in their thousands must not be paired with each other, so a list first pairs its sets
-with a pivot, verified links merge groups, and lists whose sets are in one group are done. The rest pairs only sets of
+Both give lists (key, set). Copies in their thousands must not be paired with each other, so each list first has a
+pivot, and a set is paired with the pivot that most of its lists share; verified links merge groups, and lists whose sets are in one group are done. The rest pairs only sets of
 different groups. Every candidate meets an exact upper bound
 from 64 counts per set first, and is then verified on the stored sets; no list, candidate or partner is dropped or capped.
 
@@ -236,7 +236,9 @@ def join(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
         now = _grouped(lists, groups)
         if star < STARS:
             first = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(star)), "rep", "n", "grp")).alias("p"))
-            pairs = now.join(first, "key").where((F.col("grp") != F.col("p.grp")) & _sizes_fit("n", "p.n")).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
+            met = now.join(first, "key").where((F.col("grp") != F.col("p.grp")) & _sizes_fit("n", "p.n")).groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("lists"))
+            best = met.groupBy("rep").agg(F.max(F.struct("lists", "pivot"))["pivot"].alias("pivot"))
+            pairs = best.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         else:
             now = written(now, "mixed")
             other = now.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("grp").alias("h"))
