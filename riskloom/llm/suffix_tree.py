@@ -1,12 +1,20 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Tokens are lower-cased words and one end per document. The tree's states are contexts of up to ``ORDER`` words. A context, and a
-word after it, enters by its share of all training tokens (``SHARE``), so that the tree stays bounded at any size; a longer
-context is retained when its next-word distribution diverges from that of the context without its first word:
+Tokens are lower-cased words and one end per document. The tree's states are contexts of up to two words. A context, and a word
+after it, enters from ``LEAST`` training occurrences on, a bar that does not move with the input, so the tree grows with the
+corpus; a context is retained when its next-word distribution diverges from that of the context without its first word:
 count * KL >= ``DIVERGENCE``. Next-word distributions are smoothed by absolute discounting: what the discount frees goes to
 the shorter context in proportion to its own distribution, down to the words' own frequencies (add a half). A text is scored
 word by word in the state of its longest retained suffix.
 
+The log of that probability is a sum over the word, its pair and its triple: log base(c) + rest(b) + gain(b, c) + rest(a, b) +
+gain(a, b, c), each part 0 where the tree has none. All but the last word of a document are followed by one, so a document's
+score is its base score plus a sum of times * value over its own n-grams. The values are a table in Spark, one per n-gram, which
+n-grams counted per document meet in a join. The ``HOT`` most frequent n-grams (and ``MOST`` words) are also sent to the tasks,
+which only spares them the join, and a filter of at most ``BITS`` bits keeps most n-grams with a part that occurs less than
+``LEAST`` times, or without a value, out of the shuffles; what it lets through wrongly is dropped by count or join, so no result
+depends on those bounds. Words outside that table are known by 63 bits of their hash.
+
 Corpus counts cover all training documents. Counts of words outside the bounded table of frequent ones reach the documents by a
 join, so every count is exact. Defined results: null text is the empty text, which has the end as its only token; without
 training documents all probabilities are uniform over one unseen word; ids must be distinct; repeated texts count each time.
@@ -14,15 +22,17 @@ training documents all probabilities are uniform over one unseen word; ids must
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import in_parts, kind_of, written
 
-ORDER, SHARE, MOST, DISCOUNT, DIVERGENCE = 2, 2e-6, 200_000, 0.5, 8.0
+LEAST, MOST, HOT, BITS, DISCOUNT, DIVERGENCE, NONE = 2, 200_000, 500_000, 1 << 28, 0.5, 8.0, -1
 LOWER, END = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256)), b"\x00"
 
 
@@ -51,100 +61,185 @@ def _counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _ids(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """Numbers of the frequent words, -1 for others."""
-    get = known.get
-    return np.array([get(w, -1) for w in words], np.int64)
+class Numbers:
+    """Numbers of words: places in the table of frequent ones, and hashes below ``NONE`` for others."""
+
+    def __init__(self, known: dict[bytes, int]):
+        self.known, self.rare = known, {}
+
+    def __call__(self, words: list[bytes]) -> list[int]:
+        got, rare = list(map(self.known.get, words)), self.rare
+        if None in got:
+            if len(rare) > 100_000:
+                rare.clear()
+            for i, x in enumerate(got):
+                if x is None:
+                    word = words[i]
+                    if (x := rare.get(word)) is None:
+                        x = rare[word] = (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
+                    got[i] = x
+        return got
+
+
+def hashed(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of bigint columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
+    out = np.full(len(columns[0]), 42, np.uint64)
+    for column in columns:
+        out = (out + p5 + np.uint64(8)) ^ (turned(column.view(np.uint64) * p2, 31) * p1)
+        out = turned(out, 27) * p1 + p4
+        for shift, by in ((33, p2), (29, p3)):
+            out = (out ^ (out >> np.uint64(shift))) * by
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
-def _successors(docs: DataFrame, text_col: str, sent, order: int, contexts) -> DataFrame:
-    """state, next, n: occurrences of frequent words after the contexts of one order (frequent words, or given pairs)."""
+
+def _lines(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all words of some texts, the text of each, and its place there."""
+    sizes = np.array([len(x) for x in texts])
+    ids = np.array([n for x in texts for n in numbers(x)], np.int64)
+    return ids, np.repeat(np.arange(len(texts)), sizes), np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bits that are set at two places of every key: all keys pass ``_passes``, and few others while the bits suffice."""
+    bits = 1 << 16
+    wanted = 8 * keys.count()
+    while bits < min(wanted, BITS):
+        bits *= 2
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = -1, np.zeros(1 << 16, bool)
+        for batch in batches:
+            page, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for own in np.split(np.arange(len(page)), np.flatnonzero(np.diff(page)) + 1):
+                if len(own) and page[own[0]] != at:
+                    if at >= 0:
+                        yield packed(at, held)
+                    at, held = int(page[own[0]]), np.zeros(1 << 16, bool)
+                held[place[own]] = True
+        if at >= 0:
+            yield packed(at, held)
+
+    def packed(page: int, held: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["page", "bits"])
+
+    places = keys.select(F.explode(F.array(*(F.pmod(x, F.lit(bits)) for x in (F.col("key"), F.shiftrightunsigned("key", 32))))).alias("at"))
+    dealt = places.select(F.shiftright("at", 16).alias("page"), F.pmod("at", F.lit(1 << 16)).alias("place")).distinct().repartition("page").sortWithinPartitions("page")
+    out = np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for row in dealt.mapInArrow(pages, "page bigint, bits binary").toArrow().to_pylist():
+        out[row["page"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out, room = np.ones(len(keys), bool), np.uint64(len(bits) * 8 - 1)
+    for shift in (0, 32):
+        at = (keys.view(np.uint64) >> np.uint64(shift)) & room
+        out &= (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+    return out
+
+
+def _grams(docs: DataFrame, text_col: str, sent, allowed, order: int) -> DataFrame:
+    """a, b, c, n: occurrences of word pairs (order 1, a is ``NONE``) or triples (order 2) whose words or pairs pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, size = sent.value
-        allowed = contexts.value if contexts is not None else None
-        held: list[np.ndarray] = []
+        numbers, held, waiting = Numbers(sent.value), [], 0
         for batch in batches:
-            for part in in_parts(batch, 0, 4_000_000):
-                line = np.concatenate([np.append(np.full(order, -1), _ids(words_of(x), known)) for x in part.column(0).to_pylist()])
-                first = line[: len(line) - order]
-                state = first if order == 1 else np.where((first >= 0) & (line[1:-1] >= 0), first * size + line[1:-1], -1)
-                following = line[order:]
-                if allowed is not None:
-                    at = np.minimum(np.searchsorted(allowed, state), max(len(allowed) - 1, 0))
-                    state = np.where((state >= 0) & (allowed[at] == state), at, -1) if len(allowed) else np.full(len(state), -1)
-                keep = (state >= 0) & (following >= 0)
-                held.append(state[keep] * size + following[keep])
-                if sum(map(len, held)) > 2_000_000:
+            for part in in_parts(batch, 0, 1_000_000):
+                ids, _, place = _lines([words_of(x) for x in part.column(0).to_pylist()], numbers)
+                at = np.flatnonzero(place >= 1)
+                if order == 1:
+                    kept = (ids >= 0) | _passes(allowed.value, hashed(ids))
+                    at = at[kept[at] & kept[at - 1]]
+                    held.append((np.full(len(at), NONE), ids[at - 1], ids[at]))
+                else:
+                    kept = np.zeros(len(ids), bool)
+                    kept[at] = _passes(allowed.value, hashed(ids[at - 1], ids[at]))
+                    at = at[place[at] >= 2]
+                    at = at[kept[at] & kept[at - 1]]
+                    held.append((ids[at - 2], ids[at - 1], ids[at]))
+                waiting += len(at)
+                if waiting > 1_500_000:
                     yield _table(held)
-                    held = []
-        yield _table(held)
+                    held, waiting = [], 0
+        if held:
+            yield _table(held)
+
+    def _table(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        words = [np.concatenate(x) for x in zip(*held)]
+        _, first, counts = np.unique(hashed(*words), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in words), pa.array(counts.astype(np.int64))], names=["a", "b", "c", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "a bigint, b bigint, c bigint, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
 
-    def _table(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def _states(grams: DataFrame, context: list[str]) -> DataFrame:
+    """The diverging contexts with ``rest``, log10 of what they leave to other words; grams: context, count, share, lower."""
+    own = grams.groupBy(*context).agg(
+        F.first("count").alias("count"), F.sum(F.expr("share * (ln(share) - lower * ln(10))")).alias("gain"),
+        F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("left"), F.greatest(1 - F.sum(F.pow(F.lit(10.0), "lower")), F.lit(1e-9)).alias("room"))
+    return own.where(F.col("gain") * F.col("count") >= DIVERGENCE).select(*context, "count", F.log10(F.col("left") / F.col("room")).alias("rest"))
 
 
 class Tree:
-    """States as sorted keys. Level 0 are the words; level k maps a context's number to its successors and its back-off."""
+    """Level 0 are the words. ``parts`` are the other levels as tables: contexts with their rest, and n-grams with their gain."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
-        self.known = {w: i for i, w in enumerate(words)}
-        self.size, self.counts, self.total, self.distinct = max(len(words), 1), counts, total, distinct
-        self.base = np.log10((counts + 0.5) / self.scale) if len(words) else np.zeros(0)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, known: dict[bytes, int], counts: np.ndarray, total: int, distinct: int):
+        self.known, self.counts, self.total, self.distinct = known, counts, total, distinct
+        self.size, self.base = max(len(known), 1), np.log10((counts + 0.5) / self.scale) if len(known) else np.zeros(0)
+        self.parts: list[DataFrame] = []
 
     @property
     def scale(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
+    def grow(self, pairs: DataFrame, triples: DataFrame, words: DataFrame) -> None:
+        """From pairs (b, c, n), triples (a, b, c, n) and words (w, n)."""
+        share, ten = (F.col("n") - DISCOUNT) / F.col("count"), F.log10("share")
+        pairs = pairs.join(words.select(F.col("w").alias("c"), F.log10((F.col("n") + 0.5) / F.lit(self.scale)).alias("lower")), "c")
+        pairs = written(pairs.join(words.select(F.col("w").alias("b"), F.col("n").alias("count")), "b").withColumn("share", share), "pairs")
+        one = written(_states(pairs, ["b"]), "contexts")
+        pairs = pairs.drop("count").join(one.drop("count"), "b", "left")
+        now = F.when(F.col("rest").isNull(), F.col("lower")).otherwise(ten)
+        triples = triples.join(pairs.select("b", "c", now.alias("lower")), ["b", "c"])
+        triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("count")), ["a", "b"])
+        triples = triples.withColumn("share", share)
+        two = _states(triples, ["a", "b"])
+        gain = (ten - F.col("lower") - F.col("rest")).alias("value")
+        self.parts = [
+            one.select("b", F.col("rest").alias("value"), F.col("count").alias("n")), pairs.where("rest is not null").select("b", "c", gain, "n"),
+            two.select("a", "b", F.col("rest").alias("value"), F.col("count").alias("n")), triples.drop("count").join(two.drop("count"), ["a", "b"]).select("a", "b", "c", gain, "n")]
+
+    @cached_property
+    def values(self) -> DataFrame:
+        """key, value, n: what each n-gram adds to a document's score at every occurrence."""
+        keyed = [x.select(F.xxhash64(*(c for c in x.columns if c in "abc")).alias("key"), "value", "n") for x in self.parts]
+        return written(reduce(DataFrame.unionAll, keyed).groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree")
+
+    @cached_property
+    def held(self) -> list[dict]:
+        """The parts on the driver, to look into a small tree."""
+        return [{tuple(r)[:-2]: r.value for r in x.collect()} for x in self.parts]
+
+    @property
+    def levels(self) -> list[tuple[np.ndarray]]:
+        """The retained contexts of frequent words, as numbers."""
+        inner = [[k for k in x if min(k) >= 0] for x in self.held[::2]]
+        return [(np.array([sum(w * self.size**i for i, w in enumerate(reversed(k))) for k in x], np.int64),) for x in inner]
+
     def below(self, level: int, states: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """log10 P(next | state) of frequent words by the levels up to ``level``; states are contexts' word keys, -1 for none."""
-        if level == 0:
-            return self.base[following]
-        contexts, rest, keys, values = self.levels[level - 1]
-        shorter = np.where(states >= 0, states % self.size, -1) if level > 1 else states
-        out = self.below(level - 1, shorter, following)
-        if not len(contexts):
-            return out
-        at = np.minimum(np.searchsorted(contexts, states), len(contexts) - 1)
-        held = (states >= 0) & (contexts[at] == states)
-        key = at * self.size + following
-        place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        found = held & (keys[place] == key) if len(keys) else held & False
-        return np.where(found, values[place] if len(keys) else 0, np.where(held, rest[at] + out, out))
-
-    def back_off(self, level: int, states: np.ndarray) -> np.ndarray:
-        """log10 of what the states leave to a word that none of them knows."""
-        if level == 0:
-            return np.zeros(len(states))
-        contexts, rest, _, _ = self.levels[level - 1]
-        out = self.back_off(level - 1, np.where(states >= 0, states % self.size, -1) if level > 1 else states)
-        if not len(contexts):
-            return out
-        at = np.minimum(np.searchsorted(contexts, states), len(contexts) - 1)
-        return out + np.where((states >= 0) & (contexts[at] == states), rest[at], 0)
-
-    def grow(self, contexts: np.ndarray, counts: np.ndarray, state: np.ndarray, following: np.ndarray, n: np.ndarray) -> None:
-        """Adds a level: (state, following, n) are its frequent successors, state numbers the contexts; diverging ones stay."""
-        level = len(self.levels) + 1
-        if level > 1:
-            shorter = contexts[state] % self.size
-        else:
-            shorter = np.full(len(state), -1)
-        lower = self.below(level - 1, shorter, following) if len(state) else np.zeros(0)
-        share = np.maximum(n - DISCOUNT, 1e-9) / counts[state]
-        gain = np.bincount(state, share * (np.log(share) - lower * np.log(10)), len(contexts))
-        keep = gain * counts >= DIVERGENCE
-        left = np.maximum(1 - np.bincount(state, share, len(contexts)), 1e-9)
-        room = np.maximum(1 - np.bincount(state, 10**lower, len(contexts)), 1e-9)
-        number = np.cumsum(keep) - 1
-        own = keep[state]
-        keys = number[state[own]] * self.size + following[own]
-        order = np.argsort(keys, kind="stable")
-        self.levels.append((contexts[keep], np.log10(left / room)[keep], keys[order], np.log10(share[own])[order]))
+        """log10 P(next | state) of frequent words by the levels up to ``level``; states are contexts' numbers."""
+        out = self.base[following].copy()
+        for i, (state, c) in enumerate(zip(states.tolist(), following.tolist())):
+            for depth in range(1, level + 1):
+                context = tuple(state // self.size**k % self.size for k in reversed(range(depth)))
+                out[i] += self.held[2 * depth - 2].get(context, 0) + self.held[2 * depth - 1].get((*context, c), 0)
+        return out
 
 
 def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
@@ -152,70 +247,92 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     spark = docs.sparkSession
     counts = written(_counts(docs, text_col), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("n") >= max(2.0, SHARE * total)).orderBy(F.desc("n"), "word").limit(MOST).collect()
-    tree = Tree([bytes(r.word) for r in frequent], np.array([r.n for r in frequent], np.float64), total, distinct)
-    sent, contexts, numbers = spark.sparkContext.broadcast((tree.known, tree.size)), None, np.arange(len(frequent))
-    for order in range(1, ORDER + 1):
-        pairs = written(_successors(docs, text_col, sent, order, contexts), "successors")
-        uses = tree.counts if order == 1 else contexts_n
-        got = pairs.where(F.col("n") >= max(2.0, SHARE * total)).toArrow()
-        key, n = got.column("key").to_numpy(), got.column("n").to_numpy().astype(np.float64)
-        sort = np.argsort(key)
-        key, n = key[sort], n[sort]
-        tree.grow(numbers, np.asarray(uses, np.float64), key // tree.size, key % tree.size, n)
-        following = key % tree.size
-        inner = following != tree.known.get(END, -1)
-        numbers, contexts_n = (numbers[key // tree.size] * tree.size + following)[inner], n[inner]
-        contexts = spark.sparkContext.broadcast(numbers)
+    frequent = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(MOST).collect()
+    tree = Tree({bytes(r.word): i for i, r in enumerate(frequent)}, np.array([r.n for r in frequent], np.float64), total, distinct)
+    sent = spark.sparkContext.broadcast(tree.known)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(sent.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(numbers(batch.column(0).to_pylist()), pa.int64()), batch.column(1)], names=["w", "n"])
+
+    words = counts.where(F.col("n") >= LEAST).mapInArrow(numbered, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    words = written(words, "numbers")
+    allowed = spark.sparkContext.broadcast(_filter(words.where("w < 0").select(F.xxhash64("w").alias("key"))))
+    pairs = written(_grams(docs, text_col, sent, allowed, 1).where(F.col("n") >= LEAST).drop("a"), "pairs")
+    allowed = spark.sparkContext.broadcast(_filter(pairs.select(F.xxhash64("b", "c").alias("key"))))
+    tree.grow(pairs, written(_grams(docs, text_col, sent, allowed, 2).where(F.col("n") >= LEAST), "triples"), words)
     return tree, counts
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFrame]) -> DataFrame:
     """id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every document."""
     tree, counts = model
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    context = docs.sparkSession.sparkContext
+    hot = tree.values.orderBy(F.desc("n"), "key").limit(HOT).select("key", "value").toArrow().sort_by("key")
+    bits = _filter(tree.values.select("key"))
+    sent = context.broadcast((tree.known, tree.base, hot.column("key").to_numpy(), hot.column("value").to_numpy(), bits))
+
+    def keys_of(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, their texts; keys of all words, pairs and triples, and their texts."""
+        ids, owner, place = _lines(texts, numbers)
+        one, two = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+        keys = np.concatenate([hashed(ids), hashed(ids[one - 1], ids[one]), hashed(ids[two - 2], ids[two - 1], ids[two])])
+        return ids, owner, keys, np.concatenate([owner, owner[one], owner[two]])
+
+    def places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value
+        known, base, hot_keys, hot_values, _ = sent.value
+        numbers = Numbers(known)
         for batch in batches:
-            for part in in_parts(batch, 1, 4_000_000):
+            for part in in_parts(batch, 1, 1_000_000):
                 texts = [words_of(x) for x in part.column(1).to_pylist()]
-                sizes = np.array(list(map(len, texts)))
-                owner = np.repeat(np.arange(len(texts)), sizes)
-                ids = np.concatenate([_ids(x, tree.known) for x in texts])
-                start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-                place = np.arange(len(ids))
-                one = np.where(place - 1 >= start, ids[place - 1], -1)
-                two = np.where((place - 2 >= start) & (one >= 0) & (ids[place - 2] >= 0), ids[place - 2] * tree.size + one, -1)
-                hot = ids >= 0
-                full = np.zeros(len(ids))
-                level = len(tree.levels)
-                # the longest context may hold a rare word; then the shorter one is the state
-                for mask, states, depth in ((two >= 0, two, 2), (two < 0, one, 1)):
-                    depth, own = min(depth, level), mask & hot
-                    full[own] = tree.below(depth, states[own], ids[own])
-                    own = mask & ~hot
-                    full[own] = tree.back_off(depth, states[own])
-                rare = np.flatnonzero(~hot)
+                ids, owner, keys, of = keys_of(texts, numbers)
+                at, met = places(hot_keys, keys)
+                full = np.bincount(of[met], hot_values[at[met]], len(texts)) if met.any() else np.zeros(len(texts))
+                sizes, hot = np.bincount(owner, minlength=len(texts)), ids >= 0
+                start = np.cumsum(sizes) - sizes
                 tails: list[dict[bytes, int]] = [{} for _ in texts]
+                rare = np.flatnonzero(~hot)
                 for i, k in zip(rare.tolist(), owner[rare].tolist()):
-                    word = texts[k][i - int(start[i])]
+                    word = texts[k][i - int(start[k])]
                     tails[k][word] = tails[k].get(word, 0) + 1
                 columns = [
                     pa.array(sizes.astype(np.int64)),
                     pa.array(np.bincount(owner, hot, len(texts)).astype(np.int64)),
-                    pa.array(np.bincount(owner[hot], tree.base[ids[hot]] if len(tree.base) else None, len(texts)).astype(np.float64)),
-                    pa.array(np.bincount(owner, full, len(texts))),
+                    pa.array(np.bincount(owner[hot], base[ids[hot]] if len(base) else None, len(texts)).astype(np.float64)),
+                    pa.array(full),
                     pa.array([list(x.items()) for x in tails], pa.map_(pa.binary(), pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_col, "n_tokens", "hot", "base", "full", "rare"])
 
-    schema = f"`{id_col}` {kind_of(docs, id_col)}, n_tokens bigint, hot bigint, base double, full double, rare map<binary,bigint>"
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, _, hot_keys, _, bits = sent.value
+        numbers = Numbers(known)
+        for batch in batches:
+            for part in in_parts(batch, 1, 1_000_000):
+                _, _, keys, of = keys_of([words_of(x) for x in part.column(1).to_pylist()], numbers)
+                cold = ~places(hot_keys, keys)[1] & _passes(bits, keys)
+                keys, of = keys[cold], of[cold]
+                order = np.lexsort((keys, of))
+                keys, of = keys[order], of[order]
+                first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))[: len(keys)])
+                times = np.diff(np.append(first, len(keys))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[first])), pa.array(keys[first]), pa.array(times)], names=[id_col, "key", "times"])
+
+    kind = kind_of(docs, id_col)
+    schema = f"`{id_col}` {kind}, n_tokens bigint, hot bigint, base double, full double, rare map<binary,bigint>"
     held = written(docs.select(id_col, text_col).mapInArrow(run, schema), "scores")
+    grams = docs.select(id_col, text_col).mapInArrow(others, f"`{id_col}` {kind}, key bigint, times int")
+    added = grams.join(tree.values.select("key", "value"), "key").groupBy(id_col).agg(F.sum(F.col("times") * F.col("value")).alias("more"))
     rare = held.select(id_col, F.explode("rare").alias("word", "times")).join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + 0.5) / F.lit(float(tree.scale)))
     tail = rare.groupBy(id_col).agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"), F.sum(F.col("times") * base).alias("tail_base"))
-    both = held.drop("rare").join(tail, id_col, "left").na.fill(0, ["tail_known", "tail_base"])
+    both = held.drop("rare").join(tail, id_col, "left").join(added, id_col, "left").na.fill(0, ["tail_known", "tail_base", "more"])
+    total = F.col("base") + F.col("tail_base")
     return both.select(
         id_col, "n_tokens", (F.col("hot") + F.col("tail_known")).alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("tail_base")).alias("base_score"), (F.col("full") + F.col("tail_base")).alias("score"))
+        total.alias("base_score"), (total + F.col("full") + F.col("more")).alias("score"))

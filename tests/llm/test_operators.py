@@ -226,6 +226,33 @@ def test_suffix_tree_base_is_exact_and_model_is_a_distribution(docs):
     assert suffix_tree.score(docs, "doc_id", "text", suffix_tree.fit(empty(docs), "text")).count() == docs.count()
 
 
+def test_suffix_tree_keeps_what_occurs_twice_at_any_size(spark, monkeypatch):
+    """Words seen twice in 1,200,001 tokens (a bar by share would be above two) and scores that do not depend on the bounds."""
+    rows = [(i, "filler " * 59_999 + "filler") for i in range(20)] + [(50, "quokka zebra yonder quokka zebra yonder"), (51, "zebra quokka"), (52, "quokka zebra yonder")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.where("doc_id <= 50")
+    tree = suffix_tree.fit(train, "text")
+    got = {r.doc_id: r for r in suffix_tree.score(df, "doc_id", "text", tree).collect()}
+    assert got[52].score > got[52].base_score + 5
+    q, z, y = (tree[0].known[w] for w in (b"quokka", b"zebra", b"yonder"))
+    assert (q,) in tree[0].held[0] and (q, z) in tree[0].held[1]
+    # word by word in the state of the longest context
+    want = tree[0].base[q] + tree[0].below(1, np.array([q]), np.array([z]))[0] + tree[0].below(2, np.array([q * tree[0].size + z]), np.array([y]))[0]
+    want += tree[0].below(2, np.array([z * tree[0].size + y]), np.array([tree[0].known[suffix_tree.END]]))[0]
+    assert got[52].score == pytest.approx(want)
+    monkeypatch.setattr(suffix_tree, "MOST", 2)
+    monkeypatch.setattr(suffix_tree, "HOT", 1)
+    monkeypatch.setattr(suffix_tree, "BITS", 1)
+    bound = {r.doc_id: r for r in suffix_tree.score(df, "doc_id", "text", suffix_tree.fit(train, "text")).collect()}
+    assert all(bound[k].score == pytest.approx(got[k].score) and bound[k].n_known == got[k].n_known for k in got)
+
+
+def test_hash_equals_that_of_spark(spark):
+    rows = [(0, -1), (5, 7), (-(2**63), 2**63 - 1)]
+    want = [r[0] for r in spark.createDataFrame(rows, "a long, b long").select(F.xxhash64("a", "b")).collect()]
+    assert suffix_tree.hashed(*np.array(rows, np.int64).T.copy()).tolist() == want
+
+
 def test_similar_sets_against_brute_force(spark, docs):
     rng = random.Random(11)
     more = []
