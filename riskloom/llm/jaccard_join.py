@@ -1,12 +1,12 @@
 """Size-aware join of documents by the Jaccard similarity of their word n-gram sets, and the groups it forms.
 
-A set's distinct members are 64-bit hashes of four-word shingles. Documents with equal sets form a class at once; the join
+A set's distinct members are 64-bit hashes of shingles (four words, similar at 85 percent, unless told otherwise). Documents with equal sets form a class at once; the join
 runs between class representatives. Two sets with a and b members are similar when they share c(a, b) or more.
 
 * Light sets, up to a boundary, list every subset of the sizes c that a light partner may need (few members are left out);
   two light sets are candidates when they list the same subset.
 * Heavy sets, and the light ones near the boundary, scan inverted lists of their rarest members: sets that are similar meet
-  in the first n - ceil(0.85 n) + 1 members under one order of all members. Members that are frequent in a bounded sample
+  in the first n - ceil(share * n) + 1 members under one order of all members. Members that are frequent in a bounded sample
   come last in that order; the order changes the cost, never the result.
 * The boundary is the largest size whose subsets cost less than scanning its lists: a list costs one, and each set that is
   met there, as often as in the sample, costs as much as ``VERIFY`` lists.
@@ -16,7 +16,7 @@ pivot, and a set is paired with the pivot that most of its lists share; verified
 different groups. Every candidate meets an exact upper bound
 from 64 counts per set first, and is then verified on the stored sets; no list, candidate or partner is dropped or capped.
 
-Defined results: no words or null text gives the empty set, which links with nothing; fewer than four words make one shingle;
+Defined results: no words or null text gives the empty set, which links with nothing; fewer words than a shingle has make one;
 null ids stay rows of their own; repeated rows of an id count once as a set; ids with different texts are not supported.
 """
 
@@ -48,8 +48,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed shingles; keeps the hashes of words that it has met, up to a bound."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __init__(self, words: int = WORDS) -> None:
+        self.words, self.known = words, {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > 400_000:
@@ -66,59 +66,59 @@ class Shingler:
         words = self.hashes((text or "").encode().translate(LOWER).split())
         if not len(words):
             return words
-        n = min(WORDS, len(words))
+        n = min(self.words, len(words))
         total = np.full(len(words) - n + 1, n, np.uint64)
         for i in range(n):
-            total = total * _ODD[0] + mixed(words[i : len(words) - n + 1 + i] + _ODD[i])
+            total = total * _ODD[0] + mixed(words[i : len(words) - n + 1 + i] + _ODD[i % len(_ODD)])
         return np.unique(mixed(total))
 
 
-def needed(a: int, b: int) -> int:
+def needed(a: int, b: int, percent: int = PERCENT) -> int:
     """Shared members that make sets of a and b members similar."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def similar(shared: int, a: int, b: int) -> bool:
-    return 100 * shared >= PERCENT * (a + b - shared)
+def similar(shared: int, a: int, b: int, percent: int = PERCENT) -> bool:
+    return 100 * shared >= percent * (a + b - shared)
 
 
-def at_least(a: int) -> int:
+def at_least(a: int, percent: int = PERCENT) -> int:
     """Shared members that any partner needs; also the size of the smallest partner."""
-    return -(-PERCENT * a // 100)
+    return -(-percent * a // 100)
 
 
-def subset_sizes(a: int, most: int) -> list[int]:
-    return sorted({needed(a, b) for b in range(at_least(a), min(a * 100 // PERCENT, most) + 1)})
+def subset_sizes(a: int, most: int, percent: int = PERCENT) -> list[int]:
+    return sorted({needed(a, b, percent) for b in range(at_least(a, percent), min(a * 100 // percent, most) + 1)})
 
 
-def boundary(list_length: float) -> int:
+def boundary(list_length: float, percent: int = PERCENT) -> int:
     """The largest light size: listing its subsets costs less than scanning lists of this length."""
     light = LIGHTEST
     for a in range(LIGHTEST + 1, LIGHT_MOST + 1):
-        if sum(comb(a, c) for c in subset_sizes(a, a)) > (a - at_least(a) + 1) * (1 + VERIFY * list_length):
+        if sum(comb(a, c) for c in subset_sizes(a, a, percent)) > (a - at_least(a, percent) + 1) * (1 + VERIFY * list_length):
             break
         light = a
     return light
 
 
-def keys(members: np.ndarray, light: int, frequent: dict[int, int]) -> np.ndarray:
+def keys(members: np.ndarray, light: int, frequent: dict[int, int], percent: int = PERCENT) -> np.ndarray:
     """The lists that a set is in: subsets of a light set; rarest members of a heavy set or of a light one near the boundary."""
     n, out = len(members), []
     if 0 < n <= light:
-        for c in subset_sizes(n, light):
+        for c in subset_sizes(n, light, percent):
             sums = [members[list(kept)].sum(dtype=np.uint64) for kept in combinations(range(n), c)]
             out.append(mixed(np.array(sums, np.uint64) + np.array([c], np.uint64) * _ODD[1]))
-    if n >= at_least(light + 1):
+    if n >= at_least(light + 1, percent):
         counts = np.array([frequent.get(x, 0) for x in members.tolist()]) if frequent else np.zeros(n, int)
-        out.append(members[np.lexsort((members, counts))[: n - at_least(n) + 1]])
+        out.append(members[np.lexsort((members, counts))[: n - at_least(n, percent) + 1]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _frequent(docs: DataFrame, text_col: str, share: float) -> tuple[dict[int, int], float]:
+def _frequent(docs: DataFrame, text_col: str, share: float, words: int) -> tuple[dict[int, int], float]:
     """Members met in FREQUENT or more documents of a sample; the list length that a member meets on average besides those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = Shingler(words)
         for batch in batches:
             for part in in_parts(batch, 0, 4_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler.shingles(x) for x in part.column(0).to_pylist()] or [np.zeros(0, np.uint64)]).view(np.int64))], names=["member"])
@@ -131,14 +131,14 @@ def _frequent(docs: DataFrame, text_col: str, share: float) -> tuple[dict[int, i
     return found, squares[0] / max(squares[1], 1) / share
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, ``n``, two sums that identify the set, its packed members (40 bits each), its ``keys``."""
     share = sample_share(docs.count(), SAMPLE)
-    frequent, length = _frequent(docs.where(in_share(id_col, share, 31)), text_col, share)
-    sent = docs.sparkSession.sparkContext.broadcast((boundary(length), frequent))
+    frequent, length = _frequent(docs.where(in_share(id_col, share, 31)), text_col, share, words)
+    sent = docs.sparkSession.sparkContext.broadcast((boundary(length, percent), frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (light, frequent), shingler = sent.value, Shingler()
+        (light, frequent), shingler = sent.value, Shingler(words)
         for batch in batches:
             for part in in_parts(batch, 1, 4_000_000):
                 sets = [shingler.shingles(x) for x in part.column(1).to_pylist()]
@@ -148,7 +148,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array(np.array([np.bitwise_xor.reduce(mixed(x + _ODD[2])) if len(x) else 0 for x in sets], np.uint64).view(np.int64)),
                     pa.array([sketch(x) for x in sets], pa.binary()),
                     pa.array([pack(x) for x in sets], pa.binary()),
-                    pa.array([keys(x, light, frequent).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    pa.array([keys(x, light, frequent, percent).view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_col, "n", "f1", "f2", "sketch", "packed", "keys"])
 
@@ -173,7 +173,7 @@ def unpack(data: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose sketches allow enough shared members: range by range, no more than the smaller count. sets: rep, n, sketch."""
     one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1")), "a")
     two = one.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "b").select("a", "b", "n1", "n2", "s1", "s2")
@@ -182,7 +182,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, 64).astype(np.int64) for c in (batch.column(4), batch.column(5)))
             most = np.minimum(x, y).sum(1)
-            least = -(-PERCENT * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // (100 + PERCENT))
+            least = needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
             yield batch.select(["a", "b"]).filter(pa.array(most >= least))
 
     return two.mapInArrow(run, f"a {kind_of(pairs, 'a')}, b {kind_of(pairs, 'b')}")
@@ -194,7 +194,7 @@ def only(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(reps) if reps.count() <= SENT else reps, "rep", "left_semi")
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose stored sets are similar. sets: rep, n, packed."""
     one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("packed").alias("left")), "a")
     two = one.join(sets.select(F.col("rep").alias("b"), F.col("packed").alias("right")), "b").select("a", "b", "left", "right")
@@ -204,14 +204,14 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             kept = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 x, y = unpack(left.as_py()), unpack(right.as_py())
-                kept.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+                kept.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return two.mapInArrow(run, f"a {kind_of(pairs, 'a')}, b {kind_of(pairs, 'b')}")
 
 
-def _sizes_fit(a: str, b: str) -> Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
 def _grouped(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -223,9 +223,9 @@ def _grouped(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
     return now.join(mixed_keys, "key", "left_semi")
 
 
-def join(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Membership (id, n, rep) of every document with words, and the groups (node, component) of linked representatives."""
-    sets = written(sets_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumnRenamed(id_col, "id"), "sets")
+    sets = written(sets_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, percent).withColumnRenamed(id_col, "id"), "sets")
     classes = written(sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
     members = sets.where("n > 0").select("id", "n", "f1", "f2").join(classes.drop("n"), ["f1", "f2"]).select("id", "n", "rep")
     own = only(sets.select(F.col("id").alias("rep"), "n", "keys"), classes.select("rep"))
@@ -236,22 +236,22 @@ def join(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
         now = _grouped(lists, groups)
         if star < STARS:
             first = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(star)), "rep", "n", "grp")).alias("p"))
-            met = now.join(first, "key").where((F.col("grp") != F.col("p.grp")) & _sizes_fit("n", "p.n")).groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("lists"))
+            met = now.join(first, "key").where((F.col("grp") != F.col("p.grp")) & _sizes_fit("n", "p.n", percent)).groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("lists"))
             best = met.groupBy("rep").agg(F.max(F.struct("lists", "pivot"))["pivot"].alias("pivot"))
             pairs = best.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         else:
             now = written(now, "mixed")
             other = now.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("grp").alias("h"))
-            pairs = now.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("grp") != F.col("h")) & _sizes_fit("n", "m")).select("a", "b")
+            pairs = now.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("grp") != F.col("h")) & _sizes_fit("n", "m", percent)).select("a", "b")
         pairs = pairs.distinct()
         for tested, _ in found:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         named = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         sketches = only(sets.select(F.col("id").alias("rep"), "n", "sketch"), named)
-        likely = written(possible(pairs, sketches), "likely")
+        likely = written(possible(pairs, sketches, percent), "likely")
         stored = only(sets.select(F.col("id").alias("rep"), "n", "packed"), likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-        found.append((pairs, written(links(likely, stored), "links")))
+        found.append((pairs, written(links(likely, stored, percent), "links")))
         linked = found[0][1]
         for _, more in found[1:]:
             linked = linked.union(more)
@@ -259,17 +259,17 @@ def join(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     return members, groups
 
 
-def group(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def group(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id``, the smallest id that links reach."""
-    members, groups = join(docs, id_col, text_col)
+    members, groups = join(docs, id_col, text_col, words, percent)
     linked = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     rows = docs.select(id_col).join(linked.dropDuplicates([id_col]), id_col, "left")
     return rows.select(id_col, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", F.col(id_col)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents whose id is their group's smallest; rows without id or words stay."""
-    extra = group(docs, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(id_col)
+    extra = group(docs, id_col, text_col, words, percent).where(F.col("component_id") != F.col(id_col)).select(id_col)
     return docs.join(extra, id_col, "left_anti").select(docs.columns)
 
 
