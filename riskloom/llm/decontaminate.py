@@ -6,8 +6,9 @@ scanner may jump, and where it may not jump the bucket of that suffix block, the
 direct comparison confirms.
 
 The patterns of one pass are bounded: items are dealt to as many passes as their text needs at ``PASS_BYTES`` each, and
-the hits of the passes are united per document. Defined results: null text has no words and no hits; an item without words
-has no pattern; repeated items all count; ``contaminated`` needs a hit and a twentieth of the words hit.
+every row carries its hits from pass to pass, so each row gives one row whatever its id. Defined results: null text has no words and no hits; an item without words
+has no pattern; repeated items all count; items without an
+id count as one item, a null at the end of ``items``; ``contaminated`` needs a hit and a twentieth of the words hit.
 """
 
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, kind_of
+from riskloom.llm.common import in_parts, kind_of, written
 
 WINDOW, PASS_BYTES = 13, 32_000_000
 #: A-Z become a-z; digits, letters and all bytes from 128 on stay; the rest separates words.
@@ -30,7 +31,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Scanner:
     """Wu-Manber tables for patterns of one length, given as pattern -> item ids."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, patterns: dict[tuple[bytes, ...], set[str | None]]):
         self.length = len(next(iter(patterns)))
         self.block = min(2, self.length)
         self.jump = self.length - self.block + 1
@@ -42,7 +43,7 @@ class Scanner:
                 self.shift[block] = min(self.shift.get(block, self.jump), room)
             self.bucket.setdefault(pattern[-self.block :], {}).setdefault(pattern[0], []).append((list(pattern), items))
 
-    def scan(self, words: list[bytes], hit: set[int], found: set[str]) -> None:
+    def scan(self, words: list[bytes], hit: set[int], found: set[str | None]) -> None:
         """Adds the positions under occurrences and the items that occur."""
         m, block, jump, shift, at, n = self.length, self.block, self.jump, self.shift.get, self.length - 1, len(words)
         while at < n:
@@ -58,7 +59,7 @@ class Scanner:
             at += 1
 
 
-def scanners(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Scanner]:
+def scanners(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Scanner]:
     by_length: dict[int, dict] = {}
     for item, text in items:
         words = words_of(text)
@@ -68,36 +69,37 @@ def scanners(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[
     return [Scanner(patterns) for patterns in by_length.values()]
 
 
-def _pass(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+def _pass(rows: DataFrame, items: list[tuple[str | None, str]], window: int) -> DataFrame:
+    """rows: _id, _text, n_words, hits, items; adds the hits of some items."""
+    sent = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = scanners(sent.value, window)
         for batch in batches:
             for part in in_parts(batch, 1, 4_000_000):
                 sizes, hits, names = [], [], []
-                for text in part.column(1).to_pylist():
-                    words, hit, found = words_of(text), set(), set()
+                for text, before, known in zip(*(part.column(i).to_pylist() for i in (1, 3, 4))):
+                    words, hit, found = words_of(text), set(before), set(known)
                     for table in tables:
                         table.scan(words, hit, found)
-                    sizes.append(len(words)), hits.append(sorted(hit)), names.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=[id_col, "n_words", "hits", "items"])
+                    sizes.append(len(words)), hits.append(sorted(hit)), names.append(sorted(found - {None}) + [None] * (None in found))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=part.schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind_of(docs, id_col)}, n_words bigint, hits array<int>, items array<string>")
+    return rows.mapInArrow(run, f"_id {kind_of(rows, '_id')}, _text string, n_words bigint, hits array<int>, items array<string>")
 
 
 def find_items(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """id, ``n_words``, ``hits`` (positions of hit words) and ``items`` (ids of occurring items) of every document."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    """id, ``n_words``, ``hits`` (positions of hit words) and ``items`` (ids of occurring items) of every row of documents."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     passes = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // pass_bytes
-    found = [_pass(docs, id_col, text_col, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).collect()], window) for k in range(passes)]
-    if passes == 1:
-        return found[0]
-    united = found[0]
-    for more in found[1:]:
-        united = united.unionAll(more)
-    joined = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")]
-    return united.groupBy(id_col).agg(F.max("n_words").alias("n_words"), *joined)
+    none = F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), *none)
+    deal = F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(passes))
+    for k in range(passes):
+        rows = _pass(rows, [tuple(r) for r in items.where(deal == k).collect()], window)
+        if k < passes - 1:  # a task holds the patterns of one pass at a time
+            rows = written(rows, "pass")
+    return rows.select(F.col("_id").alias(id_col), "n_words", "hits", "items")
 
 
 def is_contaminated() -> Column:
