@@ -174,7 +174,7 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose sketches allow enough shared members: range by range, no more than the smaller count. sets: rep, n, sketch."""
+    """The pairs whose sketches allow enough shared members: range by range, no more than the smaller count; two saturated sketches allow all. sets: rep, n, sketch."""
     one = pairs.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1")), "a")
     two = one.join(sets.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "b").select("a", "b", "n1", "n2", "s1", "s2")
 
@@ -183,7 +183,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, 64).astype(np.int64) for c in (batch.column(4), batch.column(5)))
             most = np.minimum(x, y).sum(1)
             least = needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(most >= least))
+            yield batch.select(["a", "b"]).filter(pa.array((most >= least) | ((x == 65535).all(1) & (y == 65535).all(1))))
 
     return two.mapInArrow(run, f"a {kind_of(pairs, 'a')}, b {kind_of(pairs, 'b')}")
 
