@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,36 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: the rows go to a Parquet table in the shared folder and are read from there."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def beside(rows: DataFrame, few: DataFrame, on: list[str], how: str, most: int = 500_000) -> DataFrame:
+    """Join with a table that was written: sent to all tasks up to ``most`` rows (counted), met in a shuffle beyond."""
+    return rows.join(F.broadcast(few) if few.count() <= most else few, on, how)
 
 
 def fold_of(id_col: str, folds: int = 5) -> Column:
@@ -36,7 +62,7 @@ def sample_share(count: int, bound: int) -> float:
 
 def in_share(id_col: str, share: float, salt: int = 17) -> Column:
     """A repeatable sample: rows whose id hashes into the lowest share of the hash range."""
-    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(salt)), 1) < int(share * 2**63)
 
 
 def in_parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:

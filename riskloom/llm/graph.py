@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import written
+from riskloom.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,12 +13,14 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of a chain's length. Labels are written to the shared folder each round. No edges give no rows.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "next").distinct(), "edges")
-    labels = written(both.groupBy("node").agg(F.least("node", F.min("next")).alias("component")), "labels")
+    held = labels = written(both.groupBy("node").agg(F.least("node", F.min("next")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "next"), "next").groupBy("node").agg(F.min("component").alias("near"))
         nearer = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("via"))
         jumped = nearer.join(labels.select(F.col("node").alias("via"), F.col("component").alias("far")), "via").select("node", "old", F.least("via", "far").alias("component"))
         now = written(jumped, "labels")
-        labels = now.select("node", "component")
+        discard(held)
+        held, labels = now, now.select("node", "component")
         if now.where("old <> component").isEmpty():
+            discard(both)
             return labels
