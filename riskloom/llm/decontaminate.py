@@ -12,14 +12,16 @@ id count as one item, a null at the end of ``items``; ``contaminated`` needs a h
 """
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, kind_of, written
+from riskloom.llm.common import beside, discard, fresh, in_parts, kind_of, written
 
-WINDOW, PASS_BYTES = 13, 32_000_000
+WINDOW, PASS_BYTES = 13, 4_000_000
 #: A-Z become a-z; digits, letters and all bytes from 128 on stay; the rest separates words.
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
@@ -29,19 +31,28 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Scanner:
-    """Wu-Manber tables for patterns of one length, given as pattern -> item ids."""
+    """Wu-Manber tables for the windows of one length in some items (id, words); a window is kept as a place in its item's words."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str | None]]):
-        self.length = len(next(iter(patterns)))
-        self.block = min(2, self.length)
-        self.jump = self.length - self.block + 1
+    def __init__(self, length: int, items: list[tuple[str | None, list[bytes]]]):
+        self.length, self.block = length, min(2, length)
+        self.jump = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], dict[bytes, list]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, self.length + 1):
-                block, room = pattern[end - self.block : end], self.length - end
-                self.shift[block] = min(self.shift.get(block, self.jump), room)
-            self.bucket.setdefault(pattern[-self.block :], {}).setdefault(pattern[0], []).append((list(pattern), items))
+        self.bucket: dict[tuple[bytes, ...], list] = {}
+        for item, words in items:
+            own = frozenset((item,))
+            for end in range(self.block, len(words) + 1):
+                block = tuple(words[end - self.block : end])
+                self.shift[block] = min(self.shift.get(block, self.jump), max(0, length - end))
+                if end >= length:
+                    self._add(words, end - length, own)
+
+    def _add(self, words: list[bytes], begin: int, own: frozenset) -> None:
+        entries, window = self.bucket.setdefault((*words[begin + self.length - self.block : begin + self.length], words[begin]), []), words[begin : begin + self.length]
+        for entry in entries:
+            if entry[0][entry[1] : entry[1] + self.length] == window:
+                entry[2] = entry[2] | own
+                return
+        entries.append([words, begin, own])
 
     def scan(self, words: list[bytes], hit: set[int], found: set[str | None]) -> None:
         """Adds the positions under occurrences and the items that occur."""
@@ -52,29 +63,38 @@ class Scanner:
                 at += step
                 continue
             begin = at - m + 1
-            for pattern, items in self.bucket.get(here, {}).get(words[begin], ()):
-                if words[begin : at + 1] == pattern:
+            for source, start, items in self.bucket.get((*here, words[begin]), ()):
+                if words[begin : at + 1] == source[start : start + m]:
                     hit.update(range(begin, at + 1))
                     found |= items
             at += 1
 
 
 def scanners(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Scanner]:
-    by_length: dict[int, dict] = {}
+    by_length: dict[int, list] = {}
+    known: dict[bytes, bytes] = {}
     for item, text in items:
-        words = words_of(text)
-        m = min(window, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(item)
-    return [Scanner(patterns) for patterns in by_length.values()]
+        if words := [known.setdefault(w, w) for w in words_of(text)]:
+            by_length.setdefault(min(window, len(words)), []).append((item, words))
+    return [Scanner(length, own) for length, own in by_length.items()]
 
 
-def _pass(rows: DataFrame, items: list[tuple[str | None, str]], window: int) -> DataFrame:
-    """rows: _id, _text, n_words, hits, items; adds the hits of some items."""
-    sent = rows.sparkSession.sparkContext.broadcast(items)
+_BUILT: dict[str, list[Scanner]] = {}
+
+
+def _built(name: str, items: list[tuple[str | None, str]], window: int) -> list[Scanner]:
+    """The tables of one pass, built once in a worker."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = scanners(items, window)
+    return _BUILT[name]
+
+
+def _pass(rows: DataFrame, sent: Broadcast, window: int) -> DataFrame:
+    """rows: _id, _text, n_words, hits, items; adds the hits of some items (sent: a name and the items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = scanners(sent.value, window)
+        tables = _built(*sent.value, window)
         for batch in batches:
             for part in in_parts(batch, 1, 4_000_000):
                 sizes, hits, names = [], [], []
@@ -96,9 +116,14 @@ def find_items(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), *none)
     deal = F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(passes))
     for k in range(passes):
-        rows = _pass(rows, [tuple(r) for r in items.where(deal == k).collect()], window)
-        if k < passes - 1:  # a task holds the patterns of one pass at a time
-            rows = written(rows, "pass")
+        sent = docs.sparkSession.sparkContext.broadcast((uuid4().hex, [tuple(r) for r in items.where(deal == k).collect()]))
+        made = _pass(rows, sent, window)
+        if k < passes - 1:  # driver and tasks hold the patterns of one pass at a time
+            made = written(made, "pass")
+            sent.destroy()
+        if 0 < k < passes - 1:
+            discard(rows)
+        rows = made
     return rows.select(F.col("_id").alias(id_col), "n_words", "hits", "items")
 
 
@@ -118,9 +143,11 @@ def digest(found: DataFrame, id_col: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
-    """The rows of documents that are not contaminated; ids must be distinct."""
-    bad = find_items(docs, id_col, text_col, benchmark, item_col, item_text_col).where(is_contaminated()).select(id_col)
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    """The rows of documents that are not contaminated; each row is judged by its own text, also where ids repeat or are null."""
+    h = fresh(docs, "h")
+    named = docs.withColumn(h, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    found = find_items(named, h, text_col, benchmark, item_col, item_text_col)
+    return beside(named, written(found.where(is_contaminated()).select(h).distinct(), "contaminated"), [h], "left_anti").select(docs.columns)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, in_share, kind_of, sample_share
+from riskloom.llm.common import fresh, in_parts, in_share, kind_of, sample_share
 
-WIDTH, SEED, BOUND, CACHED, UNKNOWN = 512, 7, 4_000, 60_000, "und"
+WIDTH, SEED, BOUND, CACHED, GROUP, UNKNOWN = 512, 7, 4_000, 60_000, 256, "und"
 
 
 @lru_cache(maxsize=1)
@@ -70,6 +70,8 @@ class Bundler:
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text, of unit length; zero where it has no letter."""
+        if len(texts) > GROUP:
+            return np.concatenate([self.bundle(texts[k : k + GROUP]) for k in range(0, len(texts), GROUP)])
         codes, owner = grams(texts)
         out = np.zeros((len(texts), WIDTH), np.float32)
         if len(codes):
@@ -110,11 +112,11 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, bound: i
     return langs, np.divide(prototypes, size, out=np.zeros_like(prototypes), where=size > 0).astype(np.float32)
 
 
-def predict(docs: DataFrame, text_col: str, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, text_col: str, model: tuple[list[str], np.ndarray], keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` with the prediction and its score under the given names, which replace columns of those names."""
     langs, prototypes = model
     sent = docs.sparkSession.sparkContext.broadcast((langs, prototypes))
-    others = [c for c in keep if c not in ("lang_pred", "score")]
+    others = [c for c in keep if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (langs, prototypes), bundler = sent.value, Bundler()
@@ -125,7 +127,7 @@ def predict(docs: DataFrame, text_col: str, model: tuple[list[str], np.ndarray],
                 if langs:
                     cosine = (vectors @ prototypes.T).astype(np.float64).round(6)
                     best, score = cosine.argmax(1), cosine.max(1).clip(0, 1)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([langs[b] if f and langs else UNKNOWN for b, f in zip(best, found)], pa.string()), pa.array(np.where(found, score, 0.0))], names=[*others, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([langs[b] if f and langs else UNKNOWN for b, f in zip(best, found)], pa.string()), pa.array(np.where(found, score, 0.0))], names=[*others, *names])
 
     schema = "".join(f"`{c}` {kind_of(docs, c)}, " for c in others)
-    return docs.select(F.col(text_col).alias("_text"), *others).mapInArrow(run, f"{schema}lang_pred string, score double")
+    return docs.select(F.col(text_col).alias(fresh(docs, "_text")), *others).mapInArrow(run, f"{schema}`{names[0]}` string, `{names[1]}` double")
