@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -18,13 +19,28 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Fewer rows in an Arrow batch while something is written: whole texts and sets make large rows, and a batch is held twice, by executor and worker."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for k, v in bounds.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: the rows go to a Parquet table in the shared folder and are read from there."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

@@ -57,7 +57,7 @@ class Shingler:
         self.words, self.known = words, {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 400_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         got = list(map(self.known.get, words))
         if None in got:
@@ -132,7 +132,7 @@ def _frequent(docs: DataFrame, text_col: str, share: float, words: int) -> tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            for part in in_parts(batch, 0, 4_000_000):
+            for part in in_parts(batch, 0, 1_000_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingler.shingles(x) for x in part.column(0).to_pylist()] or [np.zeros(0, np.uint64)]).view(np.int64))], names=["member"])
 
     counted = docs.select(text_col).distinct().mapInArrow(run, "member bigint").groupBy("member").count()
@@ -154,7 +154,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (light, frequent), shingler = sent.value, Shingler(words)
         for batch in batches:
-            for part in in_parts(batch, 1, 4_000_000):
+            for part in in_parts(batch, 1, 1_000_000):
                 texts = part.column(1).to_pylist()
                 sets = [shingler.shingles(x) for x in texts]
                 lists = [lists_of(x, light, frequent, percent) for x in sets]

@@ -54,11 +54,11 @@ class Bundler:
 
     def __init__(self) -> None:
         self.at: dict[int, int] = {}
-        self.vectors = np.zeros((4096, WIDTH), np.float32)
+        self.vectors = np.zeros((4096, WIDTH), np.int8)
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
         if len(self.at) > CACHED:
-            self.at, self.vectors = {}, np.zeros((4096, WIDTH), np.float32)
+            self.at, self.vectors = {}, np.zeros((4096, WIDTH), np.int8)
         for code in codes.tolist():
             if code not in self.at:
                 n = self.at[code] = len(self.at)
@@ -77,7 +77,7 @@ class Bundler:
         if len(codes):
             unique, which = np.unique(codes, return_inverse=True)
             counts = np.bincount(owner * len(unique) + which, minlength=len(texts) * len(unique)).reshape(len(texts), -1)
-            out = counts.astype(np.float32) @ self.rows(unique)
+            out = counts.astype(np.float32) @ self.rows(unique).astype(np.float32)
             size = np.linalg.norm(out, axis=1, keepdims=True)
             out = np.divide(out, size, out=np.zeros_like(out), where=size > 0)
         return out
