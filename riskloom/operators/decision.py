@@ -10,6 +10,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.sources.ingest import held
+
 _COMPARE = {"GT": "__gt__", "LT": "__lt__", "GTE": "__ge__", "LTE": "__le__", "EQ": "__eq__", "NEQ": "__ne__"}
 
 
@@ -196,14 +198,15 @@ def resolve_variables(df: DataFrame, key: str, sources: list[DataFrame], definit
 
 
 def dependency_closure(edges: DataFrame) -> DataFrame:
-    """(variable, needs) for all direct and indirect dependencies, each pair once; cycles end by the distinct step."""
-    found = edges.select("variable", "needs").distinct()
+    """(variable, needs) for all direct and indirect dependencies, each pair once; only new pairs are extended, so cycles end."""
+    edges = held(edges.select("variable", "needs").distinct(), "edges")
+    found = new = edges
     while True:
-        size = found.count()
-        steps = found.join(edges.select(F.col("variable").alias("needs"), F.col("needs").alias("far")), "needs").select("variable", F.col("far").alias("needs"))
-        found = found.union(steps).distinct()
-        if found.count() == size:
+        steps = new.join(edges.select(F.col("variable").alias("needs"), F.col("needs").alias("far")), "needs").select("variable", F.col("far").alias("needs")).distinct()
+        new = held(steps.join(found, ["variable", "needs"], "left_anti"), "edges")
+        if new.isEmpty():
             return found
+        found = found.union(new)
 
 
 def decide(df: DataFrame, key: str, sources: list[DataFrame], definitions: list[dict], flow: dict) -> DataFrame:
@@ -290,8 +293,8 @@ def backtest(history: DataFrame, flow: dict) -> DataFrame:
     return classify_diff(apply_flow(history, flow).withColumnRenamed("flow_action", "new_result"))
 
 
-def backtest_fn(history: DataFrame, decide_one, schema: str) -> DataFrame:
-    """History under any Python decision function from record to record; an error becomes a row with its text."""
+def backtest_fn(history: DataFrame, decide_one, schema: str, key: str) -> DataFrame:
+    """History under any Python decision function from record to record; an error becomes a row of the sample's key and the error's text."""
     def run(batches):
         import pandas as pd
 
@@ -301,8 +304,8 @@ def backtest_fn(history: DataFrame, decide_one, schema: str) -> DataFrame:
                 try:
                     rows.append(decide_one(record) | {"error": None})
                 except Exception as error:  # the function is the caller's; its failures are results
-                    rows.append({"error": f"{type(error).__name__}: {error}"})
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append({key: record[key], "error": f"{type(error).__name__}: {error}"})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     names = [f.split()[0] for f in schema.split(", ")] + ["error"]
     return history.mapInPandas(run, f"{schema}, error string")

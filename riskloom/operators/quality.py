@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
+from riskloom.sources.ingest import held
 
 # Keywords of column names, in the order in which they are tried, and the masks of the matching kinds.
 KEYWORDS = [("bank_card", "TOP_SECRET"), ("bankcard", "TOP_SECRET"), ("card_no", "TOP_SECRET"), ("cardno", "TOP_SECRET"), ("password", "TOP_SECRET"), ("secret", "TOP_SECRET"),
@@ -130,15 +131,16 @@ def neighbours(edges: DataFrame, node: str, down: bool = True) -> DataFrame:
 def lineage_closure(edges: DataFrame, node: str, down: bool = True) -> DataFrame:
     """All nodes reachable from a node, with the distance; a visited node is not entered again, so cycles end."""
     own, other = ("src", "dst") if down else ("dst", "src")
-    links = edges.select(F.col(own).alias("node"), F.col(other).alias("next")).distinct()
-    found = edges.sparkSession.createDataFrame([(node, 0)], "node string, depth int")
-    depth = 0
+    links = held(edges.select(F.col(own).alias("node"), F.col(other).alias("next")).distinct(), "edges")
+    seen = new = edges.sparkSession.createDataFrame([(node,)], "node string")
+    out, depth = None, 0
     while True:
         depth += 1
-        step = links.join(found.where(F.col("depth") == depth - 1), "node").select(F.col("next").alias("node")).distinct().join(found, "node", "left_anti")
-        if step.isEmpty():
-            return found.where("depth > 0")
-        found = found.union(step.withColumn("depth", F.lit(depth)))
+        new = held(links.join(new, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"), "level")
+        level, seen = new.withColumn("depth", F.lit(depth)), seen.union(new)
+        if out is not None and new.isEmpty():
+            return out
+        out = level if out is None else out.union(level)
 
 
 def catalogue(spark: SparkSession, frames: dict[str, DataFrame], layer: dict[str, str]) -> DataFrame:

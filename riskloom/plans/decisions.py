@@ -240,7 +240,4 @@ def ud05(spark, d):
         return {"id": record["trace_id"], "decision": "PASS" if record["total_score"] > 100 else "REJECT", "trace_id": record["trace_id"]}
 
     rows = _log(spark, d).select("trace_id", F.col("total_score").cast("double").alias("total_score"))
-    out = D.backtest_fn(rows, one, "id bigint, decision string, trace_id bigint")
-    bad = rows.where("trace_id % 100 = 0").select("trace_id", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("decision"), F.lit("ValueError: refused").alias("error"))
-    failed = out.where("error is not null").count()
-    return out.where("error is null").select("id", "decision", "error", "trace_id").unionByName(bad.where(F.lit(failed) == bad.count()))
+    return D.backtest_fn(rows, one, "id bigint, decision string, trace_id bigint", "trace_id").select("id", "decision", "error", "trace_id")

@@ -65,7 +65,7 @@ def m04(spark, d):
 
 @register("m05_correlation_filter")
 def m05(spark, d):
-    rows = _matrix(spark, d).withColumn("f6", F.col("f0") * 2 + F.col("f1") * 0.01)
+    rows = _matrix(spark, d).withColumn(f"f{_N}", F.col("f0") * 2 + F.col("f1") * 0.01)
     names = [f"f{i}" for i in range(_N + 1)]
     iv = {r.feature: r.iv for r in M.feature_iv(rows, names, "y").collect()}
     return rows.agg(F.count("*").alias("rows")).select("rows", F.explode(F.array(*map(F.lit, M.correlation_filter(rows, names, iv)))).alias("feature"))
@@ -156,18 +156,18 @@ def u05(spark, d):
     return _drift(spark, d).where("severity = 'UNKNOWN'").select("feature")
 
 
-_TREND = "SELECT user_id AS model, event_id, value AS ks FROM events WHERE user_id < 40"
+_TREND = "SELECT user_id AS model, event_id, value AS ks FROM events"
 
 
 @register("w05_ks_trend", f"SELECT model, event_id, (first_value(ks) OVER (PARTITION BY model ORDER BY event_id) - ks) / first_value(ks) OVER (PARTITION BY model ORDER BY event_id) AS drop FROM ({_TREND})")
 def w05(spark, d):
-    rows = table(spark, d, "events").where("user_id < 40").select(F.col("user_id").alias("model"), "event_id", F.col("value").alias("ks"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("model"), "event_id", F.col("value").alias("ks"))
     return M.ks_trend(rows, "model", "event_id", "ks").select("model", "event_id", "drop")
 
 
 @register("w06_latest_state", f"SELECT model, ks FROM ({_TREND}) QUALIFY row_number() OVER (PARTITION BY model ORDER BY event_id DESC) = 1")
 def w06(spark, d):
-    rows = table(spark, d, "events").where("user_id < 40").select(F.col("user_id").alias("model"), "event_id", F.col("value").alias("ks"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("model"), "event_id", F.col("value").alias("ks"))
     return latest_per_key(rows, ["model"], [F.desc("event_id")]).select("model", "ks")
 
 

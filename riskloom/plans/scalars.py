@@ -124,10 +124,10 @@ def p15(spark, d):
     return tables.filter_log(frame(spark, d, "log"), start="2024-01-05", end="2024-01-20", flow_id="F1", decision_result="PASS", customer_id=None).select("trace_id", "customer_id")
 
 
-@register("p16_risk_signal_filter", ctes("log") + "SELECT trace_id FROM log WHERE customer_id % 10 = 3 AND (decision_result = 'REJECT' OR total_score < 60 OR duration_ms > 90)")
+@register("p16_risk_signal_filter", ctes("log") + "SELECT trace_id FROM log WHERE flow_id = 'F1' AND (decision_result = 'REJECT' OR total_score < 60 OR duration_ms > 90)")
 def p16(spark, d):
     should = [F.col("decision_result") == "REJECT", F.col("total_score") < 60, F.col("duration_ms") > 90]
-    return tables.match_any(frame(spark, d, "log"), F.col("customer_id") % 10 == 3, should).select("trace_id")
+    return tables.match_any(frame(spark, d, "log"), F.col("flow_id") == "F1", should).select("trace_id")
 
 
 @register("p17_search_log", ctes("log") + "SELECT trace_id FROM log WHERE CAST(trace_id AS VARCHAR) = '7' OR CAST(customer_id AS VARCHAR) = '7' OR decision_result = '7' OR flow_id = '7'")

@@ -96,9 +96,9 @@ def _sliding_sql(kind, size, slide, total=False):
     return f"SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n{extra} FROM events, unnest(generate_series(time_bucket(INTERVAL {slide}, ts, TIMESTAMP '1970-01-01') - INTERVAL {size} + INTERVAL {slide}, time_bucket(INTERVAL {slide}, ts, TIMESTAMP '1970-01-01'), INTERVAL {slide})) t(w) WHERE event_type = '{kind}' GROUP BY ALL"
 
 
-@register("st05_credit_query_3m", _sliding_sql("view", "90 DAY", "6 HOUR"))
+@register("st05_credit_query_3m", _sliding_sql("view", "90 DAY", "1 HOUR"))
 def st05(spark, d):
-    return V.sliding_feature(_events(spark, d, "view"), "user_id", "ts", "90 days", "6 hours").select("user_id", *_stamp("window_start"), "n")
+    return V.sliding_feature(_events(spark, d, "view"), "user_id", "ts", "90 days", "1 hour").select("user_id", *_stamp("window_start"), "n")
 
 
 @register("st06_apply_freq_1m", _sliding_sql("signup", "30 DAY", "1 HOUR"))

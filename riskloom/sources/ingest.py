@@ -13,6 +13,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def held(df: DataFrame, tag: str) -> DataFrame:
+    """Cuts the lineage: the rows as a table in the shared folder, read from there."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; lines that do not parse are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
