@@ -17,12 +17,14 @@ depends on those bounds. Words outside that table are known by 63 bits of their
 
 Corpus counts cover all training documents. Counts of words outside the bounded table of frequent ones reach the documents by a
 join, so every count is exact. Defined results: null text is the empty text, which has the end as its only token; without
-training documents all probabilities are uniform over one unseen word; ids must be distinct; repeated texts count each time.
+training documents all probabilities are uniform over one unseen word; each row is scored by its own text, also where ids repeat
+or are null; repeated texts count each time.
 """
 
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, reduce
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,10 @@ def words_of(text: str | None) -> list[bytes]:
     return [w + b" " if w == END else w for w in (text or "").encode().translate(LOWER).split()] + [END]
 
 
+def digests(texts: list[str | None]) -> pa.Array:
+    return pa.array([md5((x or "").encode()).digest() for x in texts], pa.binary())
+
+
 def _counts(docs: DataFrame, text_col: str) -> DataFrame:
     """word, n: partial counts per task, then one shuffle by word."""
 
@@ -307,32 +313,34 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
                     pa.array(full),
                     pa.array([list(x.items()) for x in tails], pa.map_(pa.binary(), pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_col, "n_tokens", "hot", "base", "full", "rare"])
+                yield pa.RecordBatch.from_arrays([part.column(0), digests(part.column(1).to_pylist()), *columns], names=["id", "h", "n_tokens", "hot", "base", "full", "rare"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, _, hot_keys, _, bits = sent.value
         numbers = Numbers(known)
         for batch in batches:
             for part in in_parts(batch, 1, 1_000_000):
-                _, _, keys, of = keys_of([words_of(x) for x in part.column(1).to_pylist()], numbers)
+                texts = part.column(1).to_pylist()
+                _, _, keys, of = keys_of([words_of(x) for x in texts], numbers)
                 cold = ~places(hot_keys, keys)[1] & _passes(bits, keys)
                 keys, of = keys[cold], of[cold]
                 order = np.lexsort((keys, of))
                 keys, of = keys[order], of[order]
                 first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))[: len(keys)])
                 times = np.diff(np.append(first, len(keys))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[first])), pa.array(keys[first]), pa.array(times)], names=[id_col, "key", "times"])
-
-    kind = kind_of(docs, id_col)
-    schema = f"`{id_col}` {kind}, n_tokens bigint, hot bigint, base double, full double, rare map<binary,bigint>"
-    held = written(docs.select(id_col, text_col).mapInArrow(run, schema), "scores")
-    grams = docs.select(id_col, text_col).mapInArrow(others, f"`{id_col}` {kind}, key bigint, times int")
-    added = grams.join(tree.values.select("key", "value"), "key").groupBy(id_col).agg(F.sum(F.col("times") * F.col("value")).alias("more"))
-    rare = held.select(id_col, F.explode("rare").alias("word", "times")).join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+                yield pa.RecordBatch.from_arrays([digests(texts).take(pa.array(of[first])), pa.array(keys[first]), pa.array(times)], names=["h", "key", "times"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    held = written(rows.mapInArrow(run, f"id {kind_of(docs, id_col)}, h binary, n_tokens bigint, hot bigint, base double, full double, rare map<binary,bigint>"), "scores")
+    # rows of one text add the same to its sums, so each gets the sum divided by their number, whatever their ids are
+    copies = held.groupBy("h").agg(F.count("*").alias("copies"))
+    added = rows.mapInArrow(others, "h binary, key bigint, times int").join(tree.values.select("key", "value"), "key").groupBy("h").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+    rare = held.select("h", F.explode("rare").alias("word", "times")).join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + 0.5) / F.lit(float(tree.scale)))
-    tail = rare.groupBy(id_col).agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"), F.sum(F.col("times") * base).alias("tail_base"))
-    both = held.drop("rare").join(tail, id_col, "left").join(added, id_col, "left").na.fill(0, ["tail_known", "tail_base", "more"])
-    total = F.col("base") + F.col("tail_base")
+    tail = rare.groupBy("h").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"), F.sum(F.col("times") * base).alias("tail_base"))
+    more = copies.join(tail, "h", "left").join(added, "h", "left").na.fill(0, ["tail_known", "tail_base", "more"])
+    both = held.drop("rare").join(more, "h")
+    total = F.col("base") + F.col("tail_base") / F.col("copies")
     return both.select(
-        id_col, "n_tokens", (F.col("hot") + F.col("tail_known")).alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"),
-        total.alias("base_score"), (total + F.col("full") + F.col("more")).alias("score"))
+        F.col("id").alias(id_col), "n_tokens", (F.col("hot") + F.floor(F.col("tail_known") / F.col("copies"))).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"),
+        total.alias("base_score"), (total + F.col("full") + F.col("more") / F.col("copies")).alias("score"))
