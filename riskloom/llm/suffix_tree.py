@@ -9,11 +9,13 @@ word by word in the state of its longest retained suffix.
 
 The log of that probability is a sum over the word, its pair and its triple: log base(c) + rest(b) + gain(b, c) + rest(a, b) +
 gain(a, b, c), each part 0 where the tree has none. All but the last word of a document are followed by one, so a document's
-score is its base score plus a sum of times * value over its own n-grams. The values are a table in Spark, one per n-gram, which
-n-grams counted per document meet in a join. The ``HOT`` most frequent n-grams (and ``MOST`` words) are also sent to the tasks,
-which only spares them the join, and a filter of at most ``BITS`` bits keeps most n-grams with a part that occurs less than
-``LEAST`` times, or without a value, out of the shuffles; what it lets through wrongly is dropped by count or join, so no result
-depends on those bounds. Words outside that table are known by 63 bits of their hash.
+score is its base score plus a sum of times * value over its own n-grams. The values are a table in Spark, one per n-gram. N-grams
+are counted, and meet their values, in buckets of their keys (about ``ROOM`` n-grams each, so their number grows with the input):
+tasks count what they read, Spark shuffles packed slices to the buckets, and numpy merges one bucket at a time. About ``HOT`` of the
+most frequent n-grams (and ``MOST`` words) are also sent to the tasks, which only spares them the shuffle, and a filter of at most
+``BITS`` bits keeps most n-grams with a part that occurs less than ``LEAST`` times, or without a value, out of the shuffles; what it
+lets through wrongly is dropped by count or lookup, so no result depends on those bounds. Words outside that table are known by 63
+bits of their hash.
 
 Corpus counts cover all training documents. Counts of words outside the bounded table of frequent ones reach the documents by a
 join, so every count is exact. Defined results: null text is the empty text, which has the end as its only token; without
@@ -24,17 +26,17 @@ or are null; repeated texts count each time.
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, reduce
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, kind_of, written
+from riskloom.llm.common import discard, in_parts, kind_of, written
 
-LEAST, MOST, HOT, BITS, DISCOUNT, DIVERGENCE, NONE = 2, 200_000, 500_000, 1 << 28, 0.5, 8.0, -1
+LEAST, MOST, HOT, BITS, ROOM, DISCOUNT, DIVERGENCE, NONE = 2, 200_000, 500_000, 1 << 28, 1_000_000, 0.5, 8.0, -1
 LOWER, END = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256)), b"\x00"
 
 
@@ -43,10 +45,6 @@ def words_of(text: str | None) -> list[bytes]:
     return [w + b" " if w == END else w for w in (text or "").encode().translate(LOWER).split()] + [END]
 
 
-def digests(texts: list[str | None]) -> pa.Array:
-    return pa.array([md5((x or "").encode()).digest() for x in texts], pa.binary())
-
-
 def _counts(docs: DataFrame, text_col: str) -> DataFrame:
     """word, n: partial counts per task, then one shuffle by word."""
 
@@ -111,6 +109,28 @@ def _lines(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.n
     return ids, np.repeat(np.arange(len(texts)), sizes), np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _lists(rows: DataFrame, text_col: str, sent) -> DataFrame:
+    """sizes, ids: the numbers of all words of some texts, packed; a row for about a million bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(sent.value)
+        for batch in batches:
+            for part in in_parts(batch, 0, 1_000_000):
+                texts = [numbers(words_of(x)) for x in part.column(0).to_pylist()]
+                sizes, ids = np.array([len(x) for x in texts], np.int64), np.array([n for x in texts for n in x], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sizes, ids)], names=["sizes", "ids"])
+
+    return rows.select(text_col).mapInArrow(run, "sizes binary, ids binary")
+
+
+def _slices(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """The bucket of each run of sorted keys (unsigned), and that run of all columns as bytes."""
+    to = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(to)]):
+        yield int(to[i]), *(x[..., i:j].tobytes() for x in columns)
+
+
 def _filter(keys: DataFrame) -> np.ndarray:
     """Bits that are set at two places of every key: all keys pass ``_passes``, and few others while the bits suffice."""
     bits = 1 << 16
@@ -118,26 +138,41 @@ def _filter(keys: DataFrame) -> np.ndarray:
     while bits < min(wanted, BITS):
         bits *= 2
 
-    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(np.uint64))
+            waiting += batch.num_rows
+            if waiting > 500_000:
+                yield pages(np.concatenate(held))
+                held, waiting = [], 0
+        if waiting:
+            yield pages(np.concatenate(held))
+
+    def pages(keys: np.ndarray) -> pa.RecordBatch:
+        places = np.sort(np.concatenate([(keys >> np.uint64(x)) & np.uint64(bits - 1) for x in (0, 32)]).astype(np.int64))
+        page, places = places >> 16, (places & 0xFFFF).astype(np.uint16)
+        starts = np.flatnonzero(np.append(True, page[1:] != page[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(page[starts]), pa.array([x.tobytes() for x in np.split(places, starts[1:])], pa.binary())], names=["page", "places"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = -1, np.zeros(1 << 16, bool)
         for batch in batches:
-            page, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for own in np.split(np.arange(len(page)), np.flatnonzero(np.diff(page)) + 1):
-                if len(own) and page[own[0]] != at:
+            for page, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if page != at:
                     if at >= 0:
-                        yield packed(at, held)
-                    at, held = int(page[own[0]]), np.zeros(1 << 16, bool)
-                held[place[own]] = True
+                        yield made(at, held)
+                    at, held = page, np.zeros(1 << 16, bool)
+                held[np.frombuffer(places, np.uint16)] = True
         if at >= 0:
-            yield packed(at, held)
+            yield made(at, held)
 
-    def packed(page: int, held: np.ndarray) -> pa.RecordBatch:
+    def made(page: int, held: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([page], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["page", "bits"])
 
-    places = keys.select(F.explode(F.array(*(F.pmod(x, F.lit(bits)) for x in (F.col("key"), F.shiftrightunsigned("key", 32))))).alias("at"))
-    dealt = places.select(F.shiftright("at", 16).alias("page"), F.pmod("at", F.lit(1 << 16)).alias("place")).distinct().repartition("page").sortWithinPartitions("page")
+    places = keys.mapInArrow(dealt, "page bigint, places binary").repartition("page").sortWithinPartitions("page")
     out = np.zeros((bits >> 16, 1 << 13), np.uint8)
-    for row in dealt.mapInArrow(pages, "page bigint, bits binary").toArrow().to_pylist():
+    for row in places.mapInArrow(packed, "page bigint, bits binary").toArrow().to_pylist():
         out[row["page"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
@@ -150,38 +185,62 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grams(docs: DataFrame, text_col: str, sent, allowed, order: int) -> DataFrame:
-    """a, b, c, n: occurrences of word pairs (order 1, a is ``NONE``) or triples (order 2) whose words or pairs pass the filter."""
+def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
+    """b, c, n (order 1) or a, b, c, n (order 2): word pairs or triples that occur ``LEAST`` times or more, of those whose words or pairs pass the filter."""
+    buckets = total // ROOM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, held, waiting = Numbers(sent.value), [], 0
+        held, waiting = [], 0
         for batch in batches:
-            for part in in_parts(batch, 0, 1_000_000):
-                ids, _, place = _lines([words_of(x) for x in part.column(0).to_pylist()], numbers)
+            for sizes, ids in zip(*(x.to_pylist() for x in batch.columns)):
+                sizes, ids = np.frombuffer(sizes, np.int64), np.frombuffer(ids, np.int64)
+                place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 at = np.flatnonzero(place >= 1)
                 if order == 1:
-                    kept = (ids >= 0) | _passes(allowed.value, hashed(ids))
-                    at = at[kept[at] & kept[at - 1]]
-                    held.append((np.full(len(at), NONE), ids[at - 1], ids[at]))
+                    kept = ids >= 0
+                    rare = np.flatnonzero(~kept)
+                    kept[rare] = _passes(allowed.value, hashed(ids[rare]))
                 else:
                     kept = np.zeros(len(ids), bool)
                     kept[at] = _passes(allowed.value, hashed(ids[at - 1], ids[at]))
                     at = at[place[at] >= 2]
-                    at = at[kept[at] & kept[at - 1]]
-                    held.append((ids[at - 2], ids[at - 1], ids[at]))
+                at = at[kept[at] & kept[at - 1]]
+                held.append([ids[at - k] for k in reversed(range(order + 1))])
                 waiting += len(at)
-                if waiting > 1_500_000:
-                    yield _table(held)
+                if waiting > 1_000_000:
+                    yield dealt(held)
                     held, waiting = [], 0
+        if waiting:
+            yield dealt(held)
+
+    def dealt(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        words = np.stack([np.concatenate(x) for x in zip(*held)])
+        keys, first, counts = np.unique(hashed(*words).view(np.uint64), return_index=True, return_counts=True)
+        columns = zip(*_slices(keys, buckets, words[:, first], counts.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "words", "times"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for bucket, words, times in zip(*(x.to_pylist() for x in batch.columns)):
+                if held and bucket != at:
+                    yield counted(held)
+                    held = []
+                at = bucket
+                held.append((np.frombuffer(words, np.int64).reshape(order + 1, -1), np.frombuffer(times, np.int32)))
         if held:
-            yield _table(held)
+            yield counted(held)
 
-    def _table(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        words = [np.concatenate(x) for x in zip(*held)]
-        _, first, counts = np.unique(hashed(*words), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in words), pa.array(counts.astype(np.int64))], names=["a", "b", "c", "n"])
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, times = np.concatenate([x for x, _ in held], 1), np.concatenate([x for _, x in held])
+        _, first, own = np.unique(hashed(*words), return_index=True, return_inverse=True)
+        n = np.bincount(own, times).astype(np.int64)
+        words = words[:, first[n >= LEAST]]
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in words), pa.array(n[n >= LEAST])], names=[*names, "n"])
 
-    return docs.select(text_col).mapInArrow(run, "a bigint, b bigint, c bigint, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+    names = ["a", "b", "c"][2 - order :]
+    dealt_out = lists.mapInArrow(run, "bucket bigint, words binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt_out.mapInArrow(merged, ", ".join(f"{x} bigint" for x in [*names, "n"]))
 
 
 def _states(grams: DataFrame, context: list[str]) -> DataFrame:
@@ -214,7 +273,7 @@ class Tree:
         now = F.when(F.col("rest").isNull(), F.col("lower")).otherwise(ten)
         triples = triples.join(pairs.select("b", "c", now.alias("lower")), ["b", "c"])
         triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("count")), ["a", "b"])
-        triples = triples.withColumn("share", share)
+        triples = written(triples.withColumn("share", share), "shares")
         two = _states(triples, ["a", "b"])
         gain = (ten - F.col("lower") - F.col("rest")).alias("value")
         self.parts = [
@@ -264,10 +323,15 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
 
     words = counts.where(F.col("n") >= LEAST).mapInArrow(numbered, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     words = written(words, "numbers")
+    lists = written(_lists(docs, text_col, sent), "lists")
     allowed = spark.sparkContext.broadcast(_filter(words.where("w < 0").select(F.xxhash64("w").alias("key"))))
-    pairs = written(_grams(docs, text_col, sent, allowed, 1).where(F.col("n") >= LEAST).drop("a"), "pairs")
+    pairs = written(_grams(lists, total, allowed, 1), "pairs")
+    allowed.unpersist()
     allowed = spark.sparkContext.broadcast(_filter(pairs.select(F.xxhash64("b", "c").alias("key"))))
-    tree.grow(pairs, written(_grams(docs, text_col, sent, allowed, 2).where(F.col("n") >= LEAST), "triples"), words)
+    triples = written(_grams(lists, total, allowed, 2), "triples")
+    allowed.unpersist()
+    discard(lists)
+    tree.grow(pairs, triples, words)
     return tree, counts
 
 
@@ -275,72 +339,117 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
     """id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every document."""
     tree, counts = model
     context = docs.sparkSession.sparkContext
-    hot = tree.values.orderBy(F.desc("n"), "key").limit(HOT).select("key", "value").toArrow().sort_by("key")
-    bits = _filter(tree.values.select("key"))
-    sent = context.broadcast((tree.known, tree.base, hot.column("key").to_numpy(), hot.column("value").to_numpy(), bits))
-
-    def keys_of(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words, their texts; keys of all words, pairs and triples, and their texts."""
-        ids, owner, place = _lines(texts, numbers)
-        one, two = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-        keys = np.concatenate([hashed(ids), hashed(ids[one - 1], ids[one]), hashed(ids[two - 2], ids[two - 1], ids[two])])
-        return ids, owner, keys, np.concatenate([owner, owner[one], owner[two]])
+    # frequent n-grams by classes of their count, from the highest class on while they fit
+    classes = tree.values.groupBy(F.floor(F.log2("n") * 8).alias("class")).agg(F.count("*").alias("size")).orderBy(F.desc("class")).collect()
+    fits, least = 0, float("inf")
+    for c in classes:
+        fits += c["size"]
+        if fits > HOT:
+            break
+        least = c["class"]
+    hot = tree.values.where(F.floor(F.log2("n") * 8) >= least).select("key", "value").toArrow().sort_by("key")
+    size = tree.values.count()
+    sent = context.broadcast((tree.known, tree.base, hot.column("key").to_numpy(), hot.column("value").to_numpy(), _filter(tree.values.select("key"))))
+    buckets = size // ROOM + context.defaultParallelism
 
     def places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
         return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, hot_keys, hot_values, _ = sent.value
-        numbers = Numbers(known)
+        known, base, hot_keys, hot_values, bits = sent.value
+        numbers, row = Numbers(known), TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in in_parts(batch, 1, 1_000_000):
                 texts = [words_of(x) for x in part.column(1).to_pylist()]
-                ids, owner, keys, of = keys_of(texts, numbers)
+                ids, owner, place = _lines(texts, numbers)
+                one, two = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+                keys = np.concatenate([hashed(ids), hashed(ids[one - 1], ids[one]), hashed(ids[two - 2], ids[two - 1], ids[two])])
+                of = np.concatenate([owner, owner[one], owner[two]])
+                passed = np.flatnonzero(_passes(bits, keys))
+                keys, of = keys[passed], of[passed]
                 at, met = places(hot_keys, keys)
                 full = np.bincount(of[met], hot_values[at[met]], len(texts)) if met.any() else np.zeros(len(texts))
-                sizes, hot = np.bincount(owner, minlength=len(texts)), ids >= 0
+                keys, of = keys[~met], of[~met]
+                ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(texts)) * 8)).astype(np.int32)
+                cold = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(keys[np.argsort(of, kind="stable")])])
+                sizes, frequent = np.bincount(owner, minlength=len(texts)), ids >= 0
                 start = np.cumsum(sizes) - sizes
                 tails: list[dict[bytes, int]] = [{} for _ in texts]
-                rare = np.flatnonzero(~hot)
+                rare = np.flatnonzero(~frequent)
                 for i, k in zip(rare.tolist(), owner[rare].tolist()):
                     word = texts[k][i - int(start[k])]
                     tails[k][word] = tails[k].get(word, 0) + 1
                 columns = [
+                    pa.array(np.arange(row, row + len(texts))),
                     pa.array(sizes.astype(np.int64)),
-                    pa.array(np.bincount(owner, hot, len(texts)).astype(np.int64)),
-                    pa.array(np.bincount(owner[hot], base[ids[hot]] if len(base) else None, len(texts)).astype(np.float64)),
+                    pa.array(np.bincount(owner, frequent, len(texts)).astype(np.int64)),
+                    pa.array(np.bincount(owner[frequent], base[ids[frequent]] if len(base) else None, len(texts)).astype(np.float64)),
                     pa.array(full),
+                    cold,
                     pa.array([list(x.items()) for x in tails], pa.map_(pa.binary(), pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), digests(part.column(1).to_pylist()), *columns], names=["id", "h", "n_tokens", "hot", "base", "full", "rare"])
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "row", "n_tokens", "hot", "base", "full", "cold", "rare"])
+
+    def packed(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+        """Keys with the rows that ask for them (kind 1), or with their values (kind 0), by bucket."""
+        held, waiting = [], 0
+
+        def made() -> pa.RecordBatch:
+            keys, own = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys.view(np.uint64))
+            keys = keys.view(np.uint64)[order]
+            columns = list(zip(*_slices(keys, buckets, keys, own[order]))) or [(), (), ()]
+            kinds = pa.array([kind] * len(columns[0]), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), kinds, *(pa.array(x, pa.binary()) for x in columns[1:])], names=["bucket", "kind", "keys", "own"])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _, hot_keys, _, bits = sent.value
-        numbers = Numbers(known)
         for batch in batches:
-            for part in in_parts(batch, 1, 1_000_000):
-                texts = part.column(1).to_pylist()
-                _, _, keys, of = keys_of([words_of(x) for x in texts], numbers)
-                cold = ~places(hot_keys, keys)[1] & _passes(bits, keys)
-                keys, of = keys[cold], of[cold]
-                order = np.lexsort((keys, of))
-                keys, of = keys[order], of[order]
-                first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))[: len(keys)])
-                times = np.diff(np.append(first, len(keys))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([digests(texts).take(pa.array(of[first])), pa.array(keys[first]), pa.array(times)], names=["h", "key", "times"])
+            own, keys = batch.column(0).to_numpy(), batch.column(1)
+            if kind:
+                sizes = np.array([len(x) // 8 for x in keys.to_pylist()], np.int64)
+                own, keys = np.repeat(own, sizes), np.frombuffer(b"".join(keys.to_pylist()), np.int64)
+            else:
+                keys = keys.to_numpy()
+            held.append((keys, own))
+            waiting += len(keys)
+            if waiting > 1_000_000:
+                yield made()
+                held, waiting = [], 0
+        if waiting:
+            yield made()
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, values, fresh = None, np.zeros(0, np.int64), np.zeros(0), []
+        for batch in batches:
+            for bucket, kind, asked, own in zip(*(x.to_pylist() for x in batch.columns)):
+                if bucket != at:
+                    at, keys, values, fresh = bucket, np.zeros(0, np.int64), np.zeros(0), []
+                asked = np.frombuffer(asked, np.int64)
+                if kind == 0:
+                    fresh.append((asked, np.frombuffer(own)))
+                    continue
+                if fresh:
+                    keys, values = (np.concatenate(x) for x in zip(*fresh))
+                    order = np.argsort(keys)
+                    keys, values, fresh = keys[order], values[order], []
+                place, met = places(keys, asked)
+                rows, own = np.unique(np.frombuffer(own, np.int64)[met], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(own, values[place[met]], len(rows)) if len(rows) else np.zeros(0))], names=["row", "more"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held = written(rows.mapInArrow(run, f"id {kind_of(docs, id_col)}, h binary, n_tokens bigint, hot bigint, base double, full double, rare map<binary,bigint>"), "scores")
-    # rows of one text add the same to its sums, so each gets the sum divided by their number, whatever their ids are
-    copies = held.groupBy("h").agg(F.count("*").alias("copies"))
-    added = rows.mapInArrow(others, "h binary, key bigint, times int").join(tree.values.select("key", "value"), "key").groupBy("h").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
-    rare = held.select("h", F.explode("rare").alias("word", "times")).join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    kinds = f"id {kind_of(docs, id_col)}, row bigint, n_tokens bigint, hot bigint, base double, full double, cold binary, rare map<binary,bigint>"
+    held = written(rows.mapInArrow(run, kinds), "scores")
+    shape = "bucket bigint, kind bigint, keys binary, own binary"
+    asked = held.select("row", "cold").mapInArrow(lambda x: packed(x, 1), shape)
+    known = tree.values.select("value", "key").mapInArrow(lambda x: packed(x, 0), shape)
+    met = asked.unionAll(known).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, "row bigint, more double")
+    added = written(met.groupBy("row").agg(F.sum("more").alias("more")), "added")
+    rare = held.select("row", F.explode("rare").alias("word", "times")).join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + 0.5) / F.lit(float(tree.scale)))
-    tail = rare.groupBy("h").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"), F.sum(F.col("times") * base).alias("tail_base"))
-    more = copies.join(tail, "h", "left").join(added, "h", "left").na.fill(0, ["tail_known", "tail_base", "more"])
-    both = held.drop("rare").join(more, "h")
-    total = F.col("base") + F.col("tail_base") / F.col("copies")
+    tail = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"), F.sum(F.col("times") * base).alias("tail_base"))
+    both = held.drop("rare", "cold").join(tail, "row", "left").join(added, "row", "left").na.fill(0, ["tail_known", "tail_base", "more"])
+    total = F.col("base") + F.col("tail_base")
     return both.select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("hot") + F.floor(F.col("tail_known") / F.col("copies"))).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"),
-        total.alias("base_score"), (total + F.col("full") + F.col("more") / F.col("copies")).alias("score"))
+        F.col("id").alias(id_col), "n_tokens", (F.col("hot") + F.col("tail_known")).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"),
+        total.alias("base_score"), (total + F.col("full") + F.col("more")).alias("score"))
