@@ -23,20 +23,20 @@ training documents all probabilities are uniform over one unseen word; each row
 or are null; repeated texts count each time.
 """
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import discard, in_parts, kind_of, written
 
-LEAST, MOST, HOT, BITS, ROOM, DISCOUNT, DIVERGENCE, NONE = 2, 200_000, 500_000, 1 << 28, 1_000_000, 0.5, 8.0, -1
+LEAST, MOST, HOT, BITS, ROOM, DISCOUNT, DIVERGENCE = 2, 200_000, 500_000, 1 << 28, 1_000_000, 0.5, 8.0
+P1, P2 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
 LOWER, END = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256)), b"\x00"
 
 
@@ -45,44 +45,96 @@ def words_of(text: str | None) -> list[bytes]:
     return [w + b" " if w == END else w for w in (text or "").encode().translate(LOWER).split()] + [END]
 
 
+_LOW, _VALUE = np.frombuffer(LOWER, np.uint8), np.random.default_rng(9).integers(1, 1 << 64, 256, np.uint64)
+
+
+def _powers(size: int, held: list[np.ndarray] = [np.ones(1, np.uint64)] * 2) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Powers of an odd number and of its inverse modulo 2^64, kept in the worker."""
+    if len(held[0]) < size:
+        size = max(size, 1 << 20)
+        held[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, x, np.uint64))) for x in (P1, pow(P1, -1, 1 << 64))]
+    return held[0][:size], held[1][:size]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each run of bytes: a polynomial over random values of the bytes, from differences of running sums, then mixed."""
+    up, down = _powers(len(data) + 1)
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * up[: len(data)]))
+    out = (sums[end] - sums[start]) * down[start]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(P2)
+    return out ^ (out >> np.uint64(32))
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    ends = np.cumsum(np.array([len(x) for x in words], np.int64))
+    return word_hashes(np.frombuffer(b"".join(words), np.uint8), np.append(np.zeros(1, np.int64), ends[:-1])[: len(words)], ends)
+
+
+class Lines:
+    """All words of some texts, each text with its end: ``hash`` of each, its text (``owner``) and ``place`` there; ``word(i)`` gives the bytes."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        low = _LOW[np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]]
+        bounds = bounds - bounds[0]
+        space = (low == 32) | ((low >= 9) & (low <= 13))
+        edge = np.zeros(len(low) + 1, bool)
+        edge[bounds] = True
+        before, after = edge.copy(), edge.copy()
+        before[1:] |= space
+        after[:-1] |= space
+        start = np.flatnonzero(~space & before[:-1])
+        end = np.flatnonzero(~space & after[1:]) + 1
+        of = np.searchsorted(bounds[1:], start, "right")
+        hashes = word_hashes(low, start, end)
+        signs = hashes_of([END, END + b" "])
+        lone = (end - start == 1) & (low[start] == 0)
+        hashes[lone] = signs[1]
+        self.sizes = np.bincount(of, minlength=len(texts)) + 1
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.place = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.hash = np.full(len(self.owner), signs[0])
+        self._low, self._start, self._end = low, np.full(len(self.owner), -1), np.zeros(len(self.owner), np.int64)
+        at = np.arange(len(start)) + of
+        self.hash[at], self._start[at], self._end[at] = hashes, start, end
+
+    def words(self, which: np.ndarray) -> list[bytes]:
+        """The bytes of the words at some places of the list."""
+        low = self._low.tobytes()
+        own = (END if i < 0 else low[i:j] for i, j in zip(self._start[which].tolist(), self._end[which].tolist()))
+        return [END + b" " if i >= 0 and w == END else w for w, i in zip(own, self._start[which].tolist())]
+
+
 def _counts(docs: DataFrame, text_col: str) -> DataFrame:
     """word, n: partial counts per task, then one shuffle by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
         for batch in batches:
-            for part in in_parts(batch, 0, 2_000_000):
-                for text in part.column(0).to_pylist():
-                    held.update(words_of(text))
-                if len(held) > 200_000:
-                    yield _table(held)
-                    held = Counter()
-        yield _table(held)
-
-    def _table(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            for part in in_parts(batch, 0, 3_000_000):
+                lines = Lines(part.column(0))
+                _, first, n = np.unique(lines.hash, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lines.words(first), pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Numbers:
-    """Numbers of words: places in the table of frequent ones, and hashes below ``NONE`` for others."""
+    """Numbers of words from their hashes: places in the table of frequent ones, and negative hashes for others."""
 
     def __init__(self, known: dict[bytes, int]):
-        self.known, self.rare = known, {}
-
-    def __call__(self, words: list[bytes]) -> list[int]:
-        got, rare = list(map(self.known.get, words)), self.rare
-        if None in got:
-            if len(rare) > 100_000:
-                rare.clear()
-            for i, x in enumerate(got):
-                if x is None:
-                    word = words[i]
-                    if (x := rare.get(word)) is None:
-                        x = rare[word] = (xxhash.xxh64_intdigest(word) | 1 << 63) - (1 << 64)
-                    got[i] = x
-        return got
+        hashes = hashes_of(list(known))
+        order = np.argsort(hashes)
+        self.hashes, self.places = hashes[order], np.array(list(known.values()), np.int64)[order]
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = (hashes | np.uint64(1 << 63)).view(np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            met = self.hashes[at] == hashes
+            out[met] = self.places[at[met]]
+        return out
 
 
 def hashed(*columns: np.ndarray) -> np.ndarray:
@@ -102,23 +154,14 @@ def hashed(*columns: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _lines(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all words of some texts, the text of each, and its place there."""
-    sizes = np.array([len(x) for x in texts])
-    ids = np.array([n for x in texts for n in numbers(x)], np.int64)
-    return ids, np.repeat(np.arange(len(texts)), sizes), np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
-
 def _lists(rows: DataFrame, text_col: str, sent) -> DataFrame:
     """sizes, ids: the numbers of all words of some texts, packed; a row for about a million bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(sent.value)
         for batch in batches:
             for part in in_parts(batch, 0, 1_000_000):
-                texts = [numbers(words_of(x)) for x in part.column(0).to_pylist()]
-                sizes, ids = np.array([len(x) for x in texts], np.int64), np.array([n for x in texts for n in x], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (sizes, ids)], names=["sizes", "ids"])
+                lines = Lines(part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (lines.sizes, sent.value(lines.hash))], names=["sizes", "ids"])
 
     return rows.select(text_col).mapInArrow(run, "sizes binary, ids binary")
 
@@ -273,18 +316,22 @@ class Tree:
         now = F.when(F.col("rest").isNull(), F.col("lower")).otherwise(ten)
         triples = triples.join(pairs.select("b", "c", now.alias("lower")), ["b", "c"])
         triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("count")), ["a", "b"])
-        triples = written(triples.withColumn("share", share), "shares")
-        two = _states(triples, ["a", "b"])
+        # the triples of a context lie together after this join; a context's few sums need no further shuffle
+        own = Window.partitionBy("a", "b")
+        told = {"gain": F.sum(F.expr("share * (ln(share) - lower * ln(10))")), "left": F.sum("share"), "room": F.sum(F.pow(F.lit(10.0), "lower")), "first": F.min("c")}
+        triples = triples.withColumn("share", share).select("*", *(x.over(own).alias(k) for k, x in told.items())).where(F.col("gain") * F.col("count") >= DIVERGENCE)
+        rest = F.log10(F.greatest(1 - F.col("left"), F.lit(1e-9)) / F.greatest(1 - F.col("room"), F.lit(1e-9)))
+        triples = written(triples.select("a", "b", "c", "n", "count", rest.alias("rest"), (ten - F.col("lower") - rest).alias("value"), (F.col("c") == F.col("first")).alias("first")), "states")
         gain = (ten - F.col("lower") - F.col("rest")).alias("value")
         self.parts = [
             one.select("b", F.col("rest").alias("value"), F.col("count").alias("n")), pairs.where("rest is not null").select("b", "c", gain, "n"),
-            two.select("a", "b", F.col("rest").alias("value"), F.col("count").alias("n")), triples.drop("count").join(two.drop("count"), ["a", "b"]).select("a", "b", "c", gain, "n")]
+            triples.where("first").select("a", "b", F.col("rest").alias("value"), F.col("count").alias("n")), triples.select("a", "b", "c", "value", "n")]
 
     @cached_property
     def values(self) -> DataFrame:
-        """key, value, n: what each n-gram adds to a document's score at every occurrence."""
+        """key, value, n: what each n-gram adds to a document's score at every occurrence; a pair that is a context too has two rows of one n."""
         keyed = [x.select(F.xxhash64(*(c for c in x.columns if c in "abc")).alias("key"), "value", "n") for x in self.parts]
-        return written(reduce(DataFrame.unionAll, keyed).groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "tree")
+        return written(reduce(DataFrame.unionAll, keyed), "tree")
 
     @cached_property
     def held(self) -> list[dict]:
@@ -314,12 +361,11 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(MOST).collect()
     tree = Tree({bytes(r.word): i for i, r in enumerate(frequent)}, np.array([r.n for r in frequent], np.float64), total, distinct)
-    sent = spark.sparkContext.broadcast(tree.known)
+    sent = spark.sparkContext.broadcast(Numbers(tree.known))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(numbers(batch.column(0).to_pylist()), pa.int64()), batch.column(1)], names=["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value(hashes_of(batch.column(0).to_pylist()))), batch.column(1)], names=["w", "n"])
 
     words = counts.where(F.col("n") >= LEAST).mapInArrow(numbered, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     words = written(words, "numbers")
@@ -347,9 +393,17 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
         if fits > HOT:
             break
         least = c["class"]
-    hot = tree.values.where(F.floor(F.log2("n") * 8) >= least).select("key", "value").toArrow().sort_by("key")
+    hot = tree.values.where(F.floor(F.log2("n") * 8) >= least).select("key", "value").toArrow()
+    hot_keys, own = np.unique(hot.column("key").to_numpy(), return_inverse=True)
+    hot_values = np.bincount(own, hot.column("value").to_numpy(), len(hot_keys)) if len(hot_keys) else np.zeros(0)
+    # a key for each slot of the low bits: of several, one stays and the others are looked up in their buckets
+    slots = np.zeros((2, 1 << (4 * len(hot_keys)).bit_length()), np.int64)
+    slots[0] = hot_keys[0] if len(hot_keys) else 0
+    slots[:, hot_keys & slots.shape[1] - 1] = hot_keys, hot_values.view(np.int64)
+    if len(hot_keys):
+        slots[1, slots[0] == hot_keys[0]] = hot_values[:1].view(np.int64)
     size = tree.values.count()
-    sent = context.broadcast((tree.known, tree.base, hot.column("key").to_numpy(), hot.column("value").to_numpy(), _filter(tree.values.select("key"))))
+    sent = context.broadcast((Numbers(tree.known), tree.base, slots, len(hot_keys) > 0, _filter(tree.values.select("key"))))
     buckets = size // ROOM + context.defaultParallelism
 
     def places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,28 +411,27 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
         return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, hot_keys, hot_values, bits = sent.value
-        numbers, row = Numbers(known), TaskContext.get().partitionId() << 36
+        numbers, base, slots, some, bits = sent.value
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in in_parts(batch, 1, 1_000_000):
-                texts = [words_of(x) for x in part.column(1).to_pylist()]
-                ids, owner, place = _lines(texts, numbers)
+                lines, texts = Lines(part.column(1)), range(part.num_rows)
+                ids, owner, place = numbers(lines.hash), lines.owner, lines.place
                 one, two = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
                 keys = np.concatenate([hashed(ids), hashed(ids[one - 1], ids[one]), hashed(ids[two - 2], ids[two - 1], ids[two])])
                 of = np.concatenate([owner, owner[one], owner[two]])
                 passed = np.flatnonzero(_passes(bits, keys))
                 keys, of = keys[passed], of[passed]
-                at, met = places(hot_keys, keys)
-                full = np.bincount(of[met], hot_values[at[met]], len(texts)) if met.any() else np.zeros(len(texts))
+                at = keys & slots.shape[1] - 1
+                met = (slots[0][at] == keys) & some
+                full = np.bincount(of[met], slots[1][at[met]].view(np.float64), len(texts)) if met.any() else np.zeros(len(texts))
                 keys, of = keys[~met], of[~met]
                 ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(texts)) * 8)).astype(np.int32)
                 cold = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(keys[np.argsort(of, kind="stable")])])
-                sizes, frequent = np.bincount(owner, minlength=len(texts)), ids >= 0
-                start = np.cumsum(sizes) - sizes
+                sizes, frequent = lines.sizes, ids >= 0
                 tails: list[dict[bytes, int]] = [{} for _ in texts]
                 rare = np.flatnonzero(~frequent)
-                for i, k in zip(rare.tolist(), owner[rare].tolist()):
-                    word = texts[k][i - int(start[k])]
+                for word, k in zip(lines.words(rare), owner[rare].tolist()):
                     tails[k][word] = tails[k].get(word, 0) + 1
                 columns = [
                     pa.array(np.arange(row, row + len(texts))),
@@ -431,8 +484,8 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
                     continue
                 if fresh:
                     keys, values = (np.concatenate(x) for x in zip(*fresh))
-                    order = np.argsort(keys)
-                    keys, values, fresh = keys[order], values[order], []
+                    keys, same = np.unique(keys, return_inverse=True)
+                    values, fresh = np.bincount(same, values), []
                 place, met = places(keys, asked)
                 rows, own = np.unique(np.frombuffer(own, np.int64)[met], return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(own, values[place[met]], len(rows)) if len(rows) else np.zeros(0))], names=["row", "more"])
