@@ -161,17 +161,27 @@ def _lists(rows: DataFrame, text_col: str, sent) -> DataFrame:
         for batch in batches:
             for part in in_parts(batch, 0, 1_000_000):
                 lines = Lines(part.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (lines.sizes, sent.value(lines.hash))], names=["sizes", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([_planes(x)], pa.binary()) for x in (lines.sizes, sent.value(lines.hash))], names=["sizes", "ids"])
 
     return rows.select(text_col).mapInArrow(run, "sizes binary, ids binary")
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """First bytes of all numbers, then second ones, and so on: small or sorted numbers leave runs that compress."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type = np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _slices(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """The bucket of each run of sorted keys (unsigned), and that run of all columns as bytes."""
+    """The bucket of each run of sorted keys (unsigned), and that run of all columns as planes of bytes."""
     to = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.append(True, to[1:] != to[:-1])[: len(to)])
     for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(to)]):
-        yield int(to[i]), *(x[..., i:j].tobytes() for x in columns)
+        yield int(to[i]), *(_planes(x[..., i:j]) for x in columns)
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -236,7 +246,7 @@ def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
         held, waiting = [], 0
         for batch in batches:
             for sizes, ids in zip(*(x.to_pylist() for x in batch.columns)):
-                sizes, ids = np.frombuffer(sizes, np.int64), np.frombuffer(ids, np.int64)
+                sizes, ids = _numbers(sizes), _numbers(ids)
                 place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 at = np.flatnonzero(place >= 1)
                 if order == 1:
@@ -270,7 +280,7 @@ def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
                     yield counted(held)
                     held = []
                 at = bucket
-                held.append((np.frombuffer(words, np.int64).reshape(order + 1, -1), np.frombuffer(times, np.int32)))
+                held.append((_numbers(words).reshape(order + 1, -1), _numbers(times, np.int32)))
         if held:
             yield counted(held)
 
@@ -309,10 +319,16 @@ class Tree:
     def grow(self, pairs: DataFrame, triples: DataFrame, words: DataFrame) -> None:
         """From pairs (b, c, n), triples (a, b, c, n) and words (w, n)."""
         share, ten = (F.col("n") - DISCOUNT) / F.col("count"), F.log10("share")
-        pairs = pairs.join(words.select(F.col("w").alias("c"), F.log10((F.col("n") + 0.5) / F.lit(self.scale)).alias("lower")), "c")
-        pairs = written(pairs.join(words.select(F.col("w").alias("b"), F.col("n").alias("count")), "b").withColumn("share", share), "pairs")
+        # the at most MOST frequent words are sent along; only pairs with another word meet their counts in a shuffle
+        hot, both = words.where("w >= 0"), F.expr("b >= 0 and c >= 0")
+        parts = []
+        for some, few in ((pairs.where(both), F.broadcast(hot)), (pairs.where(~both), words)):
+            counted = some.join(few.select(F.col("w").alias("c"), F.log10((F.col("n") + 0.5) / F.lit(self.scale)).alias("lower")), "c")
+            parts.append(counted.join(few.select(F.col("w").alias("b"), F.col("n").alias("count")), "b").select("b", "c", "n", "lower", "count"))
+        pairs = written(parts[0].unionAll(parts[1]).withColumn("share", share), "pairs")
         one = written(_states(pairs, ["b"]), "contexts")
-        pairs = pairs.drop("count").join(one.drop("count"), "b", "left")
+        pairs, rests = pairs.drop("count"), one.drop("count")
+        pairs = pairs.where("b >= 0").join(F.broadcast(rests.where("b >= 0")), "b", "left").unionAll(pairs.where("b < 0").join(rests.where("b < 0"), "b", "left"))
         now = F.when(F.col("rest").isNull(), F.col("lower")).otherwise(ten)
         triples = triples.join(pairs.select("b", "c", now.alias("lower")), ["b", "c"])
         triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("count")), ["a", "b"])
@@ -378,6 +394,7 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     allowed.unpersist()
     discard(lists)
     tree.grow(pairs, triples, words)
+    discard(pairs, triples, words)
     return tree, counts
 
 
@@ -478,16 +495,16 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
             for bucket, kind, asked, own in zip(*(x.to_pylist() for x in batch.columns)):
                 if bucket != at:
                     at, keys, values, fresh = bucket, np.zeros(0, np.int64), np.zeros(0), []
-                asked = np.frombuffer(asked, np.int64)
+                asked = _numbers(asked)
                 if kind == 0:
-                    fresh.append((asked, np.frombuffer(own)))
+                    fresh.append((asked, _numbers(own, np.float64)))
                     continue
                 if fresh:
                     keys, values = (np.concatenate(x) for x in zip(*fresh))
                     keys, same = np.unique(keys, return_inverse=True)
                     values, fresh = np.bincount(same, values), []
                 place, met = places(keys, asked)
-                rows, own = np.unique(np.frombuffer(own, np.int64)[met], return_inverse=True)
+                rows, own = np.unique(_numbers(own)[met], return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(own, values[place[met]], len(rows)) if len(rows) else np.zeros(0))], names=["row", "more"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
