@@ -1,5 +1,6 @@
 """Small helpers shared by the operators of this subpackage."""
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """After a large step: files of its shuffles stay on the executors until the driver collects the plans that made them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}

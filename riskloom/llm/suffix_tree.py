@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import discard, in_parts, kind_of, written
+from riskloom.llm.common import discard, in_parts, kind_of, release, written
 
 LEAST, MOST, HOT, BITS, ROOM, DISCOUNT, DIVERGENCE = 2, 200_000, 500_000, 1 << 28, 1_000_000, 0.5, 8.0
 P1, P2 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
@@ -375,8 +375,8 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     spark = docs.sparkSession
     counts = written(_counts(docs, text_col), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(MOST).collect()
-    tree = Tree({bytes(r.word): i for i, r in enumerate(frequent)}, np.array([r.n for r in frequent], np.float64), total, distinct)
+    frequent = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(MOST).select("word", "n").toArrow()
+    tree = Tree({w: i for i, w in enumerate(frequent.column("word").to_pylist())}, frequent.column("n").to_numpy().astype(np.float64), total, distinct)
     sent = spark.sparkContext.broadcast(Numbers(tree.known))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,8 +393,10 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     triples = written(_grams(lists, total, allowed, 2), "triples")
     allowed.unpersist()
     discard(lists)
+    release(spark)
     tree.grow(pairs, triples, words)
     discard(pairs, triples, words)
+    release(spark)
     return tree, counts
 
 
@@ -420,6 +422,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
     if len(hot_keys):
         slots[1, slots[0] == hot_keys[0]] = hot_values[:1].view(np.int64)
     size = tree.values.count()
+    release(docs.sparkSession)
     sent = context.broadcast((Numbers(tree.known), tree.base, slots, len(hot_keys) > 0, _filter(tree.values.select("key"))))
     buckets = size // ROOM + context.defaultParallelism
 
@@ -515,6 +518,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
     known = tree.values.select("value", "key").mapInArrow(lambda x: packed(x, 0), shape)
     met = asked.unionAll(known).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, "row bigint, more double")
     added = written(met.groupBy("row").agg(F.sum("more").alias("more")), "added")
+    release(docs.sparkSession)
     rare = held.select("row", F.explode("rare").alias("word", "times")).join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + 0.5) / F.lit(float(tree.scale)))
     tail = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"), F.sum(F.col("times") * base).alias("tail_base"))

@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,3 +27,13 @@ def test_each_row_is_scored_by_its_own_text(spark, monkeypatch):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in got) == sorted(want(i, t) for i, t in rows)
     same = [r.score for r in got if round(r.base_score, 9) == want(1, "red blue red")[-1]]
     assert len(same) == 2 and same[0] == pytest.approx(same[1])
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = ["Red  blue\tRED", None, "", " \x00 a\x00 \x0b\x00", "\u00c4ra\u00a0x \u4f60\u597d", "end", "x" * 3_000 + " y\n"]
+    want = [suffix_tree.words_of(x) for x in texts]
+    for part, own in ((pa.array(texts, pa.string()), want), (pa.array(texts, pa.string()).slice(2, 3), want[2:5]), (pa.array([], pa.string()), [])):
+        lines, flat = suffix_tree.Lines(part), [w for x in own for w in x]
+        assert lines.words(suffix_tree.np.arange(len(lines.hash))) == flat and lines.sizes.tolist() == [len(x) for x in own]
+        assert lines.hash.tolist() == suffix_tree.hashes_of(flat).tolist()
+        assert lines.owner.tolist() == [k for k, x in enumerate(own) for _ in x] and lines.place.tolist() == [i for x in own for i in range(len(x))]
