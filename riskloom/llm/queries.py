@@ -65,7 +65,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a suffix tree that never saw a fifth of them."""
     docs = table(spark, sf_dir, "documents")
-    told = suffix_tree.score(docs, "doc_id", "text", suffix_tree.fit(docs.where(fold_of("doc_id") != 1), "text"))
+    model = suffix_tree.fit(docs.where(fold_of("doc_id") != 1), "text")
+    model[0].condense()
+    told = suffix_tree.score(docs, "doc_id", "text", model)
     return told.select("doc_id", (fold_of("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -32,11 +32,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from riskloom.llm.common import discard, in_parts, kind_of, release, written
 
 LEAST, MOST, HOT, BITS, ROOM, DISCOUNT, DIVERGENCE = 2, 200_000, 500_000, 1 << 28, 1_000_000, 0.5, 8.0
 P1, P2 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
+SLICE, STATS = ["bucket", "kind", "keys", "own"], ["id", "row", "n_tokens", "hot", "base", "full", "rare"]
 LOWER, END = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256)), b"\x00"
 
 
@@ -311,6 +313,7 @@ class Tree:
         self.known, self.counts, self.total, self.distinct = known, counts, total, distinct
         self.size, self.base = max(len(known), 1), np.log10((counts + 0.5) / self.scale) if len(known) else np.zeros(0)
         self.parts: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
 
     @property
     def scale(self) -> float:
@@ -327,6 +330,7 @@ class Tree:
             parts.append(counted.join(few.select(F.col("w").alias("b"), F.col("n").alias("count")), "b").select("b", "c", "n", "lower", "count"))
         pairs = written(parts[0].unionAll(parts[1]).withColumn("share", share), "pairs")
         one = written(_states(pairs, ["b"]), "contexts")
+        self.tables = [one, pairs]
         pairs, rests = pairs.drop("count"), one.drop("count")
         pairs = pairs.where("b >= 0").join(F.broadcast(rests.where("b >= 0")), "b", "left").unionAll(pairs.where("b < 0").join(rests.where("b < 0"), "b", "left"))
         now = F.when(F.col("rest").isNull(), F.col("lower")).otherwise(ten)
@@ -339,6 +343,7 @@ class Tree:
         rest = F.log10(F.greatest(1 - F.col("left"), F.lit(1e-9)) / F.greatest(1 - F.col("room"), F.lit(1e-9)))
         triples = written(triples.select("a", "b", "c", "n", "count", rest.alias("rest"), (ten - F.col("lower") - rest).alias("value"), (F.col("c") == F.col("first")).alias("first")), "states")
         gain = (ten - F.col("lower") - F.col("rest")).alias("value")
+        self.tables.append(triples)
         self.parts = [
             one.select("b", F.col("rest").alias("value"), F.col("count").alias("n")), pairs.where("rest is not null").select("b", "c", gain, "n"),
             triples.where("first").select("a", "b", F.col("rest").alias("value"), F.col("count").alias("n")), triples.select("a", "b", "c", "value", "n")]
@@ -349,6 +354,12 @@ class Tree:
         keyed = [x.select(F.xxhash64(*(c for c in x.columns if c in "abc")).alias("key"), "value", "n") for x in self.parts]
         return written(reduce(DataFrame.unionAll, keyed), "tree")
 
+    def condense(self) -> None:
+        """Writes the values, all that scoring needs, and deletes the tables of the levels."""
+        self.values.limit(0).collect()
+        discard(*self.tables)
+        self.tables, self.parts = [], []
+
     @cached_property
     def held(self) -> list[dict]:
         """The parts on the driver, to look into a small tree."""
@@ -370,6 +381,34 @@ class Tree:
         return out
 
 
+class Hot:
+    """Values of the most frequent n-grams. The keys and values are sent; each worker makes its own table of them."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, own = np.unique(keys, return_inverse=True)
+        self.values = np.bincount(own, values, len(self.keys)) if len(keys) else np.zeros(0)
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "values": self.values}
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """A key for each slot of the low bits: of several, one stays and the others are looked up in their buckets."""
+        slots = np.zeros((2, 1 << (4 * len(self.keys)).bit_length()), np.int64)
+        slots[0] = self.keys[0]
+        slots[:, self.keys & slots.shape[1] - 1] = self.keys, self.values.view(np.int64)
+        slots[1, slots[0] == self.keys[0]] = self.values[:1].view(np.int64)
+        return slots
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are met, and the values of those."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(0)
+        at = keys & self.slots.shape[1] - 1
+        met = self.slots[0][at] == keys
+        return met, self.slots[1][at[met]].view(np.float64)
+
+
 def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     """The tree, and the exact counts (word, n) of all training words."""
     spark = docs.sparkSession
@@ -388,10 +427,11 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     lists = written(_lists(docs, text_col, sent), "lists")
     allowed = spark.sparkContext.broadcast(_filter(words.where("w < 0").select(F.xxhash64("w").alias("key"))))
     pairs = written(_grams(lists, total, allowed, 1), "pairs")
-    allowed.unpersist()
+    allowed.destroy()
     allowed = spark.sparkContext.broadcast(_filter(pairs.select(F.xxhash64("b", "c").alias("key"))))
     triples = written(_grams(lists, total, allowed, 2), "triples")
-    allowed.unpersist()
+    allowed.destroy()
+    sent.destroy()
     discard(lists)
     release(spark)
     tree.grow(pairs, triples, words)
@@ -401,7 +441,10 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFrame]) -> DataFrame:
-    """id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every document."""
+    """id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every document.
+
+    A text's row and what it asks for go through one shuffle, tied by the task's number and the row's place in the task: a task
+    that runs again must meet its rows in the same order, as scans of files do (write other tables first)."""
     tree, counts = model
     context = docs.sparkSession.sparkContext
     # frequent n-grams by classes of their count, from the highest class on while they fit
@@ -413,17 +456,9 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
             break
         least = c["class"]
     hot = tree.values.where(F.floor(F.log2("n") * 8) >= least).select("key", "value").toArrow()
-    hot_keys, own = np.unique(hot.column("key").to_numpy(), return_inverse=True)
-    hot_values = np.bincount(own, hot.column("value").to_numpy(), len(hot_keys)) if len(hot_keys) else np.zeros(0)
-    # a key for each slot of the low bits: of several, one stays and the others are looked up in their buckets
-    slots = np.zeros((2, 1 << (4 * len(hot_keys)).bit_length()), np.int64)
-    slots[0] = hot_keys[0] if len(hot_keys) else 0
-    slots[:, hot_keys & slots.shape[1] - 1] = hot_keys, hot_values.view(np.int64)
-    if len(hot_keys):
-        slots[1, slots[0] == hot_keys[0]] = hot_values[:1].view(np.int64)
     size = tree.values.count()
     release(docs.sparkSession)
-    sent = context.broadcast((Numbers(tree.known), tree.base, slots, len(hot_keys) > 0, _filter(tree.values.select("key"))))
+    sent = context.broadcast((Numbers(tree.known), tree.base, Hot(hot.column("key").to_numpy(), hot.column("value").to_numpy()), _filter(tree.values.select("key"))))
     buckets = size // ROOM + context.defaultParallelism
 
     def places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -431,8 +466,9 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
         return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, base, slots, some, bits = sent.value
-        row = TaskContext.get().partitionId() << 36
+        """A row of each text (kind 2), and the keys that are to be looked up with the rows that ask for them (kind 1)."""
+        numbers, base, hot, bits = sent.value
+        row, asked, waiting = TaskContext.get().partitionId() << 36, [], 0
         for batch in batches:
             for part in in_parts(batch, 1, 1_000_000):
                 lines, texts = Lines(part.column(1)), range(part.num_rows)
@@ -442,60 +478,66 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
                 of = np.concatenate([owner, owner[one], owner[two]])
                 passed = np.flatnonzero(_passes(bits, keys))
                 keys, of = keys[passed], of[passed]
-                at = keys & slots.shape[1] - 1
-                met = (slots[0][at] == keys) & some
-                full = np.bincount(of[met], slots[1][at[met]].view(np.float64), len(texts)) if met.any() else np.zeros(len(texts))
-                keys, of = keys[~met], of[~met]
-                ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(texts)) * 8)).astype(np.int32)
-                cold = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(keys[np.argsort(of, kind="stable")])])
+                met, values = hot(keys)
+                full = np.bincount(of[met], values, len(texts)) if met.any() else np.zeros(len(texts))
+                asked.append((keys[~met], row + of[~met]))
+                waiting += len(asked[-1][0])
                 sizes, frequent = lines.sizes, ids >= 0
                 tails: list[dict[bytes, int]] = [{} for _ in texts]
                 rare = np.flatnonzero(~frequent)
                 for word, k in zip(lines.words(rare), owner[rare].tolist()):
                     tails[k][word] = tails[k].get(word, 0) + 1
+                own = np.arange(row, row + len(texts))
                 columns = [
-                    pa.array(np.arange(row, row + len(texts))),
+                    pa.array(own % buckets),
+                    pa.array(np.full(len(texts), 2)),
+                    *(pa.nulls(len(texts), pa.binary()) for _ in range(2)),
+                    part.column(0),
+                    pa.array(own),
                     pa.array(sizes.astype(np.int64)),
                     pa.array(np.bincount(owner, frequent, len(texts)).astype(np.int64)),
                     pa.array(np.bincount(owner[frequent], base[ids[frequent]] if len(base) else None, len(texts)).astype(np.float64)),
                     pa.array(full),
-                    cold,
                     pa.array([list(x.items()) for x in tails], pa.map_(pa.binary(), pa.int64())),
                 ]
                 row += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "row", "n_tokens", "hot", "base", "full", "cold", "rare"])
-
-    def packed(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
-        """Keys with the rows that ask for them (kind 1), or with their values (kind 0), by bucket."""
+                yield pa.RecordBatch.from_arrays(columns, names=[*SLICE, *STATS])
+                if waiting > 1_000_000:
+                    yield packed(asked, 1)
+                    asked, waiting = [], 0
+        if waiting:
+            yield packed(asked, 1)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]], kind: int) -> pa.RecordBatch:
+        """Slices by bucket: keys with the rows that ask for them (kind 1), or with their values (kind 0)."""
+        keys, own = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(keys.view(np.uint64))
+        keys = keys.view(np.uint64)[order]
+        to, *planes = list(zip(*_slices(keys, buckets, keys, own[order]))) or [(), (), ()]
+        n = len(to)
+        empty = [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), *(pa.nulls(n, pa.float64()) for _ in range(2)), pa.nulls(n, pa.map_(pa.binary(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([kind] * n, pa.int64()), *(pa.array(x, pa.binary()) for x in planes), *empty], names=[*SLICE, *STATS])
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
-
-        def made() -> pa.RecordBatch:
-            keys, own = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(keys.view(np.uint64))
-            keys = keys.view(np.uint64)[order]
-            columns = list(zip(*_slices(keys, buckets, keys, own[order]))) or [(), (), ()]
-            kinds = pa.array([kind] * len(columns[0]), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), kinds, *(pa.array(x, pa.binary()) for x in columns[1:])], names=["bucket", "kind", "keys", "own"])
-
         for batch in batches:
-            own, keys = batch.column(0).to_numpy(), batch.column(1)
-            if kind:
-                sizes = np.array([len(x) // 8 for x in keys.to_pylist()], np.int64)
-                own, keys = np.repeat(own, sizes), np.frombuffer(b"".join(keys.to_pylist()), np.int64)
-            else:
-                keys = keys.to_numpy()
-            held.append((keys, own))
-            waiting += len(keys)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            waiting += batch.num_rows
             if waiting > 1_000_000:
-                yield made()
+                yield packed(held, 0)
                 held, waiting = [], 0
         if waiting:
-            yield made()
+            yield packed(held, 0)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of texts as they are, and for rows that ask in a bucket the sum of what they get there (``more``)."""
         at, keys, values, fresh = None, np.zeros(0, np.int64), np.zeros(0), []
         for batch in batches:
-            for bucket, kind, asked, own in zip(*(x.to_pylist() for x in batch.columns)):
+            texts = batch.filter(pc.equal(batch.column(1), 2)).select(STATS)
+            if texts.num_rows:
+                yield texts.append_column("more", pa.nulls(texts.num_rows, pa.float64()))
+            slices = batch.filter(pc.less(batch.column(1), 2)).select(SLICE)
+            for bucket, kind, asked, own in zip(*(x.to_pylist() for x in slices.columns)):
                 if bucket != at:
                     at, keys, values, fresh = bucket, np.zeros(0, np.int64), np.zeros(0), []
                 asked = _numbers(asked)
@@ -508,21 +550,25 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
                     values, fresh = np.bincount(same, values), []
                 place, met = places(keys, asked)
                 rows, own = np.unique(_numbers(own)[met], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(own, values[place[met]], len(rows)) if len(rows) else np.zeros(0))], names=["row", "more"])
+                n = len(rows)
+                more = np.bincount(own, values[place[met]], n) if n else np.zeros(0)
+                empty = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.map_(pa.binary(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.array(rows), *empty, pa.array(more)], names=[*STATS, "more"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = f"id {kind_of(docs, id_col)}, row bigint, n_tokens bigint, hot bigint, base double, full double, cold binary, rare map<binary,bigint>"
-    held = written(rows.mapInArrow(run, kinds), "scores")
-    shape = "bucket bigint, kind bigint, keys binary, own binary"
-    asked = held.select("row", "cold").mapInArrow(lambda x: packed(x, 1), shape)
-    known = tree.values.select("value", "key").mapInArrow(lambda x: packed(x, 0), shape)
-    met = asked.unionAll(known).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, "row bigint, more double")
-    added = written(met.groupBy("row").agg(F.sum("more").alias("more")), "added")
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    kinds = f"id {kind_of(docs, id_col)}, row bigint, n_tokens bigint, hot bigint, base double, full double, rare map<binary,bigint>"
+    shape = f"bucket bigint, kind bigint, keys binary, own binary, {kinds}"
+    known = tree.values.select("key", "value").mapInArrow(valued, shape)
+    told = rows.mapInArrow(run, shape).unionAll(known).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, f"{kinds}, more double")
+    told = written(told, "scores")
+    sent.destroy()
     release(docs.sparkSession)
+    held, added = told.where("n_tokens is not null").drop("more"), told.where("n_tokens is null").groupBy("row").agg(F.sum("more").alias("more"))
     rare = held.select("row", F.explode("rare").alias("word", "times")).join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + 0.5) / F.lit(float(tree.scale)))
     tail = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"), F.sum(F.col("times") * base).alias("tail_base"))
-    both = held.drop("rare", "cold").join(tail, "row", "left").join(added, "row", "left").na.fill(0, ["tail_known", "tail_base", "more"])
+    both = held.drop("rare").join(tail, "row", "left").join(added, "row", "left").na.fill(0, ["tail_known", "tail_base", "more"])
     total = F.col("base") + F.col("tail_base")
     return both.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("hot") + F.col("tail_known")).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"),
