@@ -13,9 +13,9 @@ texts are kept as they are; a shard at the target or more is left alone, as is a
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import scratch
+from riskloom.llm.common import scratch, written
 
-ARRIVAL_ROWS, TARGET_BYTES, FANOUT, BASE_BYTES, PLAN_ROWS = 2_000, 32_000_000, 4, 250_000, 10_000
+ARRIVAL_ROWS, TARGET_BYTES, FANOUT, BASE_BYTES = 2_000, 32_000_000, 4, 250_000
 _FILE = ["_metadata.file_path AS shard", "_metadata.file_size AS shard_bytes"]
 
 
@@ -50,13 +50,17 @@ def append(df: DataFrame, id_col: str, root: str, arrival_rows: int = ARRIVAL_RO
 
 
 def plan(manifest: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """shard and ``bin`` of the shards to merge. Large manifests are planned in parts, so no window holds them whole."""
-    parts = 1 + manifest.count() // PLAN_ROWS
-    small = manifest.where(F.col("shard_bytes") < target_bytes).withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts)) if parts > 1 else F.lit(0))
-    tier, run = Window.partitionBy("part", "tier"), Window.partitionBy("part", "tier").orderBy("low", "high", "shard_rows", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    crowded = small.withColumn("n", F.count("*").over(tier)).where(F.col("n") >= FANOUT)
-    placed = crowded.withColumn("slot", F.floor(F.coalesce(F.sum("shard_bytes").over(run), F.lit(0)) / target_bytes))
-    return placed.select("shard", F.concat_ws("-", "part", "tier", "slot").alias("bin"))
+    """shard and ``bin`` of the shards to merge. Sizes run on over ranges of the shards' order, so no window holds a whole tier."""
+    order = ["low", "high", "shard_rows", "shard"]
+    crowded = manifest.where(F.col("shard_bytes") < target_bytes)
+    crowded = crowded.join(F.broadcast(crowded.groupBy("tier").count().where(F.col("count") >= FANOUT).select("tier")), "tier")  # a few tiers
+    small = written(crowded.select("tier", *order, "shard_bytes").repartitionByRange("tier", *order).withColumn("part", F.spark_partition_id()), "plan")
+    parts = small.groupBy("tier", "part").agg(F.sum("shard_bytes").alias("own"))
+    past = Window.unboundedPreceding, -1
+    start = F.coalesce(F.sum("own").over(Window.partitionBy("tier").orderBy("part").rowsBetween(*past)), F.lit(0))
+    run = F.coalesce(F.sum("shard_bytes").over(Window.partitionBy("tier", "part").orderBy(*order).rowsBetween(*past)), F.lit(0))
+    placed = small.join(F.broadcast(parts.select("tier", "part", start.alias("start"))), ["tier", "part"])
+    return placed.select("shard", F.concat_ws("-", "tier", F.floor((F.col("start") + run) / target_bytes)).alias("bin"))
 
 
 def rows_of(spark: SparkSession, root: str, version: int, schema) -> DataFrame:
