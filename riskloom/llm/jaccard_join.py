@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import beside, discard, fresh, in_parts, in_share, kind_of, sample_share, written
+from riskloom.llm.common import beside, discard, fresh, in_parts, in_share, kind_of, release, sample_share, written
 from riskloom.llm.graph import components
 
 WORDS, PERCENT, SAMPLE, FREQUENT, LIGHTEST, LIGHT_MOST, VERIFY, STARS, BLOCK = 4, 85, 10_000, 8, 6, 20, 20, 2, 256
@@ -139,7 +139,8 @@ def _frequent(docs: DataFrame, text_col: str, share: float, words: int) -> tuple
     counted = written(counted.groupBy("count", F.when(F.col("count") >= FREQUENT, F.col("member")).alias("member")).agg(F.count("*").alias("times")), "members")
     rare, all_ = F.when(F.col("member").isNull(), F.col("count") * (F.col("count") - 1) * F.col("times")), F.col("count") * F.col("times")
     squares = counted.agg(F.coalesce(F.sum(rare), F.lit(0)), F.coalesce(F.sum(all_), F.lit(0))).first()
-    found = {row[0] % 2**64: row[1] for row in counted.where("member is not null").select("member", "count").collect()}
+    often = counted.where("member is not null").select("member", "count").toArrow()
+    found = dict(zip(often.column("member").to_numpy().view(np.uint64).tolist(), often.column("count").to_pylist()))
     return found, squares[0] / max(squares[1], 1) / share
 
 
@@ -324,6 +325,7 @@ def join(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percen
         found.append(links(likely, best, texts, sets, words, percent))
         discard(named, likely, *([now] if star == STARS else [best] if star else []))
         groups = components(reduce(DataFrame.unionAll, found))
+        release(docs.sparkSession)
     discard(lists, near, *tests, *found)
     return sets, classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("component", "rep").alias("grp"))
 
