@@ -4,11 +4,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pages, pii, sharding, suffix_tree, toxicity
+from riskloom.llm import bpe, decontaminate, divergence, jaccard_join, langid, media, pages, pieces, pii, sharding, suffix_tree, toxicity, whitening
 from riskloom.llm.common import fold_of
 from riskloom.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +72,21 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (fold_of("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op3_page_text": op3_page_text, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_suffix_tree": op9_suffix_tree, "op10_jaccard_join": op10_jaccard_join}
-ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 strongest components of all."""
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.transform(rows, "vec_id", "embedding", whitening.fit(rows, "embedding"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language, and the terms that set each source apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the pieces of every document and of the text they decode to."""
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", PIECES, "decoded"), "doc_id")
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_language_id": op2_language_id, "op3_page_text": op3_page_text, "op4_media": op4_media, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_suffix_tree": op9_suffix_tree, "op10_jaccard_join": op10_jaccard_join, "op11_whitening": op11_whitening, "op12_source_divergence": op12_source_divergence, "op13_piece_bpe": op13_piece_bpe}
+ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE, "op12_source_divergence": divergence.ORACLE}
