@@ -22,14 +22,22 @@ _SCHEMA = "customerId STRING, eventTime TIMESTAMP, amount DOUBLE"
 
 
 def _lines(spark, d):
-    return table(spark, d, "events").select("event_id", F.expr(_JSON).alias("value"))
+    return table(spark, d, "events").select("event_id", "ts", F.expr(_JSON).alias("value"))
+
+
+def _fed(spark, lines, parts=3):
+    """A folder of text files, one for each of some ranges of time, written one after the other; and the ends of the ranges."""
+    path, lines = scratch(spark, "stream"), lines.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    low, high = lines.agg(F.min("ts"), F.max("ts")).first()
+    edges = [low + (high + 1 - low) * i // parts for i in range(parts + 1)] if high is not None else [0, 1]
+    for a, b in zip(edges, edges[1:]):
+        lines.where((F.col("ts") >= a) & (F.col("ts") < b)).select("value").coalesce(1).write.mode("append").text(path)
+    return path, edges
 
 
 def _stream(spark, d):
-    """The events as a stream of text files, read in one batch."""
-    path = scratch(spark, "stream")
-    _lines(spark, d).select("value").write.text(path)
-    return V.event_source(spark, path, files_per_trigger=1_000_000)
+    """The events as a stream of text files, a batch each, in the order of time."""
+    return V.event_source(spark, _fed(spark, _lines(spark, d))[0])
 
 
 def _closed(size, delay):
@@ -116,6 +124,45 @@ def st13(spark, d):
     return V.sliding_feature(_events(spark, d, "purchase"), "user_id", "ts", "12 hours", "4 hours", "value").select("user_id", *_stamp("window_start"), "n", F.round("total", 3).alias("total"))
 
 
+def _sliding_stream(spark, d, kind, size, slide, amount=None):
+    """The events of a kind in three batches by time, then those of the first third again, which are late by then."""
+    rows = table(spark, d, "events").where(F.col("event_type") == kind)
+    lines = rows.select("ts", F.to_json(F.struct("user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "value")).alias("value"))
+    path, edges = _fed(spark, lines)
+    first = F.unix_micros(F.col("ts").cast("timestamp")) < edges[1] - 86_400_000_000
+    lines.where(first).select("value").coalesce(1).write.mode("append").text(path)
+    good, _ = V.parse_events(V.event_source(spark, path), "user_id BIGINT, ts TIMESTAMP, value DOUBLE", ["user_id", "ts"])
+    out = scratch(spark, "out")
+    with V.large_state(spark):
+        V.run_available(V.sliding_stream(V.with_event_time(good, "ts", "0 seconds"), "user_id", "ts", size, slide, amount), out)
+    return spark.read.parquet(f"{out}/data").select("user_id", *_stamp("window_start"), "n", *([F.round("total", 3).alias("total")] if amount else []))
+
+
+def _sliding_closed(kind, size, slide, total=False):
+    """SQL: the sliding windows that end by the last event of the kind."""
+    return f"SELECT * FROM ({_sliding_sql(kind, size, slide, total)}) WHERE CAST(window_start AS TIMESTAMP) + INTERVAL {size} <= (SELECT date_trunc('second', max(ts)) FROM events WHERE event_type = '{kind}')"
+
+
+@register("st05_credit_query_3m_stream", _sliding_closed("view", "90 DAY", "1 HOUR"))
+def st05_stream(spark, d):
+    return _sliding_stream(spark, d, "view", "90 days", "1 hour")
+
+
+@register("st06_apply_freq_1m_stream", _sliding_closed("signup", "30 DAY", "1 HOUR"))
+def st06_stream(spark, d):
+    return _sliding_stream(spark, d, "signup", "30 days", "1 hour")
+
+
+@register("st07_overdue_6m_stream", _sliding_closed("error", "180 DAY", "1 DAY", True))
+def st07_stream(spark, d):
+    return _sliding_stream(spark, d, "error", "180 days", "1 day", "value")
+
+
+@register("st13_window_parameters_stream", _sliding_closed("purchase", "12 HOUR", "4 HOUR", True))
+def st13_stream(spark, d):
+    return _sliding_stream(spark, d, "purchase", "12 hours", "4 hours", "value")
+
+
 _HOUR = "SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, round(sum(value), 3) AS total, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_type = 'purchase'{} GROUP BY 1, 2"
 
 
@@ -171,16 +218,15 @@ def _feature_stream(spark, d):
 
 @register("s12_latest_feature_sink", _closed("1 HOUR", 0) + f", l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY customerId ORDER BY s DESC) = 1) SELECT customerId, {_START}, n FROM l")
 def s12(spark, d):
-    path = scratch(spark, "latest")
-    query = V.upsert_latest_features(_feature_stream(spark, d), "customerId", path)
-    last = max(int(p["batchId"]) for p in query.recentProgress)
-    return spark.read.parquet(f"{path}/state/{last}").select("customerId", *_stamp("window_start"), "n")
+    path, features = scratch(spark, "latest"), _feature_stream(spark, d)
+    V.upsert_latest_features(features, "customerId", path)
+    return V.latest_features(spark, path, features.schema).select("customerId", *_stamp("window_start"), "n")
 
 
 @register("s13_feature_history_sink", _closed("1 HOUR", 0) + f" SELECT customerId, {_START}, n FROM k")
 def s13(spark, d):
     path = scratch(spark, "history")
-    V.append_feature_history(_feature_stream(spark, d), ["customerId", "window_start"], path)
+    V.append_feature_history(_feature_stream(spark, d), ["customerId", "window_end"], path)
     return spark.read.parquet(f"{path}/history").select("customerId", *_stamp("window_start"), "n")
 
 

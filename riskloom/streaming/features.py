@@ -1,7 +1,14 @@
 """Sources, windows, quality rules and sinks of event streams."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 # Fixed values of the change-stream rules.
 OPERATIONS, REQUIRED, NOT_NEGATIVE = ("INSERT", "UPDATE", "DELETE"), ("customerId", "eventTime"), ("amount", "overdueDays")
@@ -35,19 +42,126 @@ def tumbling_feature(df: DataFrame, key: str, at: str, size: str, amount: str) -
     return made.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "total", "n", "mean")
 
 
-def sliding_feature(df: DataFrame, key: str, at: str, size: str, slide: str, amount: str | None = None) -> DataFrame:
-    """Count (and sum) per key and sliding window, in two stages: panes of the slide's width first, then panes into windows,
-    so that an event is not copied size / slide times."""
-    panes = df.groupBy(F.window(at, slide), key).agg(F.count("*").alias("n"), F.sum(F.col(amount) if amount else F.lit(0)).alias("total"))
-    made = panes.groupBy(F.window(F.window_time("window"), size, slide), key).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    return made.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n", *(["total"] if amount else []))
+def panes_of(df: DataFrame, key: str, at: str, slide: str, amount: str | None) -> DataFrame:
+    """Count and sum per key and pane of the slide's width; an event is in one pane, whatever the window's size."""
+    return df.groupBy(F.window(at, slide), key).agg(F.count("*").alias("n"), F.sum(F.col(amount) if amount else F.lit(0)).alias("total"))
 
 
-def rolling_feature(df: DataFrame, key: str, at: str, days: int, amount: str) -> DataFrame:
-    """Batch form: count and sum over the days up to each event."""
-    df = df.withColumn("_s", F.unix_micros(F.col(at).cast("timestamp")))
-    w = Window.partitionBy(key).orderBy("_s").rangeBetween(-days * 86_400_000_000, 0)
-    return df.withColumns({"n": F.count("*").over(w), "total": F.sum(amount).over(w)}).drop("_s")
+def sliding_feature(df: DataFrame, key: str, at: str, size: str, slide: str, amount: str | None = None) -> DataFrame:
+    """Batch form: count (and sum) per key and sliding window.
+
+    A pane enters the windows from ``size - slide`` before it and leaves them behind it, so a key's count changes at two places
+    for each of its panes. Running sums over these changes hold between them, and only the windows that come out are made from
+    them; no pane is copied into its windows. A key has a row for each pane and change at most, however many events it has.
+    """
+    size_, slide_ = F.expr(f"INTERVAL {size}"), F.expr(f"INTERVAL {slide}")
+    panes = panes_of(df, key, at, slide, amount).select(key, F.col("window.start").alias("_p"), "n", "total")
+    change = F.explode(F.array(*(F.struct(where.alias("at"), (sign * F.col("n")).alias("n"), (sign * F.col("total")).alias("total")) for where, sign in ((F.col("_p") - size_ + slide_, 1), (F.col("_p") + slide_, -1)))))
+    changes = panes.select(key, change.alias("_c")).groupBy(key, F.col("_c.at").alias("_at")).agg(F.sum("_c.n").alias("n"), F.sum("_c.total").alias("total"))
+    w = Window.partitionBy(key).orderBy("_at")
+    held = changes.withColumns({"n": F.sum("n").over(w), "total": F.sum("total").over(w), "_next": F.lead("_at").over(w)}).where("n > 0")
+    made = held.withColumn("window_start", F.explode(F.sequence(F.col("_at"), F.col("_next") - slide_, slide_)))
+    return made.select(key, "window_start", (F.col("window_start") + size_).alias("window_end"), "n", *(["total"] if amount else []))
+
+
+def milliseconds(spark: SparkSession, interval: str) -> int:
+    """Length of a day-time interval."""
+    return spark.range(1).select((F.unix_millis(F.lit("1970-01-01 00:00:00 UTC").cast("timestamp") + F.expr(f"INTERVAL {interval}"))).alias("ms")).first().ms
+
+
+class ClosedWindows(StatefulProcessor):
+    """Keeps a key's closed panes (start in ms, count, sum) and gives the windows that the watermark has passed."""
+
+    def __init__(self, key: str, size: int, slide: int):
+        self.key, self.size, self.slide = key, size, slide
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.panes = handle.getValueState("panes", "start array<bigint>, n array<bigint>, total array<double>, last bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        yield self.closed(key, [f for f in rows if len(f)], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        yield self.closed(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def closed(self, key: tuple, got: list[pd.DataFrame], watermark: int) -> pd.DataFrame:
+        size, slide = self.size, self.slide
+        start, n, total, last = self.panes.get() if self.panes.exists() else ([], [], [], None)
+        start, n, total = (np.concatenate([np.array(old, kind), *(f[c].to_numpy(kind) for f in got)]) for old, c, kind in ((start, "pane", np.int64), (n, "n", np.int64), (total, "total", np.float64)))
+        order = np.argsort(start, kind="stable")
+        start, n, total = start[order], n[order], total[order]
+        upto = watermark // slide * slide
+        last = last if last is not None else int(start[0]) if len(start) else upto
+        ends = np.arange(last + slide, upto + 1, slide)
+        low, high = np.searchsorted(start, ends - size), np.searchsorted(start, ends - slide, side="right")
+        counts, sums = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(total)])
+        keep = start >= upto + slide - size  # some later window has them
+        if keep.any():
+            self.panes.update((start[keep].tolist(), n[keep].tolist(), total[keep].tolist(), max(upto, last)))
+            self.handle.registerTimer(max(upto, last) + slide - 1)
+        else:
+            self.panes.clear()
+        out = pd.DataFrame({self.key: key[0], "window_start": ends - size, "window_end": ends, "n": counts[high] - counts[low], "total": sums[high] - sums[low]})
+        return out[out["n"] > 0]
+
+
+@contextmanager
+def large_state(spark: SparkSession) -> Iterator[None]:
+    """State on local disks with its changes in the checkpoint folder, for queries that start within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sliding_stream(df: DataFrame, key: str, at: str, size: str, slide: str, amount: str | None = None) -> DataFrame:
+    """Stream form, in append mode: a window's row comes when the watermark of ``at`` has passed its end. Start it within ``large_state``.
+
+    Two stateful steps. The first keeps open panes and gives them on when they close; an event whose pane has closed is late and
+    dropped. The second keeps each key's closed panes of the last ``size`` and, woken by the watermark, gives all windows that
+    ended since, by differences of running sums. Panes that no later window has are dropped, and with the last the key's state.
+    The state so holds a value for each pane with events, not one for each of the ``size / slide`` windows that an event is in.
+    """
+    size_, slide_ = (milliseconds(df.sparkSession, x) for x in (size, slide))
+    if size_ % slide_:
+        raise ValueError("the size is a multiple of the slide")
+    panes = panes_of(df, key, at, slide, amount).select(key, F.window_time("window").alias("closed_at"), F.unix_millis("window.start").alias("pane"), "n", F.col("total").cast("double").alias("total"))
+    kind = df.schema[key].dataType.simpleString()
+    rows = panes.groupBy(key).transformWithStateInPandas(ClosedWindows(key, size_, slide_), f"`{key}` {kind}, window_start long, window_end long, n long, total double", "Append", "EventTime")
+    return rows.select(key, *(F.timestamp_millis(c).alias(c) for c in ("window_start", "window_end")), "n", *(["total"] if amount else []))
+
+
+def rolling_feature(df: DataFrame, key: str, at: str, days: int, amount: str, block_hours: int = 24) -> DataFrame:
+    """Batch form: count and sum over the days up to each event, both ends included.
+
+    A key's time is cut into blocks. What an event sees is the part of its own block before it, whole blocks between, whose
+    totals are few, and the end of the block that many days before. The last is found by sending every row to the later block
+    too, moved by the days, so a part holds a block's rows of a key and as many moved ones, never all rows of a key.
+    """
+    block, reach = block_hours * 3_600_000_000, days * 86_400_000_000
+    if reach % block:
+        raise ValueError("days are a multiple of the block")
+    many = reach // block
+    held = df.withColumns({"_s": F.unix_micros(F.col(at).cast("timestamp")), "_v": F.col(amount)}).withColumn("_b", F.floor(F.col("_s") / block))
+    sums = held.groupBy(key, "_b").agg(F.count("*").alias("_n"), F.sum("_v").alias("_t"))
+    between = Window.partitionBy(key).orderBy("_b").rangeBetween(1 - many, -1)
+    totals = sums.select(key, "_b", F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_n"), F.sum("_t").over(between).alias("_t"), (F.col("_b") * block).alias("_s"), F.lit("total").alias("_is"))
+    moved = held.select(key, (F.col("_s") + reach).alias("_s"), "_v", (F.col("_b") + many).alias("_b"), F.lit("moved").alias("_is"))
+    both = held.withColumn("_is", F.lit("own")).unionByName(moved, allowMissingColumns=True).unionByName(totals, allowMissingColumns=True)
+    part = Window.partitionBy(key, "_b")
+    before, after = (part.orderBy("_s").rangeBetween(*x) for x in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
+    own, far = F.when(F.col("_is") == "own", F.struct("_v")), F.when(F.col("_is") == "moved", F.struct("_v"))
+    count = F.count(own).over(before) + F.count(far).over(after) + F.max("_n").over(part)
+    parts = F.array(F.sum(own["_v"]).over(before), F.sum(far["_v"]).over(after), F.max("_t").over(part))
+    seen = both.withColumns({"n": count, "_p": F.filter(parts, lambda x: x.isNotNull())}).where("_is = 'own'")
+    return seen.withColumn("total", F.expr("CASE size(_p) WHEN 1 THEN _p[0] WHEN 2 THEN _p[0] + _p[1] WHEN 3 THEN _p[0] + _p[1] + _p[2] END")).select(*df.columns, "n", "total")
 
 
 def latest_window(features: DataFrame, key: str) -> DataFrame:
@@ -86,26 +200,103 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", batch=None
     return query
 
 
-def upsert_latest_features(stream: DataFrame, key: str, path: str):
-    """Keeps the newest window per key: every batch is merged with the state before it and written as the next version."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = latest_window(batch, key)
-        if number:
-            now = latest_window(now.unionByName(spark.read.parquet(f"{path}/state/{number - 1}")), key)
-        now.write.mode("overwrite").parquet(f"{path}/state/{number}")
-
-    return run_available(stream, path, "append", merge)
-
-
-def append_feature_history(stream: DataFrame, keys: list[str], path: str):
-    """Appends features; a replayed batch replaces itself, so a key is stored once per batch."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/history/batch={number}")
-
-    return run_available(stream, path, "append", write)
+def _path(spark: SparkSession, *parts: object):
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(map(str, parts)))
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _ledger(spark: SparkSession, path: str, before: int | None = None) -> tuple[int, dict[int, int]]:
+    """The newest committed list of bucket versions (before a batch): its batch, and bucket to the batch that wrote it; (-1, {}) without one."""
+    folder, files = _path(spark, path, "ledger")
+    names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+    numbers = [int(x) for x in names if x.isdigit() and (before is None or int(x) < before)]
+    if not numbers:
+        return -1, {}
+    rows = spark.read.schema("bucket int, version long").parquet(f"{path}/ledger/{max(numbers)}").collect()  # as many as buckets
+    return max(numbers), {r.bucket: r.version for r in rows}
+
+
+def _bucket_paths(path: str, versions: dict[int, int]) -> list[str]:
+    return [f"{path}/state/{v}/bucket={b}" for b, v in versions.items()]
+
+
+def merge_latest(batch: DataFrame, number: int, key: str, path: str, buckets: int = 32, hours: int = 24) -> None:
+    """Keeps the newest window per key in buckets by the key's hash.
+
+    A batch reads and rewrites only the buckets that it touches, as new files, then commits a list of bucket versions: readers
+    see the old list or the new one, and a batch that is run again starts from the list before it. Bucket versions that neither
+    the new list nor the one before names are deleted. A row also holds when it was written; rows written more than ``hours``
+    ago are gone for readers, and for good when their bucket is next rewritten. The number of buckets stays as it began.
+    """
+    spark = batch.sparkSession
+    rows = latest_window(batch.where(F.col(key).isNotNull()), key).withColumns({"written_at": F.current_timestamp(), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")})
+    aside = f"{path}/batch/{number}"
+    rows.write.mode("overwrite").parquet(aside)
+    rows = spark.read.schema(rows.schema).parquet(aside)
+    touched = {r.bucket for r in rows.select("bucket").distinct().collect()}  # at most as many as buckets
+    last, versions = _ledger(spark, path, number)
+    old = {b: v for b, v in versions.items() if b in touched}
+    if old:
+        stored = spark.read.schema(rows.drop("bucket").schema).parquet(*_bucket_paths(path, old)).where(_fresh(F.current_timestamp(), hours))
+        rows = latest_window(rows.drop("bucket").unionByName(stored), key).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if touched:
+        rows.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/{number}")
+    now = versions | {b: number for b in touched}
+    ledger = spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1)
+    ledger.write.mode("overwrite").parquet(f"{path}/ledger/_{number}")
+    (aside_, files), (final, _) = _path(spark, path, "ledger", f"_{number}"), _path(spark, path, "ledger", number)
+    files.delete(final, True)
+    files.rename(aside_, final)
+    earlier = _ledger(spark, path, last)[1] if last >= 0 else {}
+    for b, v in earlier.items():  # not named by the new list nor the one before
+        if versions.get(b) != v and now.get(b) != v:
+            old_path, files = _path(spark, path, "state", v, f"bucket={b}")
+            files.delete(old_path, True)
+    files.delete(_path(spark, aside)[0], True)
+
+
+def upsert_latest_features(stream: DataFrame, key: str, path: str, buckets: int = 32, hours: int = 24):
+    """Runs a stream of features into ``merge_latest``."""
+    return run_available(stream, path, "append", lambda batch, number: merge_latest(batch, number, key, path, buckets, hours))
+
+
+def _fresh(as_of: Column, hours: int) -> Column:
+    return F.col("written_at") > as_of - F.make_interval(hours=F.lit(hours))
+
+
+def latest_features(spark: SparkSession, path: str, schema, as_of: Column | None = None, hours: int = 24) -> DataFrame:
+    """What the sink serves: a row per key, of those written within the last hours. ``schema``: that of the features."""
+    _, versions = _ledger(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    kept = StructType([*schema.fields, StructField("written_at", TimestampType())])
+    rows = spark.read.schema(kept).parquet(*_bucket_paths(path, versions))
+    return rows.where(_fresh(F.current_timestamp() if as_of is None else as_of, hours)).select(schema.names)
+
+
+def write_history(batch: DataFrame, number: int, keys: list[str], path: str, at: str = "window_end") -> None:
+    """Appends features so that a key is stored once, whatever batches bring it, and how often.
+
+    Rows lie by day of ``at`` (one of the keys, so equal keys share a day) and by batch. A batch reads the stored keys of its
+    own days only and drops what another batch has stored; run again, it replaces its own files. Of equal keys within a batch
+    any one row stays; rows with a null key are dropped, as the surveyed sink does.
+    """
+    if at not in keys:
+        raise ValueError(f"{at} is not one of the keys")
+    spark = batch.sparkSession
+    rows = batch.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).dropDuplicates(keys).withColumn("day", F.to_date(at))
+    days = [r.day for r in rows.select("day").distinct().collect()]  # what a watermark leaves open
+    folders = [(day, *_path(spark, path, "history", f"day={day}")) for day in days]
+    stored = [f"{path}/history/day={day}" for day, folder, files in folders if files.exists(folder)]
+    if stored:
+        held = spark.read.schema(StructType([*batch.select(keys).schema.fields, StructField("batch", LongType())])).option("basePath", f"{path}/history").parquet(*stored)
+        rows = rows.join(held.where(F.col("batch") != number).select(keys), keys, "left_anti")
+    rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/history")
+
+
+def append_feature_history(stream: DataFrame, keys: list[str], path: str, at: str = "window_end"):
+    """Runs a stream of features into ``write_history``."""
+    return run_available(stream, path, "append", lambda batch, number: write_history(batch, number, keys, path, at))
 
 
 def write_alerts(stream: DataFrame, path: str, at: str):
