@@ -57,10 +57,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where every document lies after its arrival and one compaction, and the hash of its text as read from there."""
-    docs = table(spark, sf_dir, "documents")
-    held = sharding.shard(docs, "doc_id")
-    return held.select("doc_id", F.element_at(F.split("shard", "/data/"), -1).alias("shard"), "version", "tier", "shard_rows", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    """Where every document lies after two arrivals and compaction, and the hash of its text as read from there."""
+    held = sharding.shard(table(spark, sf_dir, "documents"), "doc_id", arrivals=2, facts="stored")
+    return held.select("doc_id", *(F.col(f"stored.{c}").alias(c) for c in ("shard", "version", "tier", "shard_rows")), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pages, pii, sharding, suffix_tree, toxicity
+from riskloom.llm import bpe, decontaminate, jaccard_join, langid, media, pages, pii, suffix_tree, toxicity
 from riskloom.llm.graph import components
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -194,19 +194,6 @@ def test_personal_data_keeps_all_base_spans(spark):
     assert hidden[0] is None and hidden[8] == "[PHONE]." and hidden[6] == "[CARD]"
 
 
-def test_sharding_keeps_every_row_and_versions(spark, docs, tmp_path):
-    twice = docs.union(docs).repartition(3)
-    root = str(tmp_path / "s")
-    held = sharding.shard(twice, "doc_id", root, arrival_rows=5, target_bytes=4_000)
-    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
-    assert count(held) == count(twice)
-    before, after = (sharding.manifest_of(spark, root, v) for v in (1, 2))
-    assert after.count() < before.count() and before.agg(F.sum("shard_rows")).first()[0] == after.agg(F.sum("shard_rows")).first()[0] == twice.count()
-    with pytest.raises(FileExistsError):
-        sharding._commit(spark, after, root, 2)
-    assert sharding.shard(empty(docs), "doc_id", str(tmp_path / "e")).count() == 0
-
-
 def test_suffix_tree_base_is_exact_and_model_is_a_distribution(docs):
     model = suffix_tree.fit(docs.where("doc_id % 5 <> 1"), "text")
     out = {r.doc_id: r for r in suffix_tree.score(docs, "doc_id", "text", model).collect()}
