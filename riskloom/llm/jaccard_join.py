@@ -18,7 +18,7 @@ first; those that remain are verified on whole sets, made anew from their texts
 them. No list, candidate or partner is dropped or capped. Tables of a round go when the next no longer reads them.
 
 Defined results: no words or null text gives the empty set, which links with nothing; fewer words than a shingle has make one;
-null ids stay rows of their own with an empty set; each row is a document, also where rows share an id with equal or different
+rows with a null id stay, count their shingles and link with nothing; each row is a document, also where rows share an id with equal or different
 texts, and equal texts are one set; other columns of documents may have any names.
 """
 
@@ -157,19 +157,20 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, per
         for batch in batches:
             for part in in_parts(batch, 1, 1_000_000):
                 texts = part.column(1).to_pylist()
-                sets = [shingler.shingles(x) for x in texts]
+                whole = [shingler.shingles(x) for x in texts]
+                sets = [x if known else x[:0] for x, known in zip(whole, part.column(0).is_valid().to_pylist())]
                 lists = [lists_of(x, light, frequent, percent) for x in sets]
                 many = [np.fromiter((k in frequent for k in x.tolist()), bool, len(x)) for x, _ in lists]
                 parted = [pa.array([z[m == often].astype(np.int64, copy=False) if k else z[m == often].view(np.int64) for z, m in zip((x[k] for x in lists), many)], kind) for often in (False, True) for k, kind in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.int32())))]
                 columns = [
                     pa.array([digest(x) for x in texts], pa.binary()),
-                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([len(x) for x in whole], pa.int64()),
                     pa.array([name(x) for x in sets], pa.binary()),
                     pa.array([sketch(x) for x in sets], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, *parted], names=["id", "h", "n", "set", "sketch", "keys", "keys_rest", "often", "often_rest"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.when(F.col(id_col).isNotNull(), F.col(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind_of(docs, id_col)}, h binary, n bigint, set binary, sketch binary, keys array<bigint>, keys_rest array<int>, often array<bigint>, often_rest array<int>")
 
 
@@ -297,7 +298,7 @@ def join(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, percen
     """Rows (id, h, n, set, ...) of all documents, and for each set its group: (set, grp), where ``grp`` is a number."""
     sets = written(sets_of(docs, id_col, text_col, words, percent).withColumn("rep", F.monotonically_increasing_id()), "sets")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    classes = written(sets.where("n > 0").groupBy("set").agg(F.min("rep").alias("rep")), "classes")
+    classes = written(sets.where("set IS NOT NULL").groupBy("set").agg(F.min("rep").alias("rep")), "classes")
     entries, lists = _lists(sets, classes, percent)
     lists = written(lists, "lists")
     discard(entries)
@@ -357,13 +358,15 @@ def keep_one(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, pe
     return kept.select(docs.columns)
 
 
-_SETS = """d AS (SELECT doc_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(4, len(ws)) - 1], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) t(i) WHERE ws <> ['']),
-z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
+_SETS = """d AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') AS ws FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(ws[i : i + least(4, len(ws)) - 1], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) t(i) WHERE ws <> ['']),
+z AS (SELECT r, count(*) AS n FROM s GROUP BY r)"""
 ORACLE = f"""
 WITH RECURSIVE {_SETS},
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
-r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
-SELECT r.id AS doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN z ON z.doc_id = r.id GROUP BY r.id
+k AS (SELECT * FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM k a JOIN k b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.r = a JOIN z y ON y.r = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+c AS (SELECT r, doc_id AS c FROM d UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.r),
+m AS (SELECT r, min(c) AS component_id FROM c GROUP BY r)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, m.component_id FROM d LEFT JOIN z USING (r) LEFT JOIN m USING (r)
 """
