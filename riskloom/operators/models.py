@@ -1,26 +1,55 @@
 """Risk-model data: bins, WOE and IV, metrics, drift, splits, training and scoring.
 
 Metrics over ordered scores first count the rows of each score; running sums then come from ranges of scores whose totals
-are few (``tables.bucketed_running``), so no task sees all rows.
+are few (``tables.ordered_running``), so no task sees all rows.
 """
 
-from pyspark.ml import PipelineModel
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.tables import bucketed_running, top_percent
+from riskloom.operators.tables import ordered_running, top_percent
+from riskloom.sources.ingest import held
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """The keys with ``edges``: the values at the shares in ascending order, interpolated between neighbours, equal ones once. Nulls do not count.
+
+    Rows are counted by value and the counts summed over ranges of (keys, value); only the few values at wanted ranks go on,
+    so no task or buffer holds a column's distinct values. Keys are few.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    run = ordered_running(counts, [*keys, "_v"], ["_n"])
+    sizes = run.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min("_n_before").alias("_first"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}"))
+    both = run.alias("_l").join(F.broadcast(sizes.alias("_r")), on)
+    spots = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("_all") - 1)).alias("at")) for i, q in enumerate(shares)))
+    place = F.col("_n_before") - F.col("_first")
+    inside = lambda r: (r >= place) & (r < place + F.col("_n"))
+    met = both.select(*(F.col(f"_l.{k}").alias(k) for k in keys), "_v", F.filter(spots, lambda s: inside(F.floor(s["at"])) | inside(F.ceil(s["at"]))).alias("_s")).where("size(_s) > 0")
+    each = met.select(*keys, "_v", F.explode("_s").alias("_s")).groupBy(*keys, "_s").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    low, part = F.floor(F.col("_s.at")), F.col("_s.at") - F.floor(F.col("_s.at"))
+    got = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((low + 1 - F.col("_s.at")) * F.col("_lo") + part * F.col("_hi"))
+    return each.groupBy(*keys).agg(F.array_distinct(F.array_sort(F.collect_list(got))).alias("edges"))
 
 
 def quantile_edges(df: DataFrame, col: str, n: int = 10, approximate: bool = False) -> list[float]:
     """Inner edges at the quantiles, duplicates dropped; the outer bins are open."""
-    shares = F.array(*(F.lit(i / n) for i in range(1, n)))
-    made = F.approx_percentile(col, shares, 100_000) if approximate else F.percentile(col, shares)
-    return sorted(set(df.agg(made).first()[0] or []))
+    shares = [i / n for i in range(1, n)]
+    if approximate:
+        return sorted(set(df.agg(F.approx_percentile(col, F.array(*map(F.lit, shares)), 100_000)).first()[0] or []))
+    rows = quantiles(df, [], col, shares).collect()  # one row
+    return list(rows[0].edges or []) if rows else []
 
 
 def bin_of(col: Column, edges: list[float]) -> Column:
@@ -47,33 +76,89 @@ def woe_table(binned: DataFrame, keys: list[str], y: str) -> DataFrame:
     return counts.withColumns({"woe": F.log(bad / good), "iv": (bad - good) * F.log(bad / good)})
 
 
-def long_form(df: DataFrame, features: list[str], y: str) -> DataFrame:
+def vector(features: list[str] | str) -> Column:
+    """The features of a row as an array of doubles: columns, or one array column."""
+    return F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(f).cast("double") for f in features))
+
+
+def names_of(df: DataFrame, features: list[str] | str) -> list[str]:
+    """Names of the features; those of an array column are f0, f1, and so on up to its longest array."""
+    return [f"f{i}" for i in range(df.agg(F.max(F.size(features))).first()[0] or 0)] if isinstance(features, str) else list(features)
+
+
+def long_form(df: DataFrame, features: list[str] | str, y: str) -> DataFrame:
     """(feature, value, y), one pass over the rows."""
-    return df.select(y, *(F.col(f).cast("double").alias(f) for f in features)).unpivot([y], features, "feature", "value")
+    each = df.select(y, F.posexplode(vector(features)).alias("_i", "value"))
+    name = F.concat(F.lit("f"), F.col("_i")) if isinstance(features, str) else F.array(*map(F.lit, features))[F.col("_i")]
+    return each.select(y, name.alias("feature"), "value")
+
 
+def _binned(df: DataFrame, features: list[str] | str, y: str, edges: DataFrame) -> DataFrame:
+    return long_form(df, features, y).join(F.broadcast(edges), "feature").withColumn("bin", F.expr("size(filter(edges, e -> value > e))"))
 
-def feature_iv(df: DataFrame, features: list[str], y: str, n: int = 5) -> DataFrame:
-    """Information value per feature over its quantile bins; all edges from one aggregation, all bins from one."""
-    shares = F.array(*(F.lit(i / n) for i in range(1, n)))
-    edges = long_form(df, features, y).groupBy("feature").agg(F.array_distinct(F.percentile("value", shares)).alias("edges"))
-    binned = long_form(df, features, y).join(F.broadcast(edges), "feature").withColumn("bin", F.expr("size(filter(edges, e -> value > e))"))
-    return woe_table(binned, ["feature"], y).groupBy("feature").agg(F.sum("iv").alias("iv"))
 
+def feature_iv(df: DataFrame, features: list[str] | str, y: str, n: int = 5) -> DataFrame:
+    """Information value per feature over its quantile bins; all edges from one selection, all bins from one aggregation."""
+    edges = quantiles(long_form(df, features, y), ["feature"], "value", [i / n for i in range(1, n)])
+    return woe_table(_binned(df, features, y, edges), ["feature"], y).groupBy("feature").agg(F.sum("iv").alias("iv"))
 
-def iv_filter(df: DataFrame, features: list[str], y: str, least: float = 0.02) -> DataFrame:
+
+def iv_filter(df: DataFrame, features: list[str] | str, y: str, least: float = 0.02) -> DataFrame:
     return feature_iv(df, features, y).where(F.col("iv") >= least).orderBy(F.desc("iv"), "feature")
 
 
-def correlation_filter(df: DataFrame, features: list[str], iv: dict[str, float], most: float = 0.7) -> list[str]:
-    """Features in descending IV, each kept unless it correlates with one kept before. Only the k x k result reaches the driver."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[:i]]
-    got = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs)).first() if pairs else {}
-    close = {frozenset(p) for p in pairs if abs(got["|".join(p)] or 0) > most}
-    kept: list[str] = []
-    for f in sorted(features, key=lambda f: (-iv.get(f, 0), f)):
-        if not any(frozenset((f, k)) in close for k in kept):
-            kept.append(f)
-    return kept
+def moments(df: DataFrame, features: list[str] | str) -> dict[str, np.ndarray]:
+    """k x k sums over the rows that know both features of a pair: ``n``, ``x`` (of the first), ``xx`` and ``xy``, less ``shift``.
+
+    Tasks multiply batches of rows as matrices and each give one array; Spark adds these up by place. ``shift``, the values of
+    some row, keeps the sums small beside the spread.
+    """
+    rows = df.select(vector(features).alias("x"))
+    k = len(names_of(df, features))
+    pilot = rows.where(F.expr("x IS NOT NULL AND size(x) > 0")).first()
+    shift = np.nan_to_num(np.array([0.0 if v is None else v for v in pilot.x] + [0.0] * (k - len(pilot.x)), float), posinf=0, neginf=0) if pilot else np.zeros(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            column = batch.column(0)
+            begin, size = column.offsets.to_numpy(zero_copy_only=False)[:-1], np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+            at = begin[:, None] + np.arange(k)
+            there = np.arange(k) < size[:, None]
+            flat = column.values.to_numpy(zero_copy_only=False).astype(float)  # null: NaN
+            x = np.full(at.shape, np.nan)
+            x[there] = flat[at[there]]
+            x -= shift
+            known = np.isfinite(x)
+            x, w = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = rows.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("place", "value"))
+    got = np.zeros(4 * k * k)
+    for r in parts.groupBy("place").agg(F.sum("value").alias("value")).collect():  # four k x k blocks
+        got[r.place] = r.value
+    return dict(zip(("n", "x", "xx", "xy"), got.reshape(4, k, k))) | {"shift": shift}
+
+
+def correlations(df: DataFrame, features: list[str] | str) -> np.ndarray:
+    """Pearson's r of each pair of features, over the rows that know both; 0 where one does not vary."""
+    m = moments(df, features)
+    n = np.maximum(m["n"], 1)
+    spread = m["xx"] - m["x"] ** 2 / n
+    spread = np.where(spread > 1e-12 * np.abs(m["xx"]), spread, 0)
+    return np.divide(m["xy"] - m["x"] * m["x"].T / n, np.sqrt(spread * spread.T), out=np.zeros_like(n), where=spread * spread.T > 0)
+
+
+def correlation_filter(df: DataFrame, features: list[str] | str, iv: dict[str, float], most: float = 0.7) -> list[str]:
+    """Features in descending IV, each kept unless it correlates with one kept before. Features without an IV are left out where it names some. Only k x k sums reach the driver."""
+    names = names_of(df, features)
+    close = np.abs(correlations(df, features)) > most
+    kept: list[int] = []
+    for i in sorted((i for i, f in enumerate(names) if not isinstance(features, str) or f in iv), key=lambda i: (-iv.get(names[i], 0), names[i])):
+        if not close[i, kept].any():
+            kept.append(i)
+    return [names[i] for i in kept]
 
 
 def woe_transform(df: DataFrame, col: str, edges: list[float], table: DataFrame) -> DataFrame:
@@ -88,7 +173,7 @@ def woe_transform(df: DataFrame, col: str, edges: list[float], table: DataFrame)
 def cumulative_rates(df: DataFrame, y: str, p: str, descending: bool = True) -> DataFrame:
     """Per distinct score: rows, ones, and the shares of ones (tpr) and zeros (fpr) up to and with it."""
     counts = df.groupBy(F.col(p).cast("double").alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("ones")).withColumn("zeros", F.col("n") - F.col("ones"))
-    run = bucketed_running(counts, "p", ["ones", "zeros"], descending)
+    run = ordered_running(counts, "p", ["ones", "zeros"], descending)
     totals = counts.agg(F.sum("ones").alias("_1"), F.sum("zeros").alias("_0"))
     both = run.join(F.broadcast(totals), F.lit(True))
     return both.select("p", "n", "ones", "zeros", F.try_divide(F.col("ones_before") + F.col("ones"), F.col("_1")).alias("tpr"), F.try_divide(F.col("zeros_before") + F.col("zeros"), F.col("_0")).alias("fpr"))
@@ -104,7 +189,7 @@ def ks(df: DataFrame, y: str, p: str) -> DataFrame:
 def auc(df: DataFrame, y: str, p: str) -> DataFrame:
     """Share of (one, zero) pairs in the right order, ties half; and Gini."""
     counts = df.groupBy(F.col(p).cast("double").alias("p")).agg(F.sum(F.col(y).cast("long")).alias("ones"), F.count_if(F.col(y) == 0).alias("zeros"))
-    run = bucketed_running(counts, "p", ["zeros"], descending=False)
+    run = ordered_running(counts, "p", ["zeros"])
     wins = F.try_divide(F.sum(F.col("ones") * (F.col("zeros_before") + F.col("zeros") / 2)), F.sum("ones") * F.sum("zeros"))
     return run.agg(wins.alias("auc")).withColumn("gini", 2 * F.col("auc") - 1)
 
@@ -172,14 +257,12 @@ def model_status(alerts: DataFrame, models: DataFrame) -> DataFrame:
     return models.join(worst, "model", "left").select("model", F.when(F.col("_c"), "CRITICAL").when(F.col("_w"), "WARNING").otherwise("ACTIVE").alias("status"))
 
 
-def vif(df: DataFrame, features: list[str]) -> list[tuple[str, float]]:
+def vif(df: DataFrame, features: list[str] | str) -> list[tuple[str, float]]:
     """Uncentred variance inflation: sums of products are distributed, the k x k inverse is taken on the driver."""
-    import numpy as np
-
-    k = len(features)
-    got = df.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if j <= i)).first()
-    gram = np.array([[got[f"{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)], float)
-    return [(f, float(v)) for f, v in zip(features, np.diag(gram) * np.diag(np.linalg.pinv(gram)))]
+    m = moments(df, features)
+    a = m["shift"]
+    gram = m["xy"] + m["x"] * a + (m["x"] * a).T + m["n"] * np.outer(a, a)
+    return [(f, float(v)) for f, v in zip(names_of(df, features), np.diag(gram) * np.diag(np.linalg.pinv(gram)))]
 
 
 def score_distribution(df: DataFrame, y: str, p: str, bins: int = 20) -> DataFrame:
@@ -197,7 +280,7 @@ def _cut(df: DataFrame, order: str, ratios: dict[str, float], keys: list[str]) -
         out = df.withColumns({"_place": place, "_total": total})
     else:
         counts = df.groupBy(order).agg(F.count("*").alias("_m"))
-        run = bucketed_running(counts, order, ["_m"], descending=False).select(order, "_m_before")
+        run = ordered_running(counts, order, ["_m"]).select(order, "_m_before")
         within = F.row_number().over(Window.partitionBy(order).orderBy(F.xxhash64(*df.columns)))
         out = df.join(run, order).withColumn("_place", F.col("_m_before") + within).withColumn("_total", F.lit(df.count()))
     test, upto, last = None, 0.0, list(ratios)[-1]
@@ -230,8 +313,14 @@ def dataset_card(df: DataFrame, kept: Column, y: str) -> DataFrame:
     return df.agg(F.count("*").alias("raw"), F.count_if(kept).alias("filtered"), F.count_if(kept & (F.col(y) == 1)).alias("positive"), F.count_if(kept & (F.col(y) == 0)).alias("negative"))
 
 
-def _train(df: DataFrame, features: list[str], y: str, model, grid: dict, folds: int):
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df.withColumn("label", F.col(y).cast("double")))
+def _vectors(df: DataFrame, features: list[str] | str) -> DataFrame:
+    """Adds ``_features`` as a vector; missing features are NaN there."""
+    return df.withColumn("_features", array_to_vector(F.transform(vector(features), lambda x: F.coalesce(x, F.lit(float("nan"))))))
+
+
+def _train(df: DataFrame, features: list[str] | str, y: str, model, grid: dict, folds: int):
+    whole = F.forall(vector(features), lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = _vectors(df.where(whole & F.col(y).isNotNull()), features).select(F.col("_features").alias("features"), F.col(y).cast("double").alias("label"))
     params = ParamGridBuilder()
     for name, values in grid.items():
         params = params.addGrid(model.getParam(name), values)
@@ -240,12 +329,12 @@ def _train(df: DataFrame, features: list[str], y: str, model, grid: dict, folds:
     return fitted.bestModel, max(fitted.avgMetrics)
 
 
-def train_lr(df: DataFrame, features: list[str], y: str, grid: dict | None = None, folds: int = 3):
+def train_lr(df: DataFrame, features: list[str] | str, y: str, grid: dict | None = None, folds: int = 3):
     """Logistic regression, best of a grid by cross-validated AUC: (model, AUC)."""
     return _train(df, features, y, LogisticRegression(maxIter=20), grid or {"regParam": [0.01, 0.1]}, folds)
 
 
-def train_gbt(df: DataFrame, features: list[str], y: str, grid: dict | None = None, folds: int = 2):
+def train_gbt(df: DataFrame, features: list[str] | str, y: str, grid: dict | None = None, folds: int = 2):
     """Gradient-boosted trees by the same search."""
     return _train(df, features, y, GBTClassifier(maxIter=5, seed=42), grid or {"maxDepth": [2, 3]}, folds)
 
@@ -257,12 +346,14 @@ def feature_importance(spark, model, features: list[str]) -> DataFrame:
     return spark.createDataFrame([(f, float(v / total)) for f, v in zip(features, raw)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def batch_score(df: DataFrame, model, features: list[str]) -> DataFrame:
+def batch_score(df: DataFrame, model, features: list[str] | str) -> DataFrame:
     """Adds probability, score (x 1000) and label; a row with a missing feature gets nulls, not an error."""
     from riskloom.functions.scalars import score_label
 
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
-    out = (model if not isinstance(model, PipelineModel) else model).transform(rows).withColumn("probability", vector_to_array("probability")[1])
+    whole = F.coalesce(F.forall(vector(features), lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
+    rows = _vectors(df.withColumn("_whole", whole), features).withColumnRenamed("_features", model.getFeaturesCol())
+    out = model.transform(rows.withColumn(model.getFeaturesCol(), F.coalesce(model.getFeaturesCol(), array_to_vector(F.array_repeat(F.lit(float("nan")), model.numFeatures)))))
+    out = out.withColumn("probability", F.when(F.col("_whole"), vector_to_array("probability")[1]))
     score, label = score_label(F.col("probability"))
     return out.withColumn("score", score).withColumn("label", label).select(*df.columns, "probability", "score", "label")
 
@@ -275,8 +366,19 @@ def evaluate(df: DataFrame, y: str, p: str, tie: str) -> DataFrame:
     return out
 
 
-def select_features(df: DataFrame, features: list[str], y: str, current: DataFrame | None = None) -> list[str]:
+def feature_psi(reference: DataFrame, current: DataFrame, features: list[str] | str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
+    """(feature, psi, severity) of all features at once, over the reference's quantile bins."""
+    sides = [df.withColumn("_y", F.lit(0)) for df in (reference, current)]
+    edges = held(quantiles(long_form(sides[0], features, "_y"), ["feature"], "value", [i / bins for i in range(1, bins)]), "edges")
+    ref, cur = (_binned(df, features, "_y", edges).where("value IS NOT NULL").groupBy("feature", "bin").agg(F.count("*").alias(n)) for df, n in zip(sides, ("ref", "cur")))
+    return psi_from_counts(ref.join(cur, ["feature", "bin"], "full").na.fill(0, ["ref", "cur"]), floor)
+
+
+def select_features(df: DataFrame, features: list[str] | str, y: str, current: DataFrame | None = None) -> list[str]:
     """By IV, then correlation, then stability against a current frame."""
     iv = {r.feature: r.iv for r in iv_filter(df, features, y).collect()}  # one row per feature
-    kept = correlation_filter(df, list(iv), iv)
-    return [f for f in kept if current is None or psi(df, current, f).first()["psi"] < 0.25]
+    kept = [f for f in correlation_filter(df, features, iv) if f in iv] if iv else []
+    if current is None:
+        return kept
+    stable = {r.feature for r in feature_psi(df, current, features).where("psi < 0.25").select("feature").collect()}
+    return [f for f in kept if f in stable]

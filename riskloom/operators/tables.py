@@ -1,10 +1,17 @@
 """Filters, lookups, versions, pages and other operators on whole frames."""
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from riskloom.sources.ingest import held
 
 
 def filter_samples(df: DataFrame, spec: dict) -> DataFrame:
@@ -138,24 +145,38 @@ def top_percent(df: DataFrame, score: str, percent: float, tie: str) -> DataFram
     total = df.count()
     keep = max(1, int(total * percent / 100)) if total else 0
     counts = df.groupBy(score).agg(F.count("*").alias("_m"))
-    above = bucketed_running(counts, score, ["_m"]).withColumnRenamed("_m_before", "_before")
+    above = ordered_running(counts, score, ["_m"], descending=True).withColumnRenamed("_m_before", "_before")
     cut = above.where(F.col("_before") < keep).select(score, (F.lit(keep) - F.col("_before")).alias("_room"), "_m")
     whole = cut.where("_m <= _room").select(score)
     part = df.join(cut.where("_m > _room").select(score, "_room"), score).withColumn("_n", F.row_number().over(Window.partitionBy(score).orderBy(tie))).where("_n <= _room")
     return df.join(whole, score, "left_semi").unionByName(part.select(df.columns))
 
 
-def bucketed_running(df: DataFrame, order: str, sums: list[str], descending: bool = True, buckets: int = 64) -> DataFrame:
-    """Adds ``<c>_before``: the sum over rows earlier in the order, of distinct order values, without one task for all rows.
+def ordered_running(df: DataFrame, order: str | list[str], sums: list[str], descending: bool = False) -> DataFrame:
+    """Adds ``<c>_before``: the sum over rows earlier in the order, of distinct order values, for whole-number columns.
 
-    Rows are cut into ranges at approximate quantiles; range totals (few) are summed first, then each range has its own window.
+    The rows are dealt by ranges of the order and sorted once; each range sums up as it streams by, in batches, so neither a
+    window nor a task's memory holds a range. The ranges' totals, one row for each, are summed apart and sent back. The dealt rows are
+    a table, since ranges dealt anew might have other edges.
     """
-    edges = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.01)))
-    bucket = reduce(lambda a, b: a + b, (F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0))
-    held = df.withColumn("_bucket", bucket)
-    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    over = Window.partitionBy(F.lit(0)).orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = held.groupBy("_bucket").agg(*(F.sum(c).alias(c) for c in sums)).select("_bucket", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_{c}_base") for c in sums))
-    inside = Window.partitionBy("_bucket").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1)
-    out = held.join(F.broadcast(totals), "_bucket")
-    return out.withColumns({f"{c}_before": F.col(f"_{c}_base") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}).drop("_bucket", *(f"_{c}_base" for c in sums))
+    order = [order] if isinstance(order, str) else order
+    way = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    dealt = df.repartitionByRange(*way).sortWithinPartitions(*way).withColumn("_range", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = dict.fromkeys(sums, 0)
+        for batch in batches:
+            added = []
+            for c in sums:
+                own = pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False)
+                after = np.cumsum(own) + upto[c]
+                added.append(pa.array(after - own))
+                upto[c] = int(after[-1]) if len(after) else upto[c]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(f"{c}_before" for c in sums)])
+
+    summed = held(dealt.mapInArrow(run, StructType([*dealt.schema.fields, *(StructField(f"{c}_before", LongType()) for c in sums)])), "ranges")
+    totals = summed.groupBy("_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    past = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("_range", *(F.coalesce(F.sum(f"_{c}").over(past), F.lit(0)).alias(f"_{c}_base") for c in sums))  # a row for each range
+    out = summed.join(F.broadcast(base), "_range")
+    return out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_{c}_base") for c in sums}).drop("_range", *(f"_{c}_base" for c in sums))

@@ -8,7 +8,7 @@ from riskloom.plans.registry import register
 from riskloom.sources.bindings import ctes, frame
 from riskloom.sources.tables import table
 
-_N = 6
+_N = 64
 
 
 def _scored(spark, d):
@@ -20,7 +20,7 @@ _S = ctes("scored") + ", s AS (SELECT id, y, CAST(value AS DECIMAL(10,2))::DOUBL
 
 def _matrix(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.when(F.col("label") >= 5, 1).otherwise(0).alias("y"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(_N)))
+    return e.select("vec_id", F.when(F.col("label") >= 5, 1).otherwise(0).alias("y"), F.col("embedding").cast("array<double>").alias("x"))
 
 
 _MAT = "WITH m AS (SELECT vec_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(_N)) + " FROM embeddings)"
@@ -60,15 +60,14 @@ _IV = _MAT + ", l AS (UNPIVOT m ON " + ", ".join(f"f{i}" for i in range(_N)) + "
 
 @register("m04_iv_filter", _IV + " SELECT feature, round(iv, 8) AS iv FROM iv WHERE iv >= 0.02")
 def m04(spark, d):
-    return M.iv_filter(_matrix(spark, d), [f"f{i}" for i in range(_N)], "y").select("feature", F.round("iv", 8).alias("iv"))
+    return M.iv_filter(_matrix(spark, d), "x", "y").select("feature", F.round("iv", 8).alias("iv"))
 
 
 @register("m05_correlation_filter")
 def m05(spark, d):
-    rows = _matrix(spark, d).withColumn(f"f{_N}", F.col("f0") * 2 + F.col("f1") * 0.01)
-    names = [f"f{i}" for i in range(_N + 1)]
-    iv = {r.feature: r.iv for r in M.feature_iv(rows, names, "y").collect()}
-    return rows.agg(F.count("*").alias("rows")).select("rows", F.explode(F.array(*map(F.lit, M.correlation_filter(rows, names, iv)))).alias("feature"))
+    rows = _matrix(spark, d).withColumn("x", F.concat("x", F.array(F.col("x")[0] * 2 + F.col("x")[1] * 0.01)))
+    iv = {r.feature: r.iv for r in M.feature_iv(rows, "x", "y").collect()}
+    return rows.agg(F.count("*").alias("rows")).select("rows", F.explode(F.array(*map(F.lit, M.correlation_filter(rows, "x", iv)))).alias("feature"))
 
 
 @register("m06_woe_transform", _WOE + " SELECT event_id, round(ln(pb / pg), 8) AS value_woe FROM b JOIN r USING (bin)")
@@ -193,7 +192,7 @@ def m15(spark, d):
 @register("m16_vif")
 def m16(spark, d):
     rows = _matrix(spark, d)
-    found = M.vif(rows, [f"f{i}" for i in range(_N)])
+    found = M.vif(rows, "x")
     return rows.agg(F.count("*").alias("rows")).select("rows", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(v).alias("vif")) for f, v in found))).alias("r")).select("rows", "r.*")
 
 
@@ -238,32 +237,29 @@ def m23(spark, d):
     return M.dataset_card(_scored(spark, d), F.col("value").cast("decimal(10,2)") > 50, "y")
 
 
-_FEATS = [f"f{i}" for i in range(_N)]
-
-
 @register("m24_train_logistic")
 def m24(spark, d):
     rows = _matrix(spark, d)
-    model, auc = M.train_lr(rows, _FEATS, "y", {"regParam": [0.01, 0.1]}, 2)
+    model, auc = M.train_lr(rows, "x", "y", {"regParam": [0.01, 0.1]}, 2)
     return rows.agg(F.count("*").alias("rows")).withColumn("auc", F.lit(auc)).withColumn("intercept", F.lit(float(model.intercept)))
 
 
 @register("m25_train_boosted")
 def m25(spark, d):
     rows = _matrix(spark, d)
-    model, auc = M.train_gbt(rows, _FEATS, "y", {"maxDepth": [2]}, 2)
+    model, auc = M.train_gbt(rows, "x", "y", {"maxDepth": [2]}, 2)
     return rows.agg(F.count("*").alias("rows")).withColumn("auc", F.lit(auc)).withColumn("trees", F.lit(model.getNumTrees))
 
 
 @register("m26_feature_importance")
 def m26(spark, d):
-    return M.feature_importance(spark, M.train_lr(_matrix(spark, d), _FEATS, "y", {"regParam": [0.1]}, 2)[0], _FEATS)
+    return M.feature_importance(spark, M.train_lr(_matrix(spark, d), "x", "y", {"regParam": [0.1]}, 2)[0], [f"f{i}" for i in range(_N)])
 
 
 @register("m27_batch_score")
 def m27(spark, d):
     rows = _matrix(spark, d)
-    return M.batch_score(rows, M.train_lr(rows, _FEATS, "y", {"regParam": [0.1]}, 2)[0], _FEATS).select("vec_id", "probability", "score", "label")
+    return M.batch_score(rows, M.train_lr(rows, "x", "y", {"regParam": [0.1]}, 2)[0], "x").select("vec_id", "probability", "score", "label")
 
 
 @register("m28_evaluate")
@@ -274,5 +270,5 @@ def m28(spark, d):
 @register("m29_select_features")
 def m29(spark, d):
     rows = _matrix(spark, d)
-    kept = M.select_features(rows, _FEATS, "y", rows.where("vec_id % 2 = 0"))
+    kept = M.select_features(rows, "x", "y", rows.where("vec_id % 2 = 0"))
     return rows.agg(F.count("*").alias("rows")).withColumn("features", F.array(*map(F.lit, kept)).cast("array<string>"))
