@@ -87,12 +87,25 @@ def apply_scorecard(df: DataFrame, spec: dict) -> DataFrame:
     return out.withColumn("decision", F.when(F.col("total") < cut["reject"], "REJECT").when(F.col("total") < cut["pass"], "REVIEW").otherwise("PASS"))
 
 
+def _typed(values: list) -> str:
+    """SQL type of the literals of a result's field."""
+    kinds = {type(v) for v in values if v is not None}
+    if not kinds or str in kinds:
+        return "string"
+    if kinds == {bool}:
+        return "boolean"
+    return "double" if float in kinds else "int" if all(v is None or abs(v) < 2**31 for v in values) else "bigint"
+
+
 def apply_decision_table(df: DataFrame, spec: dict, chain: int = 200) -> DataFrame:
     """Adds ``row`` (number, from 0) and the result's fields of the first matching row; ``*`` matches all, null only null.
 
-    Up to ``chain`` rows become one CASE chain; larger tables are joined, each row under its first cell without wildcard.
+    Up to ``chain`` rows become one CASE chain. The rows of larger tables are grouped by which cells are wildcards, which are few
+    patterns; each pattern is one equality join on its other cells, with the first row of equal cells, and the least row number
+    wins. No row of the frame is multiplied or regrouped, so its columns may have any type. The tables come from the artefact,
+    are as large as it, and are sent to all tasks.
     """
-    fields, rows = [c["field"] for c in spec["columns"]], spec["rows"]
+    fields, rows, spark = [c["field"] for c in spec["columns"]], spec["rows"], df.sparkSession
     names = list(rows[0]["result"]) if rows else []
 
     def test(row: dict) -> Column:
@@ -100,16 +113,31 @@ def apply_decision_table(df: DataFrame, spec: dict, chain: int = 200) -> DataFra
         return reduce(and_, cells, F.lit(True))
 
     if len(rows) <= chain:
-        row = _chain([(test(r), F.lit(i)) for i, r in enumerate(rows)], F.lit(None).cast("int"))
-        out = df.withColumn("row", row)
-    else:
-        flat = [(i, *(str(v) if v is not None else "\0" for v in r["conditions"])) for i, r in enumerate(rows)]
-        table = df.sparkSession.createDataFrame(flat, ", ".join(["_row int", *(f"_c{k} string" for k in range(len(fields)))]))
-        keyed = df.withColumn("_id", F.monotonically_increasing_id())
-        match = reduce(and_, ((F.col(f"_c{k}") == "*") | (F.col(f"_c{k}") == F.coalesce(F.col(f).cast("string"), F.lit("\0"))) for k, f in enumerate(fields)))
-        out = keyed.join(F.broadcast(table), match, "left").groupBy("_id", *(F.col(c) for c in df.columns)).agg(F.min("_row").alias("row")).drop("_id")
-    results = {n: F.when(F.col("row").isNotNull(), F.get(F.array(*(F.lit(r["result"].get(n)) for r in rows)), F.col("row"))) for n in names}
-    return out.withColumns(results)
+        out = df.withColumn("row", _chain([(test(r), F.lit(i)) for i, r in enumerate(rows)], F.lit(None).cast("int")))
+        return out.withColumns({n: F.when(F.col("row").isNotNull(), F.get(F.array(*(F.lit(r["result"].get(n)) for r in rows)), F.col("row"))) for n in names})
+    patterns: dict[tuple[int, ...], dict[tuple, int]] = {}
+    for i, r in enumerate(rows):
+        known = tuple(k for k, v in enumerate(r["conditions"]) if v != "*")
+        patterns.setdefault(known, {}).setdefault(tuple(None if r["conditions"][k] is None else str(r["conditions"][k]) for k in known), i)
+    mark = "_dt"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    out, found = df, []
+    for p, (known, cells) in enumerate(patterns.items()):
+        if not known:
+            found.append(F.lit(cells[()]))
+            continue
+        columns = [f"{mark}{p}_{k}" for k in known]
+        table = spark.createDataFrame([(i, *key) for key, i in cells.items()], ", ".join([f"{mark}{p} int", *(f"{c} string" for c in columns)]))
+        out = out.join(F.broadcast(table), reduce(and_, (F.col(fields[k]).cast("string").eqNullSafe(F.col(c)) for k, c in zip(known, columns))), "left").drop(*columns)
+        found.append(F.col(f"{mark}{p}"))
+    out = out.withColumn("row", F.least(*found) if len(found) > 1 else found[0]).select(*df.columns, "row")
+    kinds = {n: _typed([r["result"].get(n) for r in rows]) for n in names}
+    cast = {"string": str, "double": float, "int": int, "bigint": int, "boolean": bool}
+    told = [(i, *(None if (v := r["result"].get(n)) is None else cast[kinds[n]](v) for n in names)) for i, r in enumerate(rows)]
+    results = spark.createDataFrame(told, ", ".join([f"{mark} int", *(f"`{n}` {kinds[n]}" for n in names)]))
+    replaced = out.drop(*names)
+    return replaced.join(F.broadcast(results), replaced["row"] == results[mark], "left").drop(mark)
 
 
 def tree_column(node: dict) -> Column:

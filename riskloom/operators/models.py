@@ -240,8 +240,9 @@ def feature_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
 
 def ks_trend(df: DataFrame, model: str, order: str, value: str) -> DataFrame:
     """Drop against the first recorded value of each model."""
-    first = F.first(value).over(Window.partitionBy(model).orderBy(order))
-    return df.withColumn("drop", (first - F.col(value)) / first)
+    first = df.where(F.col(order).isNotNull()).groupBy(F.col(model).alias("_m")).agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_f"))
+    both = df.join(first, df[model].eqNullSafe(first["_m"]), "left").drop("_m")
+    return both.withColumn("drop", (F.col("_f.v") - F.col(value)) / F.col("_f.v")).drop("_f")
 
 
 def model_alerts(psi_rows: DataFrame, ks_rows: DataFrame, drift: DataFrame) -> DataFrame:
@@ -279,10 +280,12 @@ def _cut(df: DataFrame, order: str, ratios: dict[str, float], keys: list[str]) -
         place, total = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
         out = df.withColumns({"_place": place, "_total": total})
     else:
-        counts = df.groupBy(order).agg(F.count("*").alias("_m"))
-        run = ordered_running(counts, order, ["_m"]).select(order, "_m_before")
-        within = F.row_number().over(Window.partitionBy(order).orderBy(F.xxhash64(*df.columns)))
-        out = df.join(run, order).withColumn("_place", F.col("_m_before") + within).withColumn("_total", F.lit(df.count()))
+        mixed = df.withColumn("_x", F.xxhash64(*df.columns))  # rows of one order value are spread by it, but for equal rows
+        counts = mixed.groupBy(order, "_x").agg(F.count("*").alias("_m"))
+        run = ordered_running(counts, [order, "_x"], ["_m"]).select(F.col(order).alias("_o"), F.col("_x").alias("_y"), "_m_before")
+        within = F.row_number().over(Window.partitionBy(order, "_x").orderBy(F.lit(0)))
+        both = mixed.withColumn("_w", within).join(run, mixed[order].eqNullSafe(run["_o"]) & (F.col("_x") == F.col("_y")))
+        out = both.withColumn("_place", F.col("_m_before") + F.col("_w")).withColumn("_total", F.lit(df.count())).drop("_o", "_x", "_y", "_w")
     test, upto, last = None, 0.0, list(ratios)[-1]
     for name, share in list(ratios.items())[:-1]:
         upto += share

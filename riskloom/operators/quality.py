@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalars as S
+from riskloom.operators.tables import duplicates
 from riskloom.sources.ingest import held
 
 # Keywords of column names, in the order in which they are tried, and the masks of the matching kinds.
@@ -50,7 +51,7 @@ def check_quality(df: DataFrame, rules: list[dict], key: str) -> DataFrame:
         if r in per_row:
             continue
         if r["expression"].upper().startswith("UNIQUE"):
-            bad = df.where(F.col(r["column"]).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(r["column"]).orderBy(key))).where("_n > 1")
+            bad = duplicates(df.select(*dict.fromkeys([key, r["column"]])), r["column"], [key])
         else:
             reference, column = _REFERENCES[r["expression"][4:].strip()]
             bad = df.where(F.col(r["column"]).isNotNull()).join(reference.select(F.col(column).alias(r["column"])).distinct(), r["column"], "left_anti")

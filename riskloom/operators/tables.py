@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from riskloom.sources.ingest import held
+from riskloom.sources.ingest import held, scratch
 
 
 def filter_samples(df: DataFrame, spec: dict) -> DataFrame:
@@ -70,20 +70,67 @@ def latest_version(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     return df.join(df.groupBy(*keys).agg(F.max(version).alias(version)), [*keys, version])
 
 
+def _name(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def previous_row(df: DataFrame, keys: list[str], order: list[str], columns: list[str], out: str) -> DataFrame:
+    """Adds ``out``, a struct of columns of the row before in the order within the keys; null for a key's first row.
+
+    Rows are dealt by ranges of keys and order, so a key with very many rows is in many tasks. Each range looks within itself; the
+    first rows of a key's later ranges get the last row of the range before, from a table of the keys that lie in several ranges,
+    which are no more than the ranges. The dealt rows are a table, since ranges dealt anew might have other edges.
+    """
+    part, own, near, edge = (_name(df, n) for n in ("range", "own", "near", "edge"))
+    dealt = held(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()).withColumn(own, F.struct(*(F.col(f"`{c}`") for c in columns))), "ranges")
+    ends = dealt.groupBy(*keys, part).agg(F.max_by(own, F.struct(*order)).alias(edge))
+    spread = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(part, edge))).alias(near)).where(F.size(near) > 1)  # at most one per range
+    carried = spread.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.posexplode(F.slice(near, 1, F.size(near) - 1)).alias("_i", "_e"), F.col(near).alias("_all"))
+    carried = carried.select(*(f"_k{i}" for i in range(len(keys))), F.get("_all", F.col("_i") + 1)[part].alias("_p"), F.col(f"_e.{edge}").alias("_last"))
+    first = Window.partitionBy(*keys, part).orderBy(*order)
+    seen = dealt.withColumn(near, F.lag(own).over(first)).withColumn(edge, F.row_number().over(first) == 1)
+    on = reduce(and_, (seen[k].eqNullSafe(carried[f"_k{i}"]) for i, k in enumerate(keys)), seen[part] == carried["_p"])
+    both = seen.join(F.broadcast(carried), on, "left")
+    return both.select(*(seen[c] for c in df.columns), F.when(seen[edge], F.col("_last")).otherwise(seen[near]).alias(out))
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Adds ``previous_<column>`` from the row before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns})
+    was = _name(df, "was")
+    rows = previous_row(df, keys, order, columns, was)
+    return rows.select(*df.columns, *(F.col(was)[c].alias(f"previous_{c}") for c in columns))
 
 
 def duplicates(df: DataFrame, col: str, order: list[str]) -> DataFrame:
-    """Second and later rows of a non-null value."""
-    return df.where(F.col(col).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(col).orderBy(*order))).where("_n > 1").drop("_n")
+    """Second and later rows of a non-null value: those with a row before."""
+    was = _name(df, "was")
+    return previous_row(df.where(F.col(col).isNotNull()), [col], order, [col], was).where(F.col(was).isNotNull()).select(df.columns)
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> tuple[DataFrame, int]:
-    """Rows of one page (from 1) and the number of all rows."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size), df.count()
+def page(df: DataFrame, order: list[Column], number: int, size: int, shallow: int = 50_000) -> tuple[DataFrame, int]:
+    """Rows of one page (from 1) and the number of all rows.
+
+    Down to ``shallow`` rows the first rows of the order are taken. Beyond, the rows are dealt by ranges of the order into a
+    table with a folder for each range; their counts tell which ranges hold the page, and only these are opened and sorted.
+    """
+    start = (number - 1) * size
+    if start + size <= shallow:
+        return df.orderBy(*order).offset(start).limit(size), df.count()
+    spark, part, path = df.sparkSession, _name(df, "range"), scratch(df.sparkSession, "pages")
+    df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()).write.partitionBy(part).parquet(path)
+    dealt = spark.read.schema(StructType([*df.schema.fields, StructField(part, IntegerType())])).parquet(path)
+    before, kept, first = 0, [], None
+    for row in sorted(dealt.groupBy(part).count().collect()):  # a row for each range
+        if before < start + size and before + row[1] > start:
+            first = before if first is None else first
+            kept.append(row[0])
+        before += row[1]
+    rows = dealt.where(F.col(part).isin(kept)).select(df.columns)
+    return rows.orderBy(*order).offset(start - (first or 0)).limit(size), before
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
