@@ -115,15 +115,18 @@ def decision_analysis(log: DataFrame) -> DataFrame:
 def amortise(loans: DataFrame, key: str, principal: str, months: str, yearly_rate: float) -> DataFrame:
     """One row per instalment of a level payment: interest and principal in cents; the last one takes the rest.
 
-    The rounding carries over from month to month, so the schedule is a fold over the months of each loan.
+    The rounding carries over from month to month, so the schedule is a fold over the months of each loan. Amounts are decimals
+    within it: half cents round up, which doubles do not always do.
     """
-    monthly = yearly_rate / 12
-    paid = S.monthly_payment(F.col(principal).cast("double"), F.col(months), yearly_rate)
-    step = f"""(s, m) -> named_struct('left', round(s.left - if(m = {months}, s.left, round(_pay - round(s.left * {monthly}D, 2), 2)), 2),
-        'rows', concat(s.rows, array(named_struct('month', m, 'interest', round(s.left * {monthly}D, 2), 'principal', if(m = {months}, s.left, round(_pay - round(s.left * {monthly}D, 2), 2))))))"""
-    empty = "cast(array() as array<struct<month: int, interest: double, principal: double>>)"
-    fold = F.expr(f"aggregate(sequence(1, {months}), named_struct('left', cast({principal} as double), 'rows', {empty}), {step}, s -> s.rows)")
-    return loans.where(F.col(months) > 0).withColumn("_pay", paid).select(key, F.explode(fold).alias("r")).select(key, "r.month", "r.interest", "r.principal")
+    cents, monthly = "decimal(18,2)", f"CAST({yearly_rate / 12:.12f} AS DECIMAL(14,12))"
+    paid = S.monthly_payment(F.col(principal).cast("double"), F.col(months), yearly_rate).cast(cents)
+    interest = f"CAST(round(s.left * {monthly}, 2) AS {cents})"
+    part = f"CAST(if(m = {months}, s.left, _pay - {interest}) AS {cents})"
+    step = f"(s, m) -> named_struct('left', CAST(s.left - {part} AS {cents}), 'rows', concat(s.rows, array(named_struct('month', m, 'interest', {interest}, 'principal', {part}))))"
+    empty = f"cast(array() as array<struct<month: int, interest: {cents}, principal: {cents}>>)"
+    fold = F.expr(f"aggregate(sequence(1, {months}), named_struct('left', cast({principal} as {cents}), 'rows', {empty}), {step}, s -> s.rows)")
+    rows = loans.where(F.col(months) > 0).withColumn("_pay", paid).select(key, F.explode(fold).alias("r"))
+    return rows.select(key, "r.month", F.col("r.interest").cast("double").alias("interest"), F.col("r.principal").cast("double").alias("principal"))
 
 
 def run_day(sources: dict[str, DataFrame], as_of: str) -> dict[str, DataFrame]:

@@ -5,6 +5,8 @@ are few (``tables.ordered_running``), so no task sees all rows.
 """
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -274,37 +276,35 @@ def score_distribution(df: DataFrame, y: str, p: str, bins: int = 20) -> DataFra
 
 
 def _cut(df: DataFrame, order: str, ratios: dict[str, float], keys: list[str]) -> DataFrame:
-    """Adds ``split`` by exact shares along an order of distinct values, within the keys."""
-    if keys:
-        w = Window.partitionBy(*keys)
-        place, total = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
-        out = df.withColumns({"_place": place, "_total": total})
-    else:
-        mixed = df.withColumn("_x", F.xxhash64(*df.columns))  # rows of one order value are spread by it, but for equal rows
-        counts = mixed.groupBy(order, "_x").agg(F.count("*").alias("_m"))
-        run = ordered_running(counts, [order, "_x"], ["_m"]).select(F.col(order).alias("_o"), F.col("_x").alias("_y"), "_m_before")
-        within = F.row_number().over(Window.partitionBy(order, "_x").orderBy(F.lit(0)))
-        both = mixed.withColumn("_w", within).join(run, mixed[order].eqNullSafe(run["_o"]) & (F.col("_x") == F.col("_y")))
-        out = both.withColumn("_place", F.col("_m_before") + F.col("_w")).withColumn("_total", F.lit(df.count())).drop("_o", "_x", "_y", "_w")
+    """Adds ``split`` by exact shares along an order, within the keys, which are few; rows of one order value come in the order of a hash of all columns."""
+    mixed = df.withColumn("_x", F.xxhash64(*df.columns))  # rows of one order value are spread by it, but for equal rows
+    by = [*keys, order, "_x"]
+    run = ordered_running(mixed.groupBy(*by).agg(F.count("*").alias("_m")), by, ["_m"])
+    sizes = run.groupBy(*keys).agg(F.sum("_m").alias("_total"), F.min("_m_before").alias("_first"))
+    run, sizes = (d.select(*(F.col(c).alias(f"{n}{i}") for i, c in enumerate(cols)), *rest) for d, n, cols, rest in ((run, "_b", by, ["_m_before"]), (sizes, "_k", keys, ["_total", "_first"])))
+    same = lambda cols, n: reduce(and_, (F.col(c).eqNullSafe(F.col(f"{n}{i}")) for i, c in enumerate(cols)), F.lit(True))
+    met = mixed.withColumn("_w", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))).join(run, same(by, "_b")).join(F.broadcast(sizes), same(keys, "_k"))
+    place = F.col("_m_before") - F.col("_first") + F.col("_w")
     test, upto, last = None, 0.0, list(ratios)[-1]
     for name, share in list(ratios.items())[:-1]:
         upto += share
-        test = (F if test is None else test).when(F.col("_place") <= F.floor(F.col("_total") * F.lit(round(upto, 9))), name)
-    return out.withColumn("split", test.otherwise(last) if test is not None else F.lit(last)).drop("_place", "_total", "_m_before")
+        test = (F if test is None else test).when(place <= F.floor(F.col("_total") * F.lit(round(upto, 9))), name)
+    return met.select(*df.columns, (test.otherwise(last) if test is not None else F.lit(last)).alias("split"))
+
+
+def _shuffled(key: str, seed: int) -> Column:
+    """A repeatable order: 60 bits of a hash of key and seed."""
+    return F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256), 1, 15)
 
 
 def split_random(df: DataFrame, key: str, ratios: dict[str, float], seed: int) -> DataFrame:
     """Exact shares in the order of a hash of key and seed: repeatable on any partitioning."""
-    return _cut(df.withColumn("_h", F.xxhash64(key, F.lit(seed))), "_h", ratios, []).drop("_h")
+    return _cut(df.withColumn("_h", _shuffled(key, seed)), "_h", ratios, []).drop("_h")
 
 
 def split_stratified(df: DataFrame, key: str, label: str, ratios: dict[str, float], seed: int) -> DataFrame:
-    """Exact shares within each label. Ranks of a label come from counts per hash, so a large label is not one task."""
-    out = None
-    for value in [r[0] for r in df.select(label).distinct().collect()]:  # labels are few
-        part = split_random(df.where(F.col(label).eqNullSafe(F.lit(value))), key, ratios, seed)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Exact shares within each label, all labels in one pass; a large label lies in many ranges."""
+    return _cut(df.withColumn("_h", _shuffled(key, seed)), "_h", ratios, [label]).drop("_h")
 
 
 def split_time(df: DataFrame, at: str, ratios: dict[str, float]) -> DataFrame:

@@ -172,10 +172,16 @@ def t03(spark, d):
     return out.select("trace_id", F.col("contributions")[0]["name"].alias("name"))
 
 
-@register("t04_top_factors")
+_F1, _F2 = (f"{_SHARE} * {_SCALE.format(c)}" for c in ("total_score", "duration_ms"))
+_WAY = "CASE WHEN {0} > 0.001 THEN 'POSITIVE' WHEN {0} < -0.001 THEN 'NEGATIVE' ELSE 'NEUTRAL' END"
+_FACTORS = f"SELECT trace_id, name, value, row_number() OVER (PARTITION BY trace_id ORDER BY abs(value) DESC, name) AS n FROM (SELECT trace_id, 'total_score' AS name, {_F1} AS value FROM log UNION ALL SELECT trace_id, 'duration_ms', {_F2} FROM log)"
+
+
+@register("t04_top_factors", ctes("log") + f"SELECT trace_id, CAST(n AS INT) AS place, name, round(value, 8) AS value, {_WAY.format('value')} AS direction FROM ({_FACTORS})")
 def t04(spark, d):
     out = D.top_contributions(D.attribute(_log(spark, d), ["total_score", "duration_ms"], "total_score", 100.0), 2)
-    return out.select("trace_id", F.transform("contributions", lambda c: F.struct(c["name"].alias("name"), F.round(c["value"], 6).alias("value"), D.direction(c["value"]).alias("direction"))).alias("factors"))
+    each = out.select("trace_id", F.posexplode("contributions").alias("place", "c"))
+    return each.select("trace_id", (F.col("place") + 1).alias("place"), "c.name", F.round("c.value", 8).alias("value"), D.direction(F.col("c.value")).alias("direction"))
 
 
 _SPLIT = {"experimentId": "E1", "trafficKey": "customer_id", "enabled": True, "groups": [{"groupId": "A", "trafficRatio": 0.5}, {"groupId": "B", "trafficRatio": 0.3}, {"groupId": "C", "trafficRatio": 0.2}]}

@@ -212,24 +212,23 @@ def m19(spark, d):
 
 
 _RATIOS = {"train": 0.7, "valid": 0.15, "test": 0.15}
-_PARTS = "floor(count(*) * 0.7)::BIGINT AS a, floor(count(*) * 0.85)::BIGINT AS b, count(*) AS n"
-_COUNTED = "SELECT 'train' AS split, a AS n {0} FROM c UNION ALL SELECT 'valid', b - a {0} FROM c UNION ALL SELECT 'test', n - b {0} FROM c"
+_SPLIT = "CASE WHEN n <= floor(m * 0.7) THEN 'train' WHEN n <= floor(m * 0.85) THEN 'valid' ELSE 'test' END AS split"
+_RANDOM = "substr(sha256(o_orderkey || ':42'), 1, 15)"
 
 
-@register("m20_split_random", f"WITH c AS (SELECT {_PARTS} FROM orders) " + _COUNTED.format(""))
+@register("m20_split_random", f"SELECT o_orderkey, {_SPLIT} FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {_RANDOM}) AS n, count(*) OVER () AS m FROM orders)")
 def m20(spark, d):
-    return M.split_random(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", _RATIOS, 42).groupBy("split").agg(F.count("*").alias("n"))
+    return M.split_random(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", _RATIOS, 42).select("o_orderkey", "split")
 
 
-@register("m21_split_stratified", f"WITH c AS (SELECT o_orderstatus AS s, {_PARTS} FROM orders GROUP BY 1) " + _COUNTED.format(", s"))
+@register("m21_split_stratified", f"SELECT o_orderkey, o_orderstatus, {_SPLIT} FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_RANDOM}) AS n, count(*) OVER (PARTITION BY o_orderstatus) AS m FROM orders)")
 def m21(spark, d):
-    out = M.split_stratified(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", _RATIOS, 42)
-    return out.groupBy("split", F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n"))
+    return M.split_stratified(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", _RATIOS, 42)
 
 
-@register("m22_split_time", f"WITH c AS (SELECT {_PARTS} FROM events) " + _COUNTED.format(""))
+@register("m22_split_time", f"SELECT event_id, {_SPLIT} FROM (SELECT event_id, row_number() OVER (ORDER BY ts) AS n, count(*) OVER () AS m FROM events)")
 def m22(spark, d):
-    return M.split_time(table(spark, d, "events").select("event_id", "ts"), "ts", _RATIOS).groupBy("split").agg(F.count("*").alias("n"))
+    return M.split_time(table(spark, d, "events").select("event_id", "ts"), "ts", _RATIOS).select("event_id", "split")
 
 
 @register("m23_dataset_card", _S + " SELECT count(*) AS raw, count(*) FILTER (v > 50) AS filtered, count(*) FILTER (v > 50 AND y = 1) AS positive, count(*) FILTER (v > 50 AND y = 0) AS negative FROM s")
@@ -262,9 +261,20 @@ def m27(spark, d):
     return M.batch_score(rows, M.train_lr(rows, "x", "y", {"regParam": [0.1]}, 2)[0], "x").select("vec_id", "probability", "score", "label")
 
 
-@register("m28_evaluate")
+def _sub(sql: str) -> str:
+    """The part of a query behind the common rows of scores."""
+    return sql.removeprefix(_S).removeprefix(", ")
+
+
+_LIFT = "(SELECT round((SELECT avg(y) FROM (SELECT y FROM s ORDER BY p DESC, id LIMIT (SELECT floor(count(*) * {0})::BIGINT FROM s))) / avg(y), 10) FROM s) AS {1}"
+_ALL = _S + ", " + _sub(_CUM.format("ASC")) + ", best AS (SELECT round(abs(tpr - fpr), 10) AS ks, p AS threshold FROM c ORDER BY round(abs(tpr - fpr), 12) DESC, p LIMIT 1), " + _sub(_AUC).replace("g AS", "g2 AS").replace("c AS", "c2 AS").replace("FROM g)", "FROM g2)").replace("FROM c)", "FROM c2)")
+_ALL += ", " + _sub(_CONF).replace("p >= 0.3", "p >= 0.5").replace("p < 0.3", "p < 0.5")
+
+
+@register("m28_evaluate", _ALL + f" SELECT ks, threshold, round(auc, 10) AS auc, round(2 * auc - 1, 10) AS gini, tp, fp, fn, tn, round(accuracy, 10) AS accuracy, round(precision, 10) AS precision, round(recall, 10) AS recall, round(CASE WHEN tp > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 10) AS f1, {_LIFT.format(0.1, 'lift_10')}, {_LIFT.format(0.2, 'lift_20')} FROM best, a, r")
 def m28(spark, d):
-    return M.evaluate(_scored(spark, d), "y", "p", "id")
+    out = M.evaluate(_scored(spark, d), "y", "p", "id")
+    return out.withColumns({c: F.round(c, 10) for c in ("ks", "auc", "gini", "accuracy", "precision", "recall", "f1", "lift_10", "lift_20")})
 
 
 @register("m29_select_features")

@@ -141,9 +141,11 @@ def p18(spark, d):
     return tables.map_features(log, [("total_score", "score", "DOUBLE", 0.0), ("decision_result", "code", "INTEGER", -1), ("flag", "passed", "BOOLEAN", False)], ["trace_id"])
 
 
-@register("p19_trace_report")
+@register("p19_trace_report", ctes("log") + "SELECT trace_id, decision_result, total_score, duration_ms, array_to_string(list_transform(hit_rules, lambda x: x || ':RULE'), ',') AS hit_rules FROM log")
 def p19(spark, d):
-    return tables.trace_report(frame(spark, d, "log"), 3)
+    """Level 3, its entries as texts."""
+    out = tables.trace_report(frame(spark, d, "log"), 3)
+    return out.withColumn("hit_rules", F.array_join(F.transform("hit_rules", lambda h: F.concat_ws(":", h["rule"], h["kind"])), ","))
 
 
 @register("p20_score_columns", ctes("scored") + "SELECT id, CAST(round(CAST(CAST(value AS DECIMAL(10,2)) * 2 AS DOUBLE), 1) AS DOUBLE) AS score, CAST(CASE WHEN CAST(value AS DECIMAL(10,2)) >= 250 THEN 1 ELSE 0 END AS INT) AS label FROM scored")
@@ -236,7 +238,13 @@ def f20(spark, d):
     return frame(spark, d, "app").select("application_no", S.monthly_payment(F.col("loan_amount").cast("double"), F.col("loan_term"), 0.12).alias("payment"))
 
 
-@register("f21_amortise")
+_SCHEDULE = """, p AS (SELECT application_no, loan_term, loan_amount, CAST(round(loan_amount::DOUBLE * 0.01 * power(1.01, loan_term) / (power(1.01, loan_term) - 1), 2) AS DECIMAL(18,2)) AS pay FROM app),
+s AS (SELECT application_no, loan_term, pay, 0 AS month, loan_amount AS rest, CAST(0 AS DECIMAL(18,2)) AS interest, CAST(0 AS DECIMAL(18,2)) AS principal FROM p
+UNION ALL SELECT application_no, loan_term, pay, month + 1, CAST(rest - CASE WHEN month + 1 = loan_term THEN rest ELSE pay - i END AS DECIMAL(18,2)), i, CAST(CASE WHEN month + 1 = loan_term THEN rest ELSE pay - i END AS DECIMAL(18,2)) FROM (SELECT *, CAST(round(rest * CAST(0.01 AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS i FROM s WHERE month < loan_term))
+SELECT application_no, CAST(month AS INT) AS month, interest::DOUBLE AS interest, principal::DOUBLE AS principal FROM s WHERE month > 0"""
+
+
+@register("f21_amortise", ctes("app") + _SCHEDULE)
 def f21(spark, d):
     return etl.amortise(frame(spark, d, "app"), "application_no", "loan_amount", "loan_term", 0.12)
 
