@@ -1,6 +1,7 @@
 """Neighbours of pages against brute force: hosts, copies, ties and any number of ranges; planned shards in order of id."""
 
 import random
+import tracemalloc
 from collections import Counter
 from hashlib import md5
 from itertools import accumulate
@@ -56,6 +57,28 @@ def test_equal_lines_in_thousands_are_common():
     assert len(pages.common(["x"] * 20_000, ["x"] * 20_000)) == 20_000
 
 
+def test_common_lines_equal_the_table_of_lengths():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+        got = [a[i] for i in sorted(pages.common(a, b))]
+        at = iter(b)
+        assert len(got) == best[-1][-1] and all(x in at for x in got)
+
+
+def test_many_equal_lines_take_little_memory():
+    rng = random.Random(1)
+    a, b = (["ab"[rng.random() < 0.5] for _ in range(4_000)] for _ in range(2))
+    tracemalloc.start()
+    got = pages.common(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000 and 3_000 < len(got) < 4_000
+    tracemalloc.stop()
+
+
 def test_plan_fills_files_in_order_of_id(spark):
     rng = random.Random(3)
     rows = [(f"s{i}", rng.randint(0, 1), rng.randint(1, 9), 10 * i, 10 * i + 5, rng.randint(10, 90)) for i in range(200)] + [("lone", 2, 1, 0, 1, 10), ("large", 0, 1, 0, 1, 300)]
