@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, in_share, kind_of, sample_share
+from riskloom.llm.common import in_parts, in_share, kept, kind_of, sample_share
 
 SLOTS, GROUPS, NONE = 1 << 17, 1 << 16, 1_000_000
 #: Words in the table that the higher-order functions build, documents that propose them, cached words of a worker.
@@ -220,10 +220,6 @@ class Words:
         return [table[raw[i : end[i]]] for i in range(n) if alive[i]]
 
 
-#: The words that a Python worker knows; kept from task to task of one query.
-_KEPT: dict[str, Words] = {}
-
-
 def encode(docs: DataFrame, id_col: str, text_col: str, path: str, decoded_col: str | None = None) -> DataFrame:
     """One row per document: its id column, ``ids``, the tokens of its whole text without special tokens, and ``ids_le``,
     the ids as little-endian unsigned 32-bit integers. With ``decoded_col`` the same pass decodes what it has encoded."""
@@ -231,10 +227,8 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str, decoded_col:
     split, key = pattern(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = Words(path, sent.value)
-        known, find, pieces = _KEPT[key], regex.compile(split).findall, None
+        known = kept(key, lambda: Words(path, sent.value))
+        find, pieces = regex.compile(split).findall, None
         for batch in batches:
             for part in in_parts(batch, 1, 1_500_000):
                 ids, ends = known.encode([find(text or "") for text in part.column(1).to_pylist()])

@@ -3,7 +3,7 @@
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
@@ -20,10 +20,14 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Fewer rows in an Arrow batch: whole texts and sets make large rows, and a batch is held twice, by executor and worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Fewer rows in an Arrow batch while something is written: whole texts and sets make large rows, and a batch is held twice, by executor and worker."""
-    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    """``BATCH`` while something is written."""
+    bounds = BATCH | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
     before = {k: spark.conf.get(k) for k in bounds}
     try:
         for k, v in bounds.items():
@@ -73,6 +77,23 @@ def beside(rows: DataFrame, few: DataFrame, on: list[str], how: str, most: int =
     return rows.join(F.broadcast(few) if few.count() <= most else few, on, how)
 
 
+#: What a Python worker keeps from task to task: the tables of one operator at a time.
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """The tables under a key, made when first asked for; those of any other key go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Frees what an earlier operator keeps, for one that needs the worker's memory and keeps nothing."""
+    _KEPT.clear()
+
+
 def fold_of(id_col: str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds

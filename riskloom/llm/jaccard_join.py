@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import beside, discard, fresh, in_parts, in_share, kind_of, release, sample_share, written
+from riskloom.llm.common import beside, discard, forget, fresh, in_parts, in_share, kind_of, release, sample_share, written
 from riskloom.llm.graph import components
 
 WORDS, PERCENT, SAMPLE, FREQUENT, LIGHTEST, LIGHT_MOST, VERIFY, STARS, BLOCK = 4, 85, 10_000, 8, 6, 20, 20, 2, 256
@@ -153,6 +153,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, per
     sent = docs.sparkSession.sparkContext.broadcast((boundary(length, percent), frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         (light, frequent), shingler = sent.value, Shingler(words)
         for batch in batches:
             for part in in_parts(batch, 1, 1_000_000):

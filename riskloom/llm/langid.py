@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import fresh, in_parts, in_share, kind_of, sample_share
+from riskloom.llm.common import forget, fresh, in_parts, in_share, kind_of, sample_share
 
-WIDTH, SEED, BOUND, CACHED, GROUP, UNKNOWN = 512, 7, 4_000, 60_000, 256, "und"
+WIDTH, SEED, BOUND, CACHED, GROUP, UNKNOWN = 512, 7, 4_000, 60_000, 128, "und"
 
 
 @lru_cache(maxsize=1)
@@ -94,6 +94,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, bound: i
         chosen = chosen | ((F.col(lang_col) == lang) & in_share(id_col, part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sums, bundler = {}, Bundler()
         for batch in batches:
             for part in in_parts(batch, 0, 300_000):
@@ -119,6 +120,7 @@ def predict(docs: DataFrame, text_col: str, model: tuple[list[str], np.ndarray],
     others = [c for c in keep if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         (langs, prototypes), bundler = sent.value, Bundler()
         for batch in batches:
             for part in in_parts(batch, 0, 300_000):

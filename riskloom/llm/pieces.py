@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, kind_of
+from riskloom.llm.common import in_parts, kept, kind_of
 
 NONE = np.iinfo(np.int32).max
 #: Codes from here on are characters that are in no piece.
@@ -303,14 +303,9 @@ def utf8(raw: bytes) -> str:
     return raw.decode(errors="each byte")
 
 
-#: The tables that a Python worker has read, by path.
-_KEPT: dict[str, Pieces] = {}
-
-
 def tables(path: str) -> Pieces:
-    if path not in _KEPT:
-        _KEPT[path] = Pieces(path)
-    return _KEPT[path]
+    """The tables of a model, read once in a Python worker."""
+    return kept(f"pieces {path}", lambda: Pieces(path))
 
 
 def encoded(pieces: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
