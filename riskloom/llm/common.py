@@ -1,6 +1,7 @@
 """Small helpers shared by the operators of this subpackage."""
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the shared checkpoint folder; only without that setting (tests) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    """A new folder name in the shared checkpoint folder; only in local mode (tests) is that setting not needed."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -42,10 +47,11 @@ _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: the rows go to a Parquet table in the shared folder and are read from there."""
+    """Cuts the lineage: the rows go to a Parquet table in the shared folder and are read from there, until the application ends."""
     path = scratch(df.sparkSession, tag)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
+    _located(df.sparkSession, path, lambda files, place: files.deleteOnExit(place))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
@@ -54,8 +60,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing reads any more."""
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _located(table.sparkSession, _PATHS.pop(table), lambda files, place: files.delete(place, True))
+
+
+def _located(spark: SparkSession, path: str, act: Callable[[object, object], object]) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    act(place.getFileSystem(spark._jsc.hadoopConfiguration()), place)
 
 
 def release(spark: SparkSession) -> None:

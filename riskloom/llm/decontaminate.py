@@ -5,13 +5,15 @@ item. Patterns of one length share a scanner: the last two words under it name a
 scanner may jump, and where it may not jump the bucket of that suffix block, then the first word, select the patterns that a
 direct comparison confirms.
 
-The patterns of one pass are bounded: items are dealt to as many passes as their text needs at ``PASS_BYTES`` each, and
-every row carries its hits from pass to pass, so each row gives one row whatever its id. Defined results: null text has no words and no hits; an item without words
-has no pattern; repeated items all count; items without an
-id count as one item, a null at the end of ``items``; ``contaminated`` needs a hit and a twentieth of the words hit.
+The patterns of one pass are bounded: items are dealt to as many passes as their text needs at ``PASS_BYTES`` each. Where one
+pass does not do, the texts are written once, each row with a number; a pass reads them and writes only the rows that it hits,
+which meet by number in the end, so each row gives one row whatever its id. Defined results: null text has no words and no hits;
+an item without words has no pattern; repeated items all count; items without an id count as one item, a null at the end of
+``items``; ``contaminated`` needs a hit and a twentieth of the words hit.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from uuid import uuid4
 
 import pyarrow as pa
@@ -90,41 +92,48 @@ def _built(name: str, items: list[tuple[str | None, str]], window: int) -> list[
     return _BUILT[name]
 
 
-def _pass(rows: DataFrame, sent: Broadcast, window: int) -> DataFrame:
-    """rows: _id, _text, n_words, hits, items; adds the hits of some items (sent: a name and the items)."""
+def _pass(rows: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
+    """rows: some columns, then the text; returns these columns with ``n_words``, ``hits`` and ``items``, and what was sent to the tasks."""
+    sent = rows.sparkSession.sparkContext.broadcast((uuid4().hex, [tuple(r) for r in items.collect()]))
+    *kept, text = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _built(*sent.value, window)
         for batch in batches:
-            for part in in_parts(batch, 1, 4_000_000):
+            for part in in_parts(batch, len(kept), 4_000_000):
                 sizes, hits, names = [], [], []
-                for text, before, known in zip(*(part.column(i).to_pylist() for i in (1, 3, 4))):
-                    words, hit, found = words_of(text), set(before), set(known)
+                for own in part.column(len(kept)).to_pylist():
+                    words, hit, found = words_of(own), set(), set()
                     for table in tables:
                         table.scan(words, hit, found)
                     sizes.append(len(words)), hits.append(sorted(hit)), names.append(sorted(found - {None}) + [None] * (None in found))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=part.schema.names)
+                told = [pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *told], names=[*kept, "n_words", "hits", "items"])
 
-    return rows.mapInArrow(run, f"_id {kind_of(rows, '_id')}, _text string, n_words bigint, hits array<int>, items array<string>")
+    shape = [*(f"{c} {kind_of(rows, c)}" for c in kept), "n_words bigint", "hits array<int>", "items array<string>"]
+    return rows.mapInArrow(run, ", ".join(shape)), sent
 
 
 def find_items(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text_col: str, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """id, ``n_words``, ``hits`` (positions of hit words) and ``items`` (ids of occurring items) of every row of documents."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     passes = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // pass_bytes
-    none = F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), *none)
-    deal = F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(passes))
-    for k in range(passes):
-        sent = docs.sparkSession.sparkContext.broadcast((uuid4().hex, [tuple(r) for r in items.where(deal == k).collect()]))
-        made = _pass(rows, sent, window)
-        if k < passes - 1:  # driver and tasks hold the patterns of one pass at a time
-            made = written(made, "pass")
+    own, text = F.col(id_col).alias("_id"), F.col(text_col).alias("_text")
+    if passes == 1:
+        found = _pass(docs.select(own, text), items, window)[0]
+    else:
+        texts = written(docs.select(own, F.monotonically_increasing_id().alias("_row"), text), "texts")
+        deal = F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(passes))
+        parts = []
+        for k in range(passes):  # driver and tasks hold the patterns of one pass at a time
+            made, sent = _pass(texts if k == 0 else texts.select("_row", "_text"), items.where(deal == k), window)
+            parts.append(written(made if k == 0 else made.where(F.size("hits") > 0).drop("n_words"), "pass"))
             sent.destroy()
-        if 0 < k < passes - 1:
-            discard(rows)
-        rows = made
-    return rows.select(F.col("_id").alias(id_col), "n_words", "hits", "items")
+        discard(texts)
+        more = reduce(DataFrame.unionAll, parts[1:]).groupBy("_row").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("hits", "items")))
+        told = (F.array_sort(F.array_distinct(F.when(F.col(f"more_{c}").isNull(), F.col(c)).otherwise(F.concat(c, f"more_{c}")))).alias(c) for c in ("hits", "items"))
+        found = parts[0].join(more, "_row", "left").select("_id", "n_words", *told)
+    return found.select(F.col("_id").alias(id_col), "n_words", "hits", "items")
 
 
 def is_contaminated() -> Column:
