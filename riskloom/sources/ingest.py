@@ -1,5 +1,6 @@
 """Sources and sinks besides plain tables: JSON lines, change streams, logs and report files."""
 
+import re
 import tempfile
 import uuid
 
@@ -8,15 +9,22 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder in the shared checkpoint folder, or a local one where that setting is absent."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    """A new folder in the shared checkpoint folder; a local one only in local mode without that setting, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def held(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: the rows as a table in the shared folder, read from there."""
-    path = scratch(df.sparkSession, tag)
+    """Cuts the lineage: the rows as a table in the shared folder, read from there and deleted when the application ends."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
