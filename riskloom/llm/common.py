@@ -1,5 +1,6 @@
 """Small helpers shared by the operators of this subpackage."""
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -94,14 +95,19 @@ _KEPT: dict[str, object] = {}
 def kept(key: str, make: Callable[[], object]) -> object:
     """The tables under a key, made when first asked for; those of any other key go."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def forget() -> None:
-    """Frees what an earlier operator keeps, for one that needs the worker's memory and keeps nothing."""
-    _KEPT.clear()
+    """Frees what an earlier operator keeps, for one that needs the worker's memory, and hands free pages back to the system."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def fold_of(id_col: str, folds: int = 5) -> Column:

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import beside, discard, fresh, in_parts, kind_of, written
+from riskloom.llm.common import beside, discard, fresh, in_parts, kept, kind_of, written
 
 WINDOW, PASS_BYTES = 13, 4_000_000
 #: A-Z become a-z; digits, letters and all bytes from 128 on stay; the rest separates words.
@@ -81,36 +81,26 @@ def scanners(items: list[tuple[str | None, str | None]], window: int = WINDOW) -
     return [Scanner(length, own) for length, own in by_length.items()]
 
 
-_BUILT: dict[str, list[Scanner]] = {}
-
-
-def _built(name: str, items: list[tuple[str | None, str]], window: int) -> list[Scanner]:
-    """The tables of one pass, built once in a worker."""
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = scanners(items, window)
-    return _BUILT[name]
-
-
 def _pass(rows: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, Broadcast]:
     """rows: some columns, then the text; returns these columns with ``n_words``, ``hits`` and ``items``, and what was sent to the tasks."""
     sent = rows.sparkSession.sparkContext.broadcast((uuid4().hex, [tuple(r) for r in items.collect()]))
-    *kept, text = rows.columns
+    *others, text = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _built(*sent.value, window)
+        name, own_items = sent.value
+        tables = kept(name, lambda: scanners(own_items, window))  # built once in a worker
         for batch in batches:
-            for part in in_parts(batch, len(kept), 4_000_000):
+            for part in in_parts(batch, len(others), 4_000_000):
                 sizes, hits, names = [], [], []
-                for own in part.column(len(kept)).to_pylist():
+                for own in part.column(len(others)).to_pylist():
                     words, hit, found = words_of(own), set(), set()
                     for table in tables:
                         table.scan(words, hit, found)
                     sizes.append(len(words)), hits.append(sorted(hit)), names.append(sorted(found - {None}) + [None] * (None in found))
                 told = [pa.array(sizes, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *told], names=[*kept, "n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *told], names=[*others, "n_words", "hits", "items"])
 
-    shape = [*(f"{c} {kind_of(rows, c)}" for c in kept), "n_words bigint", "hits array<int>", "items array<string>"]
+    shape = [*(f"{c} {kind_of(rows, c)}" for c in others), "n_words bigint", "hits array<int>", "items array<string>"]
     return rows.mapInArrow(run, ", ".join(shape)), sent
 
 
