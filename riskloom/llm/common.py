@@ -71,10 +71,18 @@ def _located(spark: SparkSession, path: str, act: Callable[[object, object], obj
 
 def release(spark: SparkSession) -> None:
     """After a large step: files of its shuffles stay on the executors until the driver collects the plans that made them."""
-    gc.collect()
+    _give_back()
     spark._jvm.System.gc()
 
 
+def _give_back() -> None:
+    """What this process no longer uses goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}
@@ -104,10 +112,7 @@ def forget() -> None:
     """Frees what an earlier operator keeps, for one that needs the worker's memory, and hands free pages back to the system."""
     if _KEPT:
         _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        _give_back()
 
 
 def fold_of(id_col: str, folds: int = 5) -> Column:
