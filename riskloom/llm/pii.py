@@ -4,7 +4,7 @@ Everything is a DataFrame or SQL expression over the whole text. A generator's s
 its pattern and the gaps between them, whose running lengths are the offsets in code points. The strict generators with
 their checks are the base spans and always stay. The loose generators propose further, overlapping spans, also of secrets
 (keys, tokens), for which there is no strict form; gradient-boosted trees choose among them. The trees learn from the
-candidates of at most about ``DOCUMENTS`` documents (and ``TRAINING`` candidates), whose weak labels come from what the
+candidates of all documents (a fifth of the ids is held out for the thresholds), whose weak labels come from what the
 features do not see: a base span, or a part of one of the same kind (the national part of a phone number), or a secret after a
 word such as token or password. Other candidates are unlabelled, not negative: the trees' probability of a label is divided by
 its mean over held-out labelled candidates of the kind (Elkan and Noto), and each kind's threshold is the lowest at which the
@@ -25,10 +25,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import fold_of, fresh, in_share, sample_share, written
+from riskloom.llm.common import fold_of, fresh, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-DOCUMENTS, TRAINING, TREES, DEPTH, PRECISION = 10_000, 20_000, 8, 3, 0.9
+TREES, DEPTH, PRECISION = 8, 3, 0.9
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Strict patterns; an anchor at a run's start gives the leftmost match without retrying inside the run.
 STRICT = {
@@ -145,12 +145,11 @@ def fit(spans: DataFrame) -> tuple[str, str] | None:
     labelled = f"concat(transform(_base, c -> named_struct('c', c, 'y', 1D)), {', '.join(near)}, {cued})"
     rows = spans.where("size(_base) + size(_loose) > 0").select("id", F.explode(F.expr(labelled)).alias("e")).select("id", "e.c", "e.y")
     data = written(rows.select("id", (fold_of("id") == 0).alias("held"), "y", *(F.expr(f"cast({e} as double)").alias(f"f{i}") for i, e in enumerate(FEATURES.values()))), "pii")
-    data = data.where(in_share("id", sample_share(data.count(), TRAINING)))
     data = VectorAssembler(inputCols=[f"f{i}" for i in range(len(FEATURES))], outputCol="features").transform(data)
     sizes = {row[0]: row[1] for row in data.where("not held").groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
-    model = GBTClassifier(labelCol="y", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(data.where("not held").coalesce(4))
+    model = GBTClassifier(labelCol="y", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(data.where("not held"))
     margin = " + ".join(f"{w}D * {_tree(t.toDebugString.splitlines()[1:])}" for w, t in zip(model.treeWeights, model.trees))
     struct = ", ".join(f"'f{i}', cast({e} as double)" for i, e in enumerate(FEATURES.values()))
     probability = f"element_at(transform(array(named_struct({struct})), x -> 1 / (1 + exp(-2 * ({margin})))), 1)"
@@ -174,8 +173,7 @@ def find(docs: DataFrame, id_col: str, text_col: str, base: str = "_base", spans
     """The given columns with ``base`` and ``spans``: all spans in order of kind, then start."""
     loose = fresh(docs, "_loose")
     found = candidates(docs, text_col, base, loose)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(in_share("id", sample_share(docs.count(), DOCUMENTS), 23))
-    model = fit(candidates(sample, "text").select("id", "_base", "_loose"))
+    model = fit(candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "_base", "_loose"))
     if model is None:
         return found.withColumn(spans, F.col(base)).drop(loose)
     chosen = f"array_sort(filter(`{loose}`, c -> not c.met and {model[0]} >= {model[1]}), (a, b) -> case when a.start <> b.start then a.start - b.start when a.end <> b.end then b.end - a.end else a.kind - b.kind end)"
