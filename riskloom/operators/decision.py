@@ -226,12 +226,15 @@ def resolve_variables(df: DataFrame, key: str, sources: list[DataFrame], definit
 
 
 def dependency_closure(edges: DataFrame) -> DataFrame:
-    """(variable, needs) for all direct and indirect dependencies, each pair once; only new pairs are extended, so cycles end."""
+    """(variable, needs) for all direct and indirect dependencies, each pair once; only new pairs are extended, so cycles end.
+
+    The tables of a round are joined by merging: broadcast, round after round, they would all pass through the driver.
+    """
     edges = held(edges.select("variable", "needs").distinct(), "edges")
     found = new = edges
     while True:
-        steps = new.join(edges.select(F.col("variable").alias("needs"), F.col("needs").alias("far")), "needs").select("variable", F.col("far").alias("needs")).distinct()
-        new = held(steps.join(found, ["variable", "needs"], "left_anti"), "edges")
+        steps = new.join(edges.select(F.col("variable").alias("needs"), F.col("needs").alias("far")).hint("merge"), "needs").select("variable", F.col("far").alias("needs")).distinct()
+        new = held(steps.join(found.hint("merge"), ["variable", "needs"], "left_anti"), "edges")
         if new.isEmpty():
             return found
         found = found.union(new)

@@ -130,14 +130,14 @@ def neighbours(edges: DataFrame, node: str, down: bool = True) -> DataFrame:
 
 
 def lineage_closure(edges: DataFrame, node: str, down: bool = True) -> DataFrame:
-    """All nodes reachable from a node, with the distance; a visited node is not entered again, so cycles end."""
+    """All nodes reachable from a node, with the distance; a visited node is not entered again, so cycles end. Joins merge, so no level passes through the driver."""
     own, other = ("src", "dst") if down else ("dst", "src")
     links = held(edges.select(F.col(own).alias("node"), F.col(other).alias("next")).distinct(), "edges")
     seen = new = edges.sparkSession.createDataFrame([(node,)], "node string")
     out, depth = None, 0
     while True:
         depth += 1
-        new = held(links.join(new, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"), "level")
+        new = held(links.join(new.hint("merge"), "node").select(F.col("next").alias("node")).distinct().join(seen.hint("merge"), "node", "left_anti"), "level")
         level, seen = new.withColumn("depth", F.lit(depth)), seen.union(new)
         if out is not None and new.isEmpty():
             return out
