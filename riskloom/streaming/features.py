@@ -70,43 +70,69 @@ def milliseconds(spark: SparkSession, interval: str) -> int:
 
 
 class ClosedWindows(StatefulProcessor):
-    """Keeps a key's closed panes (start in ms, count, sum) and gives the windows that the watermark has passed."""
+    """Keeps the closed panes (key, start in ms, count, sum) of a bucket of keys and gives the windows that the watermark has passed,
+    as runs: the windows of a key that end from ``low`` to ``high`` and hold the same panes."""
 
-    def __init__(self, key: str, size: int, slide: int):
-        self.key, self.size, self.slide = key, size, slide
+    def __init__(self, size: int, slide: int):
+        self.size, self.slide = size, slide
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.panes = handle.getValueState("panes", "start array<bigint>, n array<bigint>, total array<double>, last bigint")
+        self.panes = handle.getValueState("panes", "key array<string>, start array<bigint>, n array<bigint>, total array<double>, last bigint")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        yield self.closed(key, [f for f in rows if len(f)], timerValues.getCurrentWatermarkInMs())
+        yield self.closed([f for f in rows if len(f)], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        yield self.closed(key, [], timerValues.getCurrentWatermarkInMs())
+        yield self.closed([], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
-    def closed(self, key: tuple, got: list[pd.DataFrame], watermark: int) -> pd.DataFrame:
-        size, slide = self.size, self.slide
-        start, n, total, last = self.panes.get() if self.panes.exists() else ([], [], [], None)
-        start, n, total = (np.concatenate([np.array(old, kind), *(f[c].to_numpy(kind) for f in got)]) for old, c, kind in ((start, "pane", np.int64), (n, "n", np.int64), (total, "total", np.float64)))
-        order = np.argsort(start, kind="stable")
-        start, n, total = start[order], n[order], total[order]
-        upto = watermark // slide * slide
-        last = last if last is not None else int(start[0]) if len(start) else upto
-        ends = np.arange(last + slide, upto + 1, slide)
-        low, high = np.searchsorted(start, ends - size), np.searchsorted(start, ends - slide, side="right")
-        counts, sums = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(total)])
-        keep = start >= upto + slide - size  # some later window has them
+    def closed(self, got: list[pd.DataFrame], watermark: int) -> pd.DataFrame:
+        upto = watermark // self.slide * self.slide
+        key, start, n, total, last = self.panes.get() if self.panes.exists() else ([], [], [], [], None)
+        if not got and (last is None or upto <= last):  # the rows of this batch came first
+            return runs_of(*(np.array([], kind) for kind in (object, np.int64, np.int64, np.float64)), 0, None, self.size, self.slide, upto)
+        known = len(key)
+        key, start, n, total = (np.concatenate([np.array(old, kind), *(f[c].to_numpy(kind) for f in got)]) for old, c, kind in ((key, "key", object), (start, "pane", np.int64), (n, "n", np.int64), (total, "total", np.float64)))
+        out = runs_of(key, start, n, total, known, last, self.size, self.slide, upto)
+        keep = start >= upto + self.slide - self.size  # some later window has them
         if keep.any():
-            self.panes.update((start[keep].tolist(), n[keep].tolist(), total[keep].tolist(), max(upto, last)))
-            self.handle.registerTimer(max(upto, last) + slide - 1)
+            last = upto if last is None else max(upto, last)
+            self.panes.update((key[keep].tolist(), start[keep].tolist(), n[keep].tolist(), total[keep].tolist(), last))
+            self.handle.registerTimer(last + self.slide - 1)
         else:
             self.panes.clear()
-        out = pd.DataFrame({self.key: key[0], "window_start": ends - size, "window_end": ends, "n": counts[high] - counts[low], "total": sums[high] - sums[low]})
-        return out[out["n"] > 0]
+        return out
+
+
+def runs_of(key: np.ndarray, start: np.ndarray, n: np.ndarray, total: np.ndarray, known: int, last: int | None, size: int, slide: int, upto: int) -> pd.DataFrame:
+    """key, low, high, n and total of the windows with panes that end by ``upto``; those of the first ``known`` panes' keys only if they end after ``last``.
+
+    A key's windows change where a pane enters (the end of the first window that holds it) and where it leaves; from one change to
+    the next they hold the same panes, whose sums are taken apart for each run."""
+    code, names = pd.factorize(key)
+    since = np.full(len(names), np.iinfo(np.int64).min)
+    since[code[:known]] = last if known else 0
+    order = np.lexsort((start, code))
+    code, start, n, total = (x[order] for x in (code, start, n, total))
+    at, who = np.concatenate([start + slide, start + size + slide]), np.concatenate([code, code])
+    order = np.lexsort((at, who))
+    at, who = at[order], who[order]
+    same = who[1:] == who[:-1]
+    low, high, who = np.maximum(at[:-1], since[who[:-1]] + slide), np.minimum(at[1:] - slide, upto), who[:-1]
+    some = same & (low <= high)
+    low, high, who = low[some], high[some], who[some]
+    base = start.min() if len(start) else 0
+    width = (start.max() - base) // slide + size // slide + 2 if len(start) else 1
+    place = code * width + (start - base) // slide
+    begin = np.searchsorted(place, who * width + np.maximum((low - size - base) // slide, 0))
+    end = np.searchsorted(place, who * width + (low - slide - base) // slide, side="right")
+    ends = np.column_stack([begin, end]).ravel()
+    counts, sums = (np.add.reduceat(np.append(x, x.dtype.type(0)), ends)[::2] if len(ends) else x[:0] for x in (n, total))
+    full = begin < end
+    return pd.DataFrame({"key": names[who[full]], "low": low[full], "high": high[full], "n": counts[full], "total": sums[full]})
 
 
 @contextmanager
@@ -121,21 +147,24 @@ def large_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def sliding_stream(df: DataFrame, key: str, at: str, size: str, slide: str, amount: str | None = None) -> DataFrame:
+def sliding_stream(df: DataFrame, key: str, at: str, size: str, slide: str, amount: str | None = None, buckets: int = 512) -> DataFrame:
     """Stream form, in append mode: a window's row comes when the watermark of ``at`` has passed its end. Start it within ``large_state``.
 
     Two stateful steps. The first keeps open panes and gives them on when they close; an event whose pane has closed is late and
-    dropped. The second keeps each key's closed panes of the last ``size`` and, woken by the watermark, gives all windows that
-    ended since, by differences of running sums. Panes that no later window has are dropped, and with the last the key's state.
-    The state so holds a value for each pane with events, not one for each of the ``size / slide`` windows that an event is in.
+    dropped. The second keeps the closed panes of the last ``size`` and, woken by the watermark, gives all windows that ended
+    since, as runs of windows with the same panes, which Spark expands. Panes that no later window has are dropped. Its state is
+    held for buckets of keys, since a call and a state for each key cost far more than the key's panes; the number of buckets
+    stays as it began. The state so holds a value for each pane with events, not one for each of the ``size / slide`` windows.
     """
     size_, slide_ = (milliseconds(df.sparkSession, x) for x in (size, slide))
     if size_ % slide_:
         raise ValueError("the size is a multiple of the slide")
-    panes = panes_of(df, key, at, slide, amount).select(key, F.window_time("window").alias("closed_at"), F.unix_millis("window.start").alias("pane"), "n", F.col("total").cast("double").alias("total"))
-    kind = df.schema[key].dataType.simpleString()
-    rows = panes.groupBy(key).transformWithStateInPandas(ClosedWindows(key, size_, slide_), f"`{key}` {kind}, window_start long, window_end long, n long, total double", "Append", "EventTime")
-    return rows.select(key, *(F.timestamp_millis(c).alias(c) for c in ("window_start", "window_end")), "n", *(["total"] if amount else []))
+    panes = panes_of(df, key, at, slide, amount).select(F.to_json(F.struct(F.col(key).alias("k"))).alias("key"), F.window_time("window").alias("closed_at"), F.unix_millis("window.start").alias("pane"), "n", F.col("total").cast("double").alias("total"))
+    dealt = panes.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    runs = dealt.groupBy("bucket").transformWithStateInPandas(ClosedWindows(size_, slide_), "key string, low long, high long, n long, total double", "Append", "EventTime")
+    told = runs.select(F.from_json("key", StructType([StructField("k", df.schema[key].dataType)]))["k"].alias(key), "low", "high", "n", "total")
+    rows = told.select(key, F.explode(F.sequence("low", "high", F.lit(slide_))).alias("_end"), "n", "total")
+    return rows.select(key, F.timestamp_millis(F.col("_end") - size_).alias("window_start"), F.timestamp_millis("_end").alias("window_end"), "n", *(["total"] if amount else []))
 
 
 def rolling_feature(df: DataFrame, key: str, at: str, days: int, amount: str, block_hours: int = 24) -> DataFrame:
