@@ -11,7 +11,7 @@ one and read only the files that it names. Files that no kept version names, suc
 Everything is DataFrame work. A merged file gets only whole shards, so its size is bounded by the target plus one shard, and no
 key or source decides where rows go. Paths of files reach the driver, as they do in any scan of files; rows do not. Defined
 results: an empty table commits a manifest without rows; repeated rows, null ids and null texts of any length are kept as they
-are; a shard at the target or more is left alone, as is a tier with few shards and a bin of one shard; columns may have any
+are; a shard of half the target or more is left alone, as is a tier with few shards and a bin of one shard; columns may have any
 names: facts of files stand beside the rows in one struct column whose name the rows do not have (``facts``).
 """
 
@@ -122,7 +122,9 @@ def compact(spark: SparkSession, root: str, id_col: str, schema: StructType, tar
     """Merges the crowded tiers of the newest version into new files and commits the next version. Returns it; None without
     anything to merge. Raises FileExistsError where another writer committed meanwhile: its version stands, nothing is lost."""
     version, folder = versions(spark, root)[-1], uuid.uuid4().hex
-    before, bins = manifest_of(spark, root, version), written(plan(manifest_of(spark, root, version), target_bytes), "bins")
+    # a merged file is smaller than the shards it is made of: were it to reach the target to be full, its rows would be written again and again
+    before, small = manifest_of(spark, root, version), F.col("shard_bytes") < target_bytes / 2
+    bins = written(plan(before.where(small), target_bytes), "bins")
     try:
         many = bins.select("bin").distinct().count()
         if not many:
