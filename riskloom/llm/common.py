@@ -78,11 +78,25 @@ def release(spark: SparkSession) -> None:
 def _give_back() -> None:
     """What this process no longer uses goes back to the system."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A step whose worker hands free pages back when a task ends: it waits beside an executor that may need them."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _trim()
+
+    return told
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}

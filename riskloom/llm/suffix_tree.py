@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from riskloom.llm.common import discard, in_parts, kind_of, release, written
+from riskloom.llm.common import discard, giving_back, in_parts, kind_of, release, written
 
 LEAST, MOST, HOT, BITS, ROOM, DISCOUNT, DIVERGENCE = 2, 200_000, 500_000, 1 << 28, 1_000_000, 0.5, 8.0
 P1, P2 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
@@ -186,6 +186,30 @@ def _slices(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tu
         yield int(to[i]), *(_planes(x[..., i:j]) for x in columns)
 
 
+def _joined(held: list[np.ndarray]) -> np.ndarray:
+    """Arrays of equal first dimension side by side; the list is emptied on the way, so they are held about once."""
+    out, at = np.empty((held[0].shape[0], sum(x.shape[1] for x in held)), held[0].dtype), 0
+    held.reverse()
+    while held:
+        own = held.pop()
+        out[:, at : at + own.shape[1]] = own
+        at += own.shape[1]
+    return out
+
+
+def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of some MB: a batch is held by the worker and the executor at once."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds.values())], names=list(kinds))
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds.values())], names=list(kinds))
+
+
 def _filter(keys: DataFrame) -> np.ndarray:
     """Bits that are set at two places of every key: all keys pass ``_passes``, and few others while the bits suffice."""
     bits = 1 << 16
@@ -260,42 +284,49 @@ def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
                     kept[at] = _passes(allowed.value, hashed(ids[at - 1], ids[at]))
                     at = at[place[at] >= 2]
                 at = at[kept[at] & kept[at - 1]]
-                held.append([ids[at - k] for k in reversed(range(order + 1))])
+                held.append(np.stack([ids[at - k] for k in reversed(range(order + 1))]))
                 waiting += len(at)
                 if waiting > 1_000_000:
-                    yield dealt(held)
-                    held, waiting = [], 0
+                    yield from dealt(held)
+                    waiting = 0
         if waiting:
-            yield dealt(held)
+            yield from dealt(held)
 
-    def dealt(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        words = np.stack([np.concatenate(x) for x in zip(*held)])
+    def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words = _joined(held)
         keys, first, counts = np.unique(hashed(*words).view(np.uint64), return_index=True, return_counts=True)
-        columns = zip(*_slices(keys, buckets, words[:, first], counts.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "words", "times"])
+        words, counts = words[:, first], counts.astype(np.int32)
+        del first
+        yield from _batches(_slices(keys, buckets, words, counts), {"bucket": pa.int64(), "words": pa.binary(), "times": pa.binary()})
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, own = None, [], []
         for batch in batches:
-            for bucket, words, times in zip(*(x.to_pylist() for x in batch.columns)):
-                if held and bucket != at:
-                    yield counted(held)
-                    held = []
-                at = bucket
-                held.append((_numbers(words).reshape(order + 1, -1), _numbers(times, np.int32)))
+            for bucket, words, times in zip(*batch.columns):
+                if held and bucket.as_py() != at:
+                    yield from counted(held, own)
+                at = bucket.as_py()
+                held.append(_numbers(words.as_buffer()).reshape(order + 1, -1))
+                own.append(_numbers(times.as_buffer(), np.int32).reshape(1, -1))
         if held:
-            yield counted(held)
-
-    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        words, times = np.concatenate([x for x, _ in held], 1), np.concatenate([x for _, x in held])
-        _, first, own = np.unique(hashed(*words), return_index=True, return_inverse=True)
-        n = np.bincount(own, times).astype(np.int64)
-        words = words[:, first[n >= LEAST]]
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in words), pa.array(n[n >= LEAST])], names=[*names, "n"])
+            yield from counted(held, own)
+
+    def counted(held: list[np.ndarray], own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, times = _joined(held), _joined(own)[0]
+        keys = hashed(*words)
+        turn = np.argsort(keys, kind="stable")
+        keys = keys[turn]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        del keys
+        n = np.add.reduceat(times[turn], starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        words, n = words[:, turn[starts[n >= LEAST]]], n[n >= LEAST]
+        del turn, starts, times
+        for i in range(0, len(n), 50_000):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[i : i + 50_000]) for x in words), pa.array(n[i : i + 50_000])], names=[*names, "n"])
 
     names = ["a", "b", "c"][2 - order :]
-    dealt_out = lists.mapInArrow(run, "bucket bigint, words binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt_out.mapInArrow(merged, ", ".join(f"{x} bigint" for x in [*names, "n"]))
+    dealt_out = lists.mapInArrow(giving_back(run), "bucket bigint, words binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt_out.mapInArrow(giving_back(merged), ", ".join(f"{x} bigint" for x in [*names, "n"]))
 
 
 def _states(grams: DataFrame, context: list[str]) -> DataFrame:
@@ -503,20 +534,22 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names=[*SLICE, *STATS])
                 if waiting > 1_000_000:
-                    yield packed(asked, 1)
-                    asked, waiting = [], 0
+                    yield from packed(asked, 1)
+                    waiting = 0
         if waiting:
-            yield packed(asked, 1)
+            yield from packed(asked, 1)
 
-    def packed(held: list[tuple[np.ndarray, np.ndarray]], kind: int) -> pa.RecordBatch:
+    def packed(held: list[tuple[np.ndarray, np.ndarray]], kind: int) -> Iterator[pa.RecordBatch]:
         """Slices by bucket: keys with the rows that ask for them (kind 1), or with their values (kind 0)."""
         keys, own = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         order = np.argsort(keys.view(np.uint64))
-        keys = keys.view(np.uint64)[order]
-        to, *planes = list(zip(*_slices(keys, buckets, keys, own[order]))) or [(), (), ()]
-        n = len(to)
-        empty = [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), *(pa.nulls(n, pa.float64()) for _ in range(2)), pa.nulls(n, pa.map_(pa.binary(), pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([kind] * n, pa.int64()), *(pa.array(x, pa.binary()) for x in planes), *empty], names=[*SLICE, *STATS])
+        keys, own = keys.view(np.uint64)[order], own[order]
+        del order
+        for batch in _batches(_slices(keys, buckets, keys, own), {"bucket": pa.int64(), "keys": pa.binary(), "own": pa.binary()}):
+            n = batch.num_rows
+            empty = [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), *(pa.nulls(n, pa.float64()) for _ in range(2)), pa.nulls(n, pa.map_(pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind] * n, pa.int64()), *batch.columns[1:], *empty], names=[*SLICE, *STATS])
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
@@ -524,10 +557,10 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
             waiting += batch.num_rows
             if waiting > 1_000_000:
-                yield packed(held, 0)
-                held, waiting = [], 0
+                yield from packed(held, 0)
+                waiting = 0
         if waiting:
-            yield packed(held, 0)
+            yield from packed(held, 0)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of texts as they are, and for rows that ask in a bucket the sum of what they get there (``more``)."""
@@ -560,7 +593,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
     kinds = f"id {kind_of(docs, id_col)}, row bigint, n_tokens bigint, hot bigint, base double, full double, rare map<binary,bigint>"
     shape = f"bucket bigint, kind bigint, keys binary, own binary, {kinds}"
     known = tree.values.select("key", "value").mapInArrow(valued, shape)
-    told = rows.mapInArrow(run, shape).unionAll(known).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answered, f"{kinds}, more double")
+    told = rows.mapInArrow(giving_back(run), shape).unionAll(known).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(giving_back(answered), f"{kinds}, more double")
     told = written(told, "scores")
     sent.destroy()
     release(docs.sparkSession)
