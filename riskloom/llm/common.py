@@ -31,9 +31,9 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.exec
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """``BATCH`` while something is written."""
-    bounds = BATCH | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+def small_batches(spark: SparkSession, rows: int = 1_000, scanned: int | None = None) -> Iterator[None]:
+    """``BATCH`` while something is written; ``scanned`` bounds the rows that a scan decodes at once."""
+    bounds = BATCH | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} | ({"spark.sql.parquet.columnarReaderBatchSize": str(scanned)} if scanned else {})
     before = {k: spark.conf.get(k) for k in bounds}
     try:
         for k, v in bounds.items():
@@ -47,10 +47,11 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
 _PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: the rows go to a Parquet table in the shared folder and are read from there, until the application ends."""
+def written(df: DataFrame, tag: str, scanned: int | None = None) -> DataFrame:
+    """Cuts the lineage: the rows go to a Parquet table in the shared folder and are read from there, until the application ends.
+    ``scanned``: for input of few, large rows, how many a scan decodes at once."""
     path = scratch(df.sparkSession, tag)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, scanned=scanned):
         df.write.parquet(path)
     _located(df.sparkSession, path, lambda files, place: files.deleteOnExit(place))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -78,13 +79,14 @@ def release(spark: SparkSession) -> None:
 def _give_back() -> None:
     """What this process no longer uses goes back to the system."""
     gc.collect()
-    _trim()
+    trim()
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Free pages go back to the system."""
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    if freed := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        freed(0)
 
 
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
@@ -92,7 +94,7 @@ def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        _trim()
+        trim()
 
     return told
 

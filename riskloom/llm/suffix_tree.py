@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from riskloom.llm.common import discard, giving_back, in_parts, kind_of, release, written
+from riskloom.llm.common import discard, giving_back, in_parts, kind_of, release, trim, written
 
 LEAST, MOST, HOT, BITS, ROOM, DISCOUNT, DIVERGENCE = 2, 200_000, 500_000, 1 << 28, 1_000_000, 0.5, 8.0
 P1, P2 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
@@ -119,7 +119,7 @@ def _counts(docs: DataFrame, text_col: str) -> DataFrame:
                 _, first, n = np.unique(lines.hash, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lines.words(first), pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(giving_back(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Numbers:
@@ -130,23 +130,39 @@ class Numbers:
         order = np.argsort(hashes)
         self.hashes, self.places = hashes[order], np.array(list(known.values()), np.int64)[order]
 
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "places": self.places}
+
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash and its place for each slot of the low bits: of several the lowest place, others are searched. Each worker makes its own."""
+        order = np.argsort(-self.places, kind="stable")
+        size = 1 << (2 * len(self.hashes)).bit_length()
+        at = (self.hashes[order] & np.uint64(size - 1)).view(np.int64)
+        hashes, places = np.full(size, self.hashes[0]), np.full(size, self.places[0], np.int32)
+        hashes[at], places[at] = self.hashes[order], self.places[order]
+        return hashes, places
+
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = (hashes | np.uint64(1 << 63)).view(np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            met = self.hashes[at] == hashes
-            out[met] = self.places[at[met]]
+        if not len(self.hashes):
+            return (hashes | np.uint64(1 << 63)).view(np.int64)
+        kept, places = self.slots
+        at = (hashes & np.uint64(len(kept) - 1)).view(np.int64)
+        out, missed = places[at].astype(np.int64), np.flatnonzero(kept[at] != hashes)
+        others = hashes[missed]
+        at = np.minimum(np.searchsorted(self.hashes, others), len(self.hashes) - 1)
+        out[missed] = np.where(self.hashes[at] == others, self.places[at], (others | np.uint64(1 << 63)).view(np.int64))
         return out
 
 
-def hashed(*columns: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of bigint columns."""
+def hashed(*columns: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Spark's xxhash64 of bigint columns; ``first`` is that of columns before these."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
     def turned(x: np.ndarray, by: int) -> np.ndarray:
         return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-    out = np.full(len(columns[0]), 42, np.uint64)
+    out = np.full(len(columns[0]), 42, np.uint64) if first is None else first.view(np.uint64)
     for column in columns:
         out = (out + p5 + np.uint64(8)) ^ (turned(column.view(np.uint64) * p2, 31) * p1)
         out = turned(out, 27) * p1 + p4
@@ -165,7 +181,7 @@ def _lists(rows: DataFrame, text_col: str, sent) -> DataFrame:
                 lines = Lines(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array([_planes(x)], pa.binary()) for x in (lines.sizes, sent.value(lines.hash))], names=["sizes", "ids"])
 
-    return rows.select(text_col).mapInArrow(run, "sizes binary, ids binary")
+    return rows.select(text_col).mapInArrow(giving_back(run), "sizes binary, ids binary")
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -256,11 +272,15 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+_BIT = np.array([128 >> i for i in range(8)], np.uint8)
+
+
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    out, room = np.ones(len(keys), bool), np.uint64(len(bits) * 8 - 1)
-    for shift in (0, 32):
-        at = (keys.view(np.uint64) >> np.uint64(shift)) & room
-        out &= (bits[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+    out, room = np.zeros(len(keys), bool), len(bits) * 8 - 1
+    at = keys & room
+    left = np.flatnonzero(bits[at >> 3] & _BIT[at & 7])
+    at = keys[left] >> 32 & room  # the second place, where the first is set
+    out[left] = bits[at >> 3] & _BIT[at & 7] > 0
     return out
 
 
@@ -298,6 +318,8 @@ def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
         words, counts = words[:, first], counts.astype(np.int32)
         del first
         yield from _batches(_slices(keys, buckets, words, counts), {"bucket": pa.int64(), "words": pa.binary(), "times": pa.binary()})
+        del keys, words, counts
+        trim()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, own = None, [], []
@@ -323,6 +345,8 @@ def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
         del turn, starts, times
         for i in range(0, len(n), 50_000):
             yield pa.RecordBatch.from_arrays([*(pa.array(x[i : i + 50_000]) for x in words), pa.array(n[i : i + 50_000])], names=[*names, "n"])
+        del words, n
+        trim()
 
     names = ["a", "b", "c"][2 - order :]
     dealt_out = lists.mapInArrow(giving_back(run), "bucket bigint, words binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -457,10 +481,10 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     words = written(words, "numbers")
     lists = written(_lists(docs, text_col, sent), "lists")
     allowed = spark.sparkContext.broadcast(_filter(words.where("w < 0").select(F.xxhash64("w").alias("key"))))
-    pairs = written(_grams(lists, total, allowed, 1), "pairs")
+    pairs = written(_grams(lists, total, allowed, 1), "pairs", 4)
     allowed.destroy()
     allowed = spark.sparkContext.broadcast(_filter(pairs.select(F.xxhash64("b", "c").alias("key"))))
-    triples = written(_grams(lists, total, allowed, 2), "triples")
+    triples = written(_grams(lists, total, allowed, 2), "triples", 4)
     allowed.destroy()
     sent.destroy()
     discard(lists)
@@ -505,7 +529,10 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
                 lines, texts = Lines(part.column(1)), range(part.num_rows)
                 ids, owner, place = numbers(lines.hash), lines.owner, lines.place
                 one, two = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-                keys = np.concatenate([hashed(ids), hashed(ids[one - 1], ids[one]), hashed(ids[two - 2], ids[two - 1], ids[two])])
+                # each n-gram's hash goes on from that of its beginning
+                words, pairs = hashed(ids), np.zeros(len(ids), np.int64)
+                pairs[one] = hashed(ids[one], first=words[one - 1])
+                keys = np.concatenate([words, pairs[one], hashed(ids[two], first=pairs[two - 1])])
                 of = np.concatenate([owner, owner[one], owner[two]])
                 passed = np.flatnonzero(_passes(bits, keys))
                 keys, of = keys[passed], of[passed]
@@ -550,6 +577,8 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
             n = batch.num_rows
             empty = [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), *(pa.nulls(n, pa.float64()) for _ in range(2)), pa.nulls(n, pa.map_(pa.binary(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind] * n, pa.int64()), *batch.columns[1:], *empty], names=[*SLICE, *STATS])
+        del keys, own
+        trim()
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
