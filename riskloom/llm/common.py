@@ -16,11 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and executor are one process."""
+    return bool(re.match(r"local($|\[)", spark.sparkContext.master))
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder name in the shared checkpoint folder; only in local mode (tests) is that setting not needed."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
+        if not _local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -71,9 +76,23 @@ def _located(spark: SparkSession, path: str, act: Callable[[object, object], obj
 
 
 def release(spark: SparkSession) -> None:
-    """After a large step: files of its shuffles stay on the executors until the driver collects the plans that made them."""
+    """After a large step: files of its shuffles stay on the executors until the driver collects the plans that made them.
+    A short job then lets the executors collect, since a heap shrinks at a full collection only, and their workers free what they keep."""
     _give_back()
     spark._jvm.System.gc()
+    if not _local(spark):
+        slots = spark.sparkContext.defaultParallelism
+        collected = spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("collected"))
+        collected.mapInArrow(_emptied, "collected string").collect()
+
+
+def _emptied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """No rows; the worker forgets its tables after its input, so after the executor has collected."""
+    for _ in batches:
+        pass
+    forget()
+    trim()
+    yield from ()
 
 
 def _give_back() -> None:
