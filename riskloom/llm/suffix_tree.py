@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from riskloom.llm.common import discard, giving_back, in_parts, kind_of, release, trim, written
+from riskloom.llm.common import discard, giving_back, in_parts, kind_of, release, written
 
 LEAST, MOST, HOT, BITS, ROOM, DISCOUNT, DIVERGENCE = 2, 200_000, 500_000, 1 << 28, 1_000_000, 0.5, 8.0
 P1, P2 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
@@ -116,7 +116,7 @@ def _counts(docs: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for part in in_parts(batch, 0, 1_000_000):
                 lines = Lines(part.column(0))
-                _, first, n = np.unique(lines.hash, return_index=True, return_counts=True)
+                first, n = _distinct(lines.hash)[1:]
                 yield pa.RecordBatch.from_arrays([pa.array(lines.words(first), pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(giving_back(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -194,6 +194,23 @@ def _numbers(planes: bytes, kind: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The places of unsigned keys in rising order, of equal ones the earlier first. Numpy sorts numbers much faster than it finds their
+    order, so places are sorted behind the keys' leading bits; the rest is in order but for the few keys that only differ further on."""
+    low = np.uint64(max(len(keys) - 1, 1).bit_length())
+    order = (np.sort(keys >> low << low | np.arange(len(keys), dtype=np.uint64)) & (np.uint64(1) << low) - np.uint64(1)).view(np.int64)
+    sorted_keys = keys[order]
+    return order if (sorted_keys[1:] >= sorted_keys[:-1]).all() else order[np.argsort(sorted_keys, kind="stable")]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in rising order, the first place of each and how often it occurs."""
+    order = _order(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[starts], order[starts], np.diff(np.append(starts, len(keys)))
+
+
 def _slices(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
     """The bucket of each run of sorted keys (unsigned), and that run of all columns as planes of bytes."""
     to = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -314,12 +331,10 @@ def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
 
     def dealt(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         words = _joined(held)
-        keys, first, counts = np.unique(hashed(*words).view(np.uint64), return_index=True, return_counts=True)
+        keys, first, counts = _distinct(hashed(*words).view(np.uint64))
         words, counts = words[:, first], counts.astype(np.int32)
         del first
         yield from _batches(_slices(keys, buckets, words, counts), {"bucket": pa.int64(), "words": pa.binary(), "times": pa.binary()})
-        del keys, words, counts
-        trim()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, own = None, [], []
@@ -335,8 +350,8 @@ def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
 
     def counted(held: list[np.ndarray], own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         words, times = _joined(held), _joined(own)[0]
-        keys = hashed(*words)
-        turn = np.argsort(keys, kind="stable")
+        keys = hashed(*words).view(np.uint64)
+        turn = _order(keys)
         keys = keys[turn]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
         del keys
@@ -345,8 +360,6 @@ def _grams(lists: DataFrame, total: int, allowed, order: int) -> DataFrame:
         del turn, starts, times
         for i in range(0, len(n), 50_000):
             yield pa.RecordBatch.from_arrays([*(pa.array(x[i : i + 50_000]) for x in words), pa.array(n[i : i + 50_000])], names=[*names, "n"])
-        del words, n
-        trim()
 
     names = ["a", "b", "c"][2 - order :]
     dealt_out = lists.mapInArrow(giving_back(run), "bucket bigint, words binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -380,17 +393,18 @@ class Tree:
         # the at most MOST frequent words are sent along; only pairs with another word meet their counts in a shuffle
         hot, both = words.where("w >= 0"), F.expr("b >= 0 and c >= 0")
         parts = []
-        for some, few in ((pairs.where(both), F.broadcast(hot)), (pairs.where(~both), words)):
+        # keys of the side that is looked up are distinct and dealt by their hash, so a hash table of a partition spares sorting both sides
+        for some, few in ((pairs.where(both), F.broadcast(hot)), (pairs.where(~both), words.hint("shuffle_hash"))):
             counted = some.join(few.select(F.col("w").alias("c"), F.log10((F.col("n") + 0.5) / F.lit(self.scale)).alias("lower")), "c")
             parts.append(counted.join(few.select(F.col("w").alias("b"), F.col("n").alias("count")), "b").select("b", "c", "n", "lower", "count"))
         pairs = written(parts[0].unionAll(parts[1]).withColumn("share", share), "pairs")
         one = written(_states(pairs, ["b"]), "contexts")
         self.tables = [one, pairs]
-        pairs, rests = pairs.drop("count"), one.drop("count")
-        pairs = pairs.where("b >= 0").join(F.broadcast(rests.where("b >= 0")), "b", "left").unionAll(pairs.where("b < 0").join(rests.where("b < 0"), "b", "left"))
+        counted, pairs, rests = pairs, pairs.drop("count"), one.drop("count")
+        pairs = pairs.where("b >= 0").join(F.broadcast(rests.where("b >= 0")), "b", "left").unionAll(pairs.where("b < 0").join(rests.where("b < 0").hint("shuffle_hash"), "b", "left"))
         now = F.when(F.col("rest").isNull(), F.col("lower")).otherwise(ten)
-        triples = triples.join(pairs.select("b", "c", now.alias("lower")), ["b", "c"])
-        triples = triples.join(pairs.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("count")), ["a", "b"])
+        triples = triples.join(pairs.select("b", "c", now.alias("lower")).hint("shuffle_hash"), ["b", "c"])
+        triples = triples.join(counted.select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("n").alias("count")).hint("shuffle_hash"), ["a", "b"])
         # the triples of a context lie together after this join; a context's few sums need no further shuffle
         own = Window.partitionBy("a", "b")
         told = {"gain": F.sum(F.expr("share * (ln(share) - lower * ln(10))")), "left": F.sum("share"), "room": F.sum(F.pow(F.lit(10.0), "lower")), "first": F.min("c")}
@@ -483,6 +497,7 @@ def fit(docs: DataFrame, text_col: str) -> tuple[Tree, DataFrame]:
     allowed = spark.sparkContext.broadcast(_filter(words.where("w < 0").select(F.xxhash64("w").alias("key"))))
     pairs = written(_grams(lists, total, allowed, 1), "pairs", 4)
     allowed.destroy()
+    release(spark)
     allowed = spark.sparkContext.broadcast(_filter(pairs.select(F.xxhash64("b", "c").alias("key"))))
     triples = written(_grams(lists, total, allowed, 2), "triples", 4)
     allowed.destroy()
@@ -511,7 +526,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
             break
         least = c["class"]
     hot = tree.values.where(F.floor(F.log2("n") * 8) >= least).select("key", "value").toArrow()
-    size = tree.values.count()
+    size = sum(c["size"] for c in classes)
     release(docs.sparkSession)
     sent = context.broadcast((Numbers(tree.known), tree.base, Hot(hot.column("key").to_numpy(), hot.column("value").to_numpy()), _filter(tree.values.select("key"))))
     buckets = size // ROOM + context.defaultParallelism
@@ -570,15 +585,13 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
         """Slices by bucket: keys with the rows that ask for them (kind 1), or with their values (kind 0)."""
         keys, own = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.argsort(keys.view(np.uint64))
+        order = _order(keys.view(np.uint64))
         keys, own = keys.view(np.uint64)[order], own[order]
         del order
         for batch in _batches(_slices(keys, buckets, keys, own), {"bucket": pa.int64(), "keys": pa.binary(), "own": pa.binary()}):
             n = batch.num_rows
             empty = [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), *(pa.nulls(n, pa.float64()) for _ in range(2)), pa.nulls(n, pa.map_(pa.binary(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind] * n, pa.int64()), *batch.columns[1:], *empty], names=[*SLICE, *STATS])
-        del keys, own
-        trim()
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
@@ -621,13 +634,13 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[Tree, DataFr
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     kinds = f"id {kind_of(docs, id_col)}, row bigint, n_tokens bigint, hot bigint, base double, full double, rare map<binary,bigint>"
     shape = f"bucket bigint, kind bigint, keys binary, own binary, {kinds}"
-    known = tree.values.select("key", "value").mapInArrow(valued, shape)
+    known = tree.values.select("key", "value").mapInArrow(giving_back(valued), shape)
     told = rows.mapInArrow(giving_back(run), shape).unionAll(known).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(giving_back(answered), f"{kinds}, more double")
     told = written(told, "scores")
     sent.destroy()
     release(docs.sparkSession)
     held, added = told.where("n_tokens is not null").drop("more"), told.where("n_tokens is null").groupBy("row").agg(F.sum("more").alias("more"))
-    rare = held.select("row", F.explode("rare").alias("word", "times")).join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rare = held.select("row", F.explode("rare").alias("word", "times")).join(counts.hint("shuffle_hash"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + 0.5) / F.lit(float(tree.scale)))
     tail = rare.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"), F.sum(F.col("times") * base).alias("tail_base"))
     both = held.drop("rare").join(tail, "row", "left").join(added, "row", "left").na.fill(0, ["tail_known", "tail_base", "more"])

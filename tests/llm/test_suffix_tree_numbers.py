@@ -44,3 +44,11 @@ def test_joined_arrays():
     held = [np.arange(i, i + 2 * n).reshape(2, n) for i, n in ((0, 3), (5, 0), (9, 4))]
     want = np.concatenate(held, 1)
     assert (suffix_tree._joined(held) == want).all() and not held
+
+
+def test_order_of_keys_that_share_leading_bits():
+    rng = np.random.default_rng(4)
+    wide, close = rng.integers(0, 1 << 64, 3_000, np.uint64), (np.uint64(7) << np.uint64(40)) + rng.integers(0, 900, 3_000).astype(np.uint64)
+    for keys in (wide, close, np.concatenate([close, wide]), np.zeros(5, np.uint64), wide[:1], wide[:0]):
+        assert suffix_tree._order(keys).tolist() == np.argsort(keys, kind="stable").tolist()
+        assert all((x == y).all() for x, y in zip(suffix_tree._distinct(keys), np.unique(keys, return_index=True, return_counts=True)))
