@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-The merge ranks become one literal: a perfect hash table from (left id, right id) to the merged id. ``fold_words`` encodes
+The merge ranks become one constant: a perfect hash table from (left id, right id) to the merged id, which a scalar subquery puts
+into the expression, since a literal of its size is printed into every description of a plan that the driver keeps. ``fold_words`` encodes
 distinct words with Spark's higher-order functions: a fold over each word's byte ids that applies the pair of the lowest
 rank, leftmost first, until none is left. The fold costs about 0.25 ms a word, so it is run once over the frequent words;
 ``encode`` looks words up in that bounded table and folds the rare remainder where it meets it, with the same rule and rank map over whole batches of words.
@@ -23,10 +24,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_parts, in_share, kept, kind_of, sample_share
+from riskloom.llm.common import fresh, in_parts, in_share, kept, kind_of, sample_share
 
 SLOTS, GROUPS, NONE = 1 << 17, 1 << 16, 1_000_000
 #: Words in the table that the higher-order functions build, documents that propose them, cached words of a worker.
@@ -81,8 +82,14 @@ def _rank(a: str, b: str) -> str:
     return _let(slot, "q", f"if(shiftright(q, 16) = {a} * 65536L + {b}, cast(q & 65535L as int), {NONE})")
 
 
-def fold_expression(column: str, path: str) -> str:
-    """SQL text: the ids of a word, by a fold of ranked merges over its byte ids."""
+def rank_map(spark: SparkSession, path: str) -> Column:
+    """The rank map as a scalar subquery."""
+    held = {k: pa.array([v], pa.list_(kind)) for (k, v), kind in zip(json.loads(rank_literal(path)).items(), (pa.int64(), pa.int32(), pa.int32()))}
+    return spark.createDataFrame(pa.table(held)).select(F.struct("s", "d", "b")).scalar()
+
+
+def fold_expression(column: str, table: str) -> str:
+    """SQL text: the ids of a word, by a fold of ranked merges over its byte ids; ``table`` is the column of the rank map."""
     tail = "t.b[128 + ({} & 63)]".format
     byte_ids = f"""flatten(transform(transform(split({column}, ''), x -> ascii(x)), c -> case when c < 128 then array(t.b[c])
         when c < 2048 then array(t.b[192 + shiftright(c, 6)], {tail('c')})
@@ -95,12 +102,13 @@ def fold_expression(column: str, path: str) -> str:
     step = _let("struct(array_min(s.r) as m, cast(array_position(s.r, array_min(s.r)) as int) as i, size(s.p) as n)", "k", merged)
     first = f"if(size(p0) < 2, cast(array() as array<int>), transform(sequence(0, size(p0) - 2), j -> {_rank('p0[j]', 'p0[j + 1]')}))"
     fold = _let(byte_ids, "p0", f"aggregate(sequence(1, greatest(size(p0) - 1, 1)), named_struct('p', p0, 'r', {first}), (s, x) -> {step}, s -> s.p)")
-    return _let(f"from_json('{rank_literal(path)}', 's array<bigint>, d array<int>, b array<int>')", "t", fold)
+    return _let(table, "t", fold)
 
 
 def fold_words(words: DataFrame, word: str, path: str) -> DataFrame:
     """Adds ``ids`` to distinct, non-empty words."""
-    return words.withColumn("ids", F.expr(fold_expression(word, path)))
+    table = fresh(words, "_ranks")
+    return words.withColumn(table, rank_map(words.sparkSession, path)).withColumn("ids", F.expr(fold_expression(word, table))).drop(table)
 
 
 def hot_words(docs: DataFrame, id_col: str, text_col: str, path: str) -> dict[str, tuple[int, ...]]:

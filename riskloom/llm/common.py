@@ -75,15 +75,16 @@ def _located(spark: SparkSession, path: str, act: Callable[[object, object], obj
     act(place.getFileSystem(spark._jsc.hadoopConfiguration()), place)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, workers: bool = True) -> None:
     """After a large step: files of its shuffles stay on the executors until the driver collects the plans that made them.
-    A short job then lets the executors collect, since a heap shrinks at a full collection only, and their workers free what they keep."""
+    A short job then lets the executors collect, since a heap shrinks at a full collection only, and their workers free what they keep;
+    without ``workers`` that job runs no Python."""
     _give_back()
     spark._jvm.System.gc()
     if not _local(spark):
         slots = spark.sparkContext.defaultParallelism
         collected = spark.range(0, slots, 1, slots).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("collected"))
-        collected.mapInArrow(_emptied, "collected string").collect()
+        (collected.mapInArrow(_emptied, "collected string") if workers else collected.where("collected is not null")).collect()
 
 
 def _emptied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
